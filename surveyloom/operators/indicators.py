@@ -101,40 +101,50 @@ def rebuild_indicators(facts: DataFrame, rules: DataFrame, order: str = "ord",
     known = rules.filter(F.col("transform_type").isin("scale_score", "multi_select_coverage"))
     value = answer_value(F.col("field_value"), F.col("raw_value"))
     rows = matched_facts(facts, known).select(
-        "rule_id", "target_indicator_id", "target_indicator_name", "transform_type", "output_grain",
-        "output_value_type", _group_key([c for c in keyed if c in facts.columns]).alias("group_key"),
+        "rule_id", "transform_type", _group_key([c for c in keyed if c in facts.columns]).alias("group_key"),
         F.try_element_at("value_mapping", value).alias("score"),
         is_selected(value).alias("selected"),
         blank_to_null(F.col("answer_component_id")).alias("component"),
         blank_to_null(F.col("user_id")).alias("user_id"),
         *ATTRIBUTES, "fact_id", "norm_id", F.col(order).alias("_ord"),
     )
-    rule_columns = ["rule_id", "target_indicator_id", "target_indicator_name", "transform_type",
-                    "output_grain", "output_value_type"]
-    grouped = rows.groupBy(*rule_columns, "group_key").agg(
-        F.avg("score").alias("mean_score"),
+    key = ["rule_id", "group_key"]
+    first = F.min_by(F.struct("user_id", *ATTRIBUTES), F.col("_ord")).alias("first")
+    scale = rows.filter("transform_type = 'scale_score'").groupBy(*key).agg(
+        F.avg("score").alias("mean_score"), first, F.count(F.lit(1)).alias("source_rows"),
+    ).filter("mean_score IS NOT NULL").select(
+        *key, F.col("mean_score").alias("value"), F.lit(None).cast("string").alias("label"), "first", "source_rows")
+    # Respondents and components are folded pairwise first; the distinct counts
+    # then run on that much smaller table.
+    pairs = rows.filter("transform_type = 'multi_select_coverage'").groupBy(*key, "component", "user_id").agg(
+        F.max("selected").alias("selected"), F.count(F.lit(1)).alias("n"),
+        F.min("_ord").alias("_ord"), F.min_by(F.struct(*ATTRIBUTES), F.col("_ord")).alias("attributes"),
+    )
+    covered = pairs.groupBy(*key).agg(
         F.count_distinct("component").alias("components"),
         F.count_distinct(F.when(F.col("selected"), F.col("component"))).alias("chosen_components"),
         F.count_distinct("user_id").alias("users"),
         F.count_distinct(F.when(F.col("selected"), F.col("user_id"))).alias("chosen_users"),
-        F.min_by(F.struct("user_id", *ATTRIBUTES), F.col("_ord")).alias("first"),
-        F.count(F.lit(1)).alias("source_rows"),
+        F.min_by(F.struct("user_id", *[F.col(f"attributes.{c}").alias(c) for c in ATTRIBUTES]), F.col("_ord")).alias("first"),
+        F.sum("n").alias("source_rows"),
     )
     by_component = F.col("components") > 0
     numerator = F.when(by_component, F.col("chosen_components")).otherwise(F.col("chosen_users"))
     denominator = F.when(by_component, F.col("components")).otherwise(F.col("users"))
-    is_scale = F.col("transform_type") == "scale_score"
-    coverage = F.coalesce(F.try_divide(numerator, denominator), F.lit(0.0))
-    result = grouped.filter(~is_scale | F.col("mean_score").isNotNull()).select(
+    coverage = covered.select(
+        *key, F.coalesce(F.try_divide(numerator, denominator), F.lit(0.0)).alias("value"),
+        F.concat_ws("/", numerator.cast("string"), denominator.cast("string")).alias("label"),
+        "first", "source_rows")
+    described = known.select("rule_id", "target_indicator_id", "target_indicator_name", "output_grain",
+                             "output_value_type")
+    result = scale.unionByName(coverage).join(described, "rule_id").select(
         F.col("rule_id").alias("source_rule_id"),
         F.col("target_indicator_id").alias("indicator_id"),
         F.col("target_indicator_name").alias("indicator_name"),
         "output_grain", "group_key",
         F.when(F.col("output_grain") == "user", F.col("first.user_id")).alias("user_id"),
         *[F.col(f"first.{c}").alias(c) for c in ATTRIBUTES],
-        F.round(F.when(is_scale, F.col("mean_score")).otherwise(coverage), 6).alias("indicator_value"),
-        F.when(~is_scale, F.concat_ws("/", numerator.cast("string"), denominator.cast("string")))
-        .alias("indicator_value_label"),
+        F.round("value", 6).alias("indicator_value"), F.col("label").alias("indicator_value_label"),
         F.col("output_value_type").alias("value_type"), "source_rows",
     )
     if not source_ids:

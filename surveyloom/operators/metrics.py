@@ -61,24 +61,22 @@ def response_count(facts: DataFrame) -> DataFrame:
 
 def option_summary(facts: DataFrame, selected_only: bool = False) -> DataFrame:
     """Respondents per option and their share of the respondents of the group."""
-    rows = _questions(facts)
-    per_user = rows.groupBy(*GROUP, category().alias("category"), "user_id").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(is_selected(_value())).alias("selected"),
+    # Both branches below read the same partial result in full, so Spark shuffles
+    # the facts once and reuses that exchange; a filter on the category is kept
+    # out of it on purpose.
+    per_user = _questions(facts).groupBy(*GROUP, category().alias("category"), "user_id").agg(
+        (F.count_if(is_selected(_value())) if selected_only else F.count(F.lit(1))).alias("rows"),
     )
-    # The same partial result, folded once more, gives the denominator: a group
-    # is far smaller after the first step than the facts are.
-    denominators = per_user.groupBy(*GROUP).agg(F.count_distinct("user_id").alias("denominator"))
-    taken = per_user.filter(F.col("category").isNotNull())
-    n_rows = F.sum("rows")
-    if selected_only:
-        taken = taken.filter(F.col("selected") > 0)
-        n_rows = F.sum("selected")
-    counts = taken.groupBy(*GROUP, "category").agg(
-        F.count("user_id").alias("users"), n_rows.alias("rows")
+    groups = per_user.groupBy(*GROUP).agg(
+        F.count_distinct("user_id").alias("denominator"), F.sum("rows").alias("group_rows")
     )
+    counted = F.col("category").isNotNull() & (F.col("rows") > 0)
+    counts = per_user.groupBy(*GROUP, "category").agg(
+        F.count(F.when(counted, F.col("user_id"))).alias("users"),
+        F.sum(F.when(counted, F.col("rows"))).alias("rows"),
+    ).filter(F.col("rows") > 0)
     count = F.when(F.col("users") > 0, F.col("users")).otherwise(F.col("rows"))
-    return counts.join(denominators, GROUP).select(
+    return counts.join(groups.filter(F.col("group_rows") > 0), GROUP).select(
         *GROUP, "category", count.alias("count"), "denominator",
         F.round(F.try_divide(count, F.col("denominator")), 6).alias("percent"),
         F.col("denominator").alias("n"),

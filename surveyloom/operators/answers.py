@@ -10,6 +10,7 @@ from surveyloom import fixed_values as V
 from surveyloom.functions import ids, text
 from surveyloom.functions.text import blank_to_null, first_filled
 from surveyloom.operators.ordering import first_rows
+from surveyloom.session import BROADCAST_ROWS, cut_lineage, lookup_side
 from surveyloom.sources.cells import cell, is_question_number, keyed_rows
 
 TITLE_FIELDS = ["project_name", "form_title", "semester", "form_id", "subject", "role"]
@@ -108,14 +109,16 @@ def match_components(rows: DataFrame, components: DataFrame) -> DataFrame:
     question, else NULL; ``component_count`` is the number to choose from.
     ``rows`` has source_file, question_no, row_field_id and row_dimension_id."""
     question = ["source_file", "question_no"]
+    components = cut_lineage(components)
     one = F.struct(*COMPONENT_FIELDS)
     exact = components.groupBy(*question, "field_id", "dimension_id").agg(F.min_by(one, F.col("ord")).alias("_exact"))
     by_field = components.filter("field_id != ''").groupBy(*question, "field_id").agg(
         F.min_by(one, F.col("ord")).alias("_by_field"))
     single = components.groupBy(*question).agg(
         F.count(F.lit(1)).alias("component_count"), F.min_by(one, F.col("ord")).alias("_single"))
-    keyed = {"row_field_id": "field_id", "row_dimension_id": "dimension_id"}
-    exact = exact.withColumnsRenamed({v: k for k, v in keyed.items()})
+    if components.count() <= BROADCAST_ROWS:
+        exact, by_field, single = (F.broadcast(d) for d in (exact, by_field, single))
+    exact = exact.withColumnsRenamed({"field_id": "row_field_id", "dimension_id": "row_dimension_id"})
     by_field = by_field.withColumnRenamed("field_id", "row_field_id")
     joined = (
         rows.join(exact, [*question, "row_field_id", "row_dimension_id"], "left")
@@ -177,7 +180,7 @@ def build_facts(rows: DataFrame, titles: DataFrame, mapping: DataFrame, componen
     """Long answer facts with stable ids. ``matched`` is false where the question
     is not in the mapping; its norm id is then the local question key."""
     title = titles.select("source_file", *[F.col(c).alias(f"t_{c}") for c in TITLE_FIELDS], "stem")
-    titled = rows.join(title, "source_file", "left").withColumns({
+    titled = rows.join(lookup_side(title), "source_file", "left").withColumns({
         "subject": F.coalesce(first_filled(F.col("t_subject"), cell("学科维度")), F.lit("")),
         "role": F.coalesce("t_role", F.lit("")),
         "row_field_id": cell("字段id"), "row_dimension_id": cell("维度id"),

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -44,3 +45,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and restart its plan there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def lookup_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A derived lookup table (headers, titles, labels) ready for a join to a big
+    table. It is frozen once and counted; only within ``max_rows`` is it
+    broadcast, which spares the big side a shuffle by a possibly hot key. Beyond
+    that the plain shuffle join, with its skew handling, does the work."""
+    frozen = cut_lineage(df)
+    return broadcast(frozen) if frozen.count() <= max_rows else frozen

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from surveyloom import fixed_values as V
 from surveyloom.functions.text import blank_to_null
+from surveyloom.session import lookup_side
 
 SHEET = ["source_file", "sheet_index", "sheet"]
 
@@ -28,25 +29,29 @@ def is_question_number(name: Column) -> Column:
 
 
 def headers(cells: DataFrame) -> DataFrame:
-    """The first row with content of every sheet."""
+    """The first row with content of every sheet. The row number is found first
+    (a hash aggregate on numbers) and its cells are fetched after."""
     filled = cells.filter(has_content(F.col("values")))
-    return filled.groupBy(*SHEET).agg(
-        F.min_by("values", "row_index").alias("header"), F.min("row_index").alias("header_index"))
+    index = filled.groupBy(*SHEET).agg(F.min("row_index").alias("row_index"))
+    return filled.join(lookup_side(index), [*SHEET, "row_index"]).select(
+        *SHEET, F.col("values").alias("header"), F.col("row_index").alias("header_index"))
 
 
 def keyed_rows(cells: DataFrame) -> DataFrame:
     """Rows below the header as MAP<header, value>: blank rows skipped, short rows
     padded, blank headers dropped; of equal headers the last column counts."""
-    joined = cells.filter(has_content(F.col("values"))).join(headers(cells), SHEET)
     later = lambda i: F.slice("header", i + 2, F.size("header"))
-    entries = F.filter(
-        F.transform("header", lambda h, i: F.struct(
-            h.alias("key"), F.coalesce(F.get("values", i), F.lit("")).alias("value"),
-            F.array_contains(later(i), h).alias("again"))),
+    places = F.filter(
+        F.transform("header", lambda h, i: F.struct(h.alias("key"), i.alias("i"), F.array_contains(later(i), h).alias("again"))),
         lambda e: (e["key"] != "") & ~e["again"],
     )
-    row = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"])))
-    return joined.filter(F.col("row_index") > F.col("header_index")).select(*SHEET, "row_index", row.alias("row"))
+    heads = headers(cells).select(
+        *SHEET, "header_index", F.transform(places, lambda e: e["key"]).alias("keys"),
+        F.transform(places, lambda e: e["i"]).alias("places"))
+    joined = cells.filter(has_content(F.col("values"))).join(lookup_side(heads), SHEET)
+    values = F.transform("places", lambda i: F.coalesce(F.get("values", i), F.lit("")))
+    return joined.filter(F.col("row_index") > F.col("header_index")).select(
+        *SHEET, "row_index", F.map_from_arrays("keys", values).alias("row"))
 
 
 def cell(key: str) -> Column:

@@ -34,7 +34,7 @@ def minus_one(df: DataFrame, items: Sequence[str], suffix: str | None = "_raw")
 def one_hot(df: DataFrame, column: str, options: Sequence[str], separator: str = r"\|\r\n|\|\n|\|") -> DataFrame:
     """A 0/1 column ``column_option`` per option of a multiple choice answer; an
     unanswered question stays NULL in all of them."""
-    chosen = F.transform(F.split(column, separator), F.trim)
+    chosen = F.transform(F.split(column, separator), lambda x: F.trim(x))
     return df.withColumns({
         f"{column}_{o}": F.when(F.col(column).isNotNull(), F.array_contains(chosen, o).cast("int")) for o in options})
 

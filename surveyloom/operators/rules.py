@@ -10,7 +10,7 @@ SCOPE_FIELDS = ["school", "region", "role", "subject", "grade", "semester"]
 
 
 def id_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _scope_values(json: Column, field: str) -> Column:

@@ -130,7 +130,7 @@ def signatures(labelled: DataFrame) -> DataFrame:
 def label_counts(labelled: DataFrame, keys: Sequence[str] = ("idx",)) -> DataFrame:
     """Multiset of component labels per question."""
     return labelled.filter("label_key != ''").groupBy(*keys, "component_type", "label_key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("display").alias("display"))
+        F.count(F.lit(1)).alias("n"))
 
 
 def multiset_deltas(pairs: DataFrame, counts: DataFrame, pair_keys: Sequence[str] = ("idx_a", "idx_b")) -> DataFrame:
@@ -138,15 +138,13 @@ def multiset_deltas(pairs: DataFrame, counts: DataFrame, pair_keys: Sequence[str
     multisets, done as one aggregate over the union of both sides."""
     sides = []
     for side in SIDES:
-        own = counts.select(F.col("idx").alias(f"idx_{side}"), "component_type", "label_key", "display",
+        own = counts.select(F.col("idx").alias(f"idx_{side}"), "component_type", "label_key",
                             *[(F.col("n") if s == side else F.lit(0).cast("bigint")).alias(f"n_{s}") for s in SIDES])
         joined = pairs.join(own, f"idx_{side}").select(
-            *pair_keys, "component_type", "label_key", "n_a", "n_b",
-            *[(F.col("display") if s == side else F.lit(None).cast("string")).alias(f"display_{s}") for s in SIDES])
+            *pair_keys, "component_type", "label_key", "n_a", "n_b")
         sides.append(joined)
     return sides[0].unionByName(sides[1]).groupBy(*pair_keys, "component_type", "label_key").agg(
-        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"),
-        F.max("display_a").alias("display_a"), F.max("display_b").alias("display_b"))
+        F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
 
 
 def option_relations(pairs: DataFrame, deltas: DataFrame, question_signatures: DataFrame,
@@ -177,22 +175,26 @@ def relation_case() -> Column:
             .otherwise("completely_different"))
 
 
-def delta_texts(deltas: DataFrame, pair_keys: Sequence[str] = ("idx_a", "idx_b")) -> DataFrame:
+def delta_texts(deltas: DataFrame, labelled: DataFrame, pair_keys: Sequence[str] = ("idx_a", "idx_b")) -> DataFrame:
     """Readable differences, ``选项: a | b*2；矩阵行: …``, labels sorted, in the words
-    of the question that has them. A question's labels are printed on one form, so
-    one pair's text is small."""
+    of the question that has them. Where a question holds a label several times its
+    first ones are named. The text of a pair is as long as one form's options."""
+    kept = labelled.filter("label_key != ''")
+    ranked = running_sum(kept, ["idx", "component_type", "label_key"], "option_order", F.lit(1), "_rank").select(
+        "idx", "component_type", "label_key", "display", "_rank")
     order = F.array_position(F.array(*[F.lit(t) for t in V.COMPONENT_TYPES]), F.col("component_type"))
-    sides = F.array(
-        F.struct(F.lit("missing").alias("side"), (F.col("n_a") - F.col("n_b")).alias("n"), F.col("display_a").alias("display")),
-        F.struct(F.lit("extra").alias("side"), (F.col("n_b") - F.col("n_a")).alias("n"), F.col("display_b").alias("display")))
-    rows = deltas.select(*pair_keys, "component_type", order.alias("_type"), "label_key", F.inline(sides)).filter("n > 0")
-    label = F.coalesce("display", "label_key")
-    entry = F.when(F.col("n") > 1, F.concat(label, F.lit("*"), F.col("n").cast("string"))).otherwise(label)
-    named = text.replace_all(F.col("component_type"), [])
+    named = F.col("component_type")
     for kind, title in V.COMPONENT_TYPE_LABELS.items():
         named = F.when(F.col("component_type") == kind, F.lit(title)).otherwise(named)
-    by_type = rows.groupBy(*pair_keys, "side", "_type", named.alias("_name")).agg(
-        F.array_sort(F.collect_list(F.struct(label.alias("label"), entry.alias("entry")))).alias("items"))
+    sides = F.array(
+        F.struct(F.lit("missing").alias("side"), (F.col("n_a") - F.col("n_b")).alias("n"), F.col("idx_a").alias("idx")),
+        F.struct(F.lit("extra").alias("side"), (F.col("n_b") - F.col("n_a")).alias("n"), F.col("idx_b").alias("idx")))
+    wanted = deltas.select(*pair_keys, "component_type", "label_key", F.inline(sides)).filter("n > 0")
+    shown = wanted.join(ranked, ["idx", "component_type", "label_key"]).filter("_rank <= n").groupBy(
+        *pair_keys, "side", "component_type", "display").agg(F.count(F.lit(1)).alias("n"))
+    entry = F.when(F.col("n") > 1, F.concat("display", F.lit("*"), F.col("n").cast("string"))).otherwise(F.col("display"))
+    by_type = shown.groupBy(*pair_keys, "side", order.alias("_type"), named.alias("_name")).agg(
+        F.array_sort(F.collect_list(F.struct("display", entry.alias("entry")))).alias("items"))
     line = F.concat("_name", F.lit(": "), F.array_join(F.transform("items", lambda i: i["entry"]), " | "))
     joined = by_type.groupBy(*pair_keys, "side").agg(F.array_sort(F.collect_list(F.struct("_type", line.alias("line")))).alias("lines"))
     texts = joined.withColumn("text", F.array_join(F.transform("lines", lambda i: i["line"]), "；"))
@@ -266,7 +268,7 @@ def option_report(members: DataFrame, labelled: DataFrame) -> DataFrame:
     keys = ["idx_a", "idx_b"]
     deltas = multiset_deltas(pairs.select(*keys), label_counts(labelled))
     sign = members.select("idx", "signature")
-    related = option_relations(pairs, deltas, sign).join(delta_texts(deltas), keys, "left")
+    related = option_relations(pairs, deltas, sign).join(delta_texts(deltas, labelled), keys, "left")
     kinds = labelled.filter("label_key != ''").groupBy("idx").agg(
         F.count(F.lit(1)).alias("component_count"),
         *[F.count_if(F.col("component_type") == t).alias(f"{t}_count") for t in V.COMPONENT_TYPES])

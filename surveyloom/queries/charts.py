@@ -129,7 +129,7 @@ QUALITY_SQL = answer_ingest.ROWS_SQL + f""", q AS (
   UNION ALL SELECT 'charts', 'error', 'unknown_chart_type', 'rr_004'
   UNION ALL SELECT 'charts', 'warning', 'table_preview_fallback', unnest(['rr_004', 'rr_006'])
   UNION ALL SELECT 'questions', 'warning', 'no_answer_components', CAST(doc_id AS VARCHAR) FROM documents
-    WHERE NOT contains(text, chr(10)) AND text <> '')"""
+    WHERE (NOT contains(text, chr(10)) AND length(text) >= 200) OR (contains(text, chr(10)) AND trim(replace(substr(text, strpos(text, chr(10))), chr(10), ' ')) = ''))"""
 
 
 @query("quality_rollup", f"""WITH {QUALITY_SQL}

@@ -1 +1,171 @@
+"""Question matching queries over documents as questions."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from surveyloom.functions import text
+from surveyloom.operators import matching as M
+from surveyloom.operators import questions as Q
+from surveyloom.operators.similarity import similar_pairs
+from surveyloom.queries import query
+from surveyloom.queries import bindings as B
+from surveyloom.queries.question_forms import (
+    LABELS_SQL, PAIRS_SQL, QUESTIONS_SQL, compact_sql, document_components, document_questions, drop_sql, full_questions, text_pairs,
+)
+from surveyloom.session import cut_lineage
+from surveyloom import fixed_values as V
+
+COMPARISON_SQL = drop_sql("regexp_replace(normalized_text, '第\\d+题', '第N题', 'g')", V.SUBJECT_TERMS)
+# all pairs, compared gram by gram
+BRUTE_SQL = f"""{QUESTIONS_SQL}, ks AS (
+  SELECT normalized_key, min(idx) AS first_idx, count(*) AS n, min(source_file) AS lo, max(source_file) AS hi, any_value(role || '|' || question_type) AS block,
+    any_value({COMPARISON_SQL}) AS t FROM keyed GROUP BY normalized_key),
+p AS (SELECT first_idx, block, t, unnest([2, 3, 4]) AS gn FROM ks),
+gr AS (SELECT first_idx, block, gram, length(any_value(t)) AS len, count(*) AS tf FROM (SELECT first_idx, block, t, substr(t, i, gn) AS gram FROM (SELECT *, unnest(range(1, length(t) - gn + 2)) AS i FROM p)) GROUP BY first_idx, block, gram),
+nm AS (SELECT first_idx, sqrt(sum(tf * tf)) AS norm FROM gr GROUP BY first_idx),
+dots AS (SELECT x.first_idx AS ia, y.first_idx AS ib, sum(x.tf * y.tf) AS dot FROM gr x JOIN gr y ON x.block = y.block AND x.gram = y.gram AND x.first_idx < y.first_idx
+  WHERE least(x.len, y.len) / greatest(x.len, y.len) >= 0.82 GROUP BY ALL),
+sims AS (SELECT ia, ib, dot / (nx.norm * ny.norm) AS similarity FROM dots JOIN nm nx ON nx.first_idx = ia JOIN nm ny ON ny.first_idx = ib)"""
+
+
+@query("char_ngram_cosine", f"""WITH {BRUTE_SQL} SELECT ia AS unit_a, ib AS unit_b, round(similarity, 6) AS similarity FROM sims WHERE similarity >= 0.88""")
+def char_ngram_cosine(spark, sf):
+    """Pairs of distinct question texts of one role and type with cosine ≥ 0.88."""
+    units = M.text_units(M.distinct_keys(Q.with_text_features(document_questions(spark, sf))))
+    return similar_pairs(units, V.REVIEW_FLOOR).select("unit_a", "unit_b", F.round("similarity", 6).alias("similarity"))
+
+
+@query("near_matches", f"""WITH {BRUTE_SQL}, near AS (
+  SELECT x.normalized_key AS ka, y.normalized_key AS kb, ia, ib, similarity FROM sims JOIN ks x ON x.first_idx = ia JOIN ks y ON y.first_idx = ib
+  WHERE similarity >= 0.94 AND NOT (x.lo = x.hi AND y.lo = y.hi AND x.lo = y.lo))
+SELECT ia AS first_idx_a, ib AS first_idx_b, round(similarity, 4) AS similarity, count(*) AS question_pairs
+FROM near JOIN keyed u ON u.normalized_key = ka JOIN keyed v ON v.normalized_key = kb WHERE u.source_file <> v.source_file GROUP BY ALL""")
+def near_matches(spark, sf):
+    """Keys of about equal text, with the number of question pairs in different files."""
+    pairs = M.similar_keys(Q.with_text_features(document_questions(spark, sf)))
+    return pairs.select("first_idx_a", "first_idx_b", F.round("similarity", 4).alias("similarity"), "question_pairs")
+
+
+def _prepared(spark, sf):
+    questions = cut_lineage(full_questions(spark, sf))
+    return questions, cut_lineage(M.similar_keys(questions, max(V.REVIEW_FLOOR, V.MATCH_THRESHOLD - V.REVIEW_MARGIN)))
+
+
+def _merged(spark, sf):
+    questions, near = _prepared(spark, sf)
+    nodes = cut_lineage(M.start_groups(questions))
+    groups, merge, edges = M.merge_similar(questions, near.filter(F.col("similarity") >= V.MATCH_THRESHOLD), nodes)
+    return questions, near, nodes, cut_lineage(groups), merge, edges
+
+
+@query("auto_merge_groups")
+def auto_merge_groups(spark, sf):
+    """Groups after exact and automatic merges: one row per key."""
+    _, _, _, groups, _, _ = _merged(spark, sf)
+    return groups.select(F.col("node").alias("normalized_key"), "group", "root")
+
+
+@query("auto_merge_pairs")
+def auto_merge_pairs(spark, sf):
+    """Question pairs that merged, with the reason."""
+    _, _, _, _, merge, edges = _merged(spark, sf)
+    return edges.join(merge.accepted.select("at"), "at").select(
+        F.col("at.i").alias("idx_a"), F.col("at.j").alias("idx_b"), F.round("similarity", 4).alias("similarity"), "reason")
+
+
+@query("review_candidates")
+def review_candidates(spark, sf):
+    """Similar questions with slightly different options, for a reviewer."""
+    questions, near, nodes, _, merge, _ = _merged(spark, sf)
+    found = M.review_candidates(questions, document_components(spark, sf), near, nodes, merge)
+    return found.orderBy(F.desc("similarity"), "idx_a", "idx_b")
+
+
+@query("identical_option_groups", f"""WITH {QUESTIONS_SQL}, {LABELS_SQL}, s AS (SELECT keyed.*, signature FROM keyed JOIN signs USING (idx)),
+g AS (SELECT role, question_type, signature, count(DISTINCT normalized_key) AS keys, count(DISTINCT source_file) AS files FROM s GROUP BY ALL HAVING count(DISTINCT normalized_key) > 1 AND count(DISTINCT source_file) > 1)
+SELECT role, question_type, normalized_key, min(idx) AS class_idx, count(*) AS n, keys, files FROM s JOIN g USING (role, question_type, signature) GROUP BY role, question_type, signature, normalized_key, keys, files""")
+def identical_option_groups(spark, sf):
+    return M.identical_option_groups(full_questions(spark, sf)).drop("signature")
+
+
+@query("embedding_review", """WITH p AS (SELECT l_partkey AS a, l_suppkey AS b, min(l_returnflag) AS flag FROM lineitem GROUP BY ALL),
+v AS (SELECT a, b, flag, list_dot_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS c FROM p LEFT JOIN embeddings x ON x.vec_id = a LEFT JOIN embeddings y ON y.vec_id = b)
+SELECT a, b, CASE WHEN flag <> 'N' THEN 'llm' WHEN c IS NOT NULL THEN 'embedding' ELSE 'none' END AS semantic_provider,
+  CASE WHEN flag = 'N' THEN round(c, 4) END AS semantic_similarity, CASE WHEN flag = 'A' THEN true WHEN flag = 'R' THEN false WHEN c IS NOT NULL THEN c >= 0.7 ELSE true END AS should_review,
+  CASE WHEN flag <> 'N' THEN 'manual_identical_options_llm' WHEN c IS NOT NULL THEN 'manual_identical_options_embedding_ge_0.70' ELSE 'manual_identical_options_no_semantic_model' END AS reason FROM v""")
+def embedding_review(spark, sf):
+    """Candidate pairs (part, supplier) of the order lines; the return flag stands in
+    for the verdict table, N meaning none."""
+    li = B.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.min("l_returnflag").alias("flag"))
+    verdicts = li.filter("flag <> 'N'").select("a", "b", (F.col("flag") == "A").alias("should_merge"))
+    vectors = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return M.meaning_test(li.select("a", "b"), vectors, verdicts)
+
+
+# --- reviewers -----------------------------------------------------------------------------------------
+
+def reviewer_rows(spark, sf):
+    """Every labelled document is a reviewer row naming itself and the document whose
+    id is its length; quality and toxic stand in for the reviewer's entries."""
+    l, d = B.table(spark, sf, "labels"), B.table(spark, sf, "documents")
+    partner = d.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"))
+    rows = l.join(d.select("doc_id", "source", "n_chars"), "doc_id").join(partner, F.col("n_chars") == F.col("p_id"), "left")
+    entry = F.when(F.col("quality") == 0, F.lit(" No ")).when(F.col("toxic") == 0, F.lit("２")).otherwise(F.lit(""))
+    note = F.when(F.col("toxic") == 1, F.concat(F.lit("请归一 "), F.col("quality").cast("string"), F.lit("，谢谢"))).otherwise("")
+    keys = F.array(F.struct(F.col("source").alias("source_file"), F.col("doc_id").alias("q_no")),
+                   F.struct(F.coalesce("p_source", F.lit("missing")).alias("source_file"), F.col("n_chars").alias("q_no")))
+    label = M.reviewer_label(F.lit(None).cast("string"), entry, note, has_merge_id=False)
+    return rows.select(F.col("doc_id").alias("row_no"), label.alias("label"), keys.alias("question_keys"))
+
+
+@query("reviewer_labels", """WITH r AS (SELECT l.doc_id AS row_no, CASE WHEN quality = 1 AND toxic = 0 THEN '人工归一2' WHEN toxic = 1 THEN '归一' || quality END AS label,
+  CASE WHEN p.doc_id IS NULL THEN 1 ELSE 2 END AS found FROM labels l JOIN documents d USING (doc_id) LEFT JOIN documents p ON p.doc_id = d.n_chars)
+SELECT row_no, label, found::BIGINT AS found, CASE WHEN found = 2 THEN 'ready' ELSE 'question_not_found' END AS status FROM r WHERE label IS NOT NULL""")
+def reviewer_labels(spark, sf):
+    return M.reviewer_edges(reviewer_rows(spark, sf), document_questions(spark, sf))[1]
+
+
+@query("reviewer_merges")
+def reviewer_merges(spark, sf):
+    """Audit of every reviewer edge: applied, or skipped for a shared file."""
+    questions = cut_lineage(full_questions(spark, sf))
+    edges, _ = M.reviewer_edges(reviewer_rows(spark, sf), questions)
+    _, audit = M.merge_reviewed(questions, cut_lineage(M.applied_labels(cut_lineage(edges))))
+    return audit
+
+
+@query("review_clusters", f"""WITH RECURSIVE {PAIRS_SQL}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(n, m) AS (SELECT a, a FROM e UNION SELECT r.n, e.b FROM reach r JOIN e ON e.a = r.m),
+comp AS (SELECT n, min(m) AS component FROM reach GROUP BY n),
+pr AS (SELECT component, round(least(length(text_a), length(text_b)) / greatest(length(text_a), length(text_b)), 4) AS similarity,
+  CASE WHEN lang_a = lang_b THEN 'manual_group_x' ELSE 'manual_fill_x' END AS reason, CASE WHEN source_a < source_b THEN 'identical' ELSE 'changed_1_2' END AS rel FROM pairs JOIN comp ON n = a),
+ps AS (SELECT component, count(*) AS pair_count, max(similarity) AS max_similarity, string_agg(DISTINCT reason, ' | ' ORDER BY reason) AS reason_summary, string_agg(DISTINCT rel, ' | ' ORDER BY rel) AS option_relation_summary FROM pr GROUP BY component),
+ms AS (SELECT component, count(*) AS question_count, min((source, n)) AS f FROM comp JOIN documents ON doc_id = n GROUP BY component)
+SELECT ps.component, pair_count, question_count, max_similarity, reason_summary, option_relation_summary,
+  concat_ws('；', CASE WHEN contains(option_relation_summary, 'identical') THEN '选项/组件完全一致' END, CASE WHEN contains(option_relation_summary, 'changed_1_2') THEN '选项有1-2处文字差异' END,
+    CASE WHEN contains(reason_summary, 'fill') THEN '填空题题干相似且空数接近' END, CASE WHEN contains(reason_summary, 'group') THEN '已归一题组之间仍相似' END) AS review_logic,
+  '' AS risk_flags, '确认是否归一' AS suggested_action, f[1] AS first_subject, f[2] AS first_q_no
+FROM ps JOIN ms USING (component)""")
+def review_clusters(spark, sf):
+    ratio = F.least(F.char_length("text_a"), F.char_length("text_b")) / F.greatest(F.char_length("text_a"), F.char_length("text_b"))
+    pairs = text_pairs(spark, sf).select(
+        F.col("a").alias("idx_a"), F.col("b").alias("idx_b"), F.round(ratio, 4).alias("similarity"),
+        F.when(F.col("lang_a") == F.col("lang_b"), "manual_group_x").otherwise("manual_fill_x").alias("reason"),
+        F.when(F.col("source_a") < F.col("source_b"), "identical").otherwise("changed_1_2").alias("option_relation"))
+    return M.review_clusters(pairs, document_questions(spark, sf))
+
+
+@query("group_level_merges")
+def group_level_merges(spark, sf):
+    """Group pairs merged by their representatives, after all question merges."""
+    questions, _, _, groups, _, _ = _merged(spark, sf)
+    return M.merge_groups(questions, groups)[1]
+
+
+@query("group_level_review")
+def group_level_review(spark, sf):
+    """Pairs of final groups left to a reviewer."""
+    questions, _, _, groups, _, _ = _merged(spark, sf)
+    final, _ = M.merge_groups(questions, groups)
+    return M.reviewable_group_pairs(questions, document_components(spark, sf), cut_lineage(final))

@@ -1 +1,363 @@
+"""Question form queries: documents are questions (first line the question, the
+other lines its options), conversations are forms read block by block."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from surveyloom import fixed_values as V
+from surveyloom.functions import text
+from surveyloom.operators import questions as Q
+from surveyloom.queries import query
+from surveyloom.queries import bindings as B
+
+
+# --- SQL counterparts of the text rules -------------------------------------------------------
+
+def compact_sql(e):
+    return f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
+
+
+def key_sql(e):
+    """Key of an already compacted text."""
+    c = f"regexp_replace({e}, '^\\s*[*＊]?\\s*(\\d+)\\s*[.．、]\\s*(.*)$', '\\2')"
+    c = f"regexp_replace({c}, '\\[+\\s*([^\\[\\]]*?题)\\s*\\]+', '', 'g')"
+    c = f"regexp_replace({compact_sql(c)}, '[:：]+$', '')"
+    for old, new in V.TEXT_REPLACEMENTS:
+        c = f"replace({c}, '{old}', '{new}')"
+    c = f"regexp_replace({c}, '\\s+', '', 'g')"
+    return f"regexp_replace({c}, '{V.PUNCTUATION_CLASS}', '', 'g')"
+
+
+def drop_sql(e, terms):
+    for t in sorted(terms, key=len, reverse=True):
+        e = f"replace({e}, '{t}', '')"
+    return e
+
+
+def label_key_sql(e):
+    c = f"replace({e}, '其它', '其他')"
+    c = f"trim(regexp_replace({c}, '[:：]?\\s*[*＊]?\\s*[_＿]{{2,}}\\s*$', ''))"
+    return key_sql(f"trim(regexp_replace({c}, '[*＊]+$', ''))")
+
+
+# --- documents as questions -----------------------------------------------------------------------
+
+def document_lines(spark, sf):
+    d = B.table(spark, sf, "documents")
+    return d.select(F.col("doc_id").alias("idx"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+
+
+def document_questions(spark, sf):
+    d = B.table(spark, sf, "documents")
+    lines = F.split("text", "\n")
+    options = F.filter(F.slice(lines, 2, F.size(lines)), lambda x: F.trim(x) != "")
+    short = F.char_length("text") < 200
+    kind = F.when(F.size(lines) > 1, "单选题").when(short, "填空题").otherwise("多选题")
+    return d.select(
+        F.col("doc_id").alias("idx"), F.col("source").alias("source_file"), F.col("lang").alias("role"),
+        F.col("source").alias("subject"), F.col("doc_id").alias("q_no"), kind.alias("question_type"),
+        lines[0].alias("question_text"), F.size(options).alias("component_count"))
+
+
+def document_components(spark, sf):
+    rows = document_lines(spark, sf).filter("line > 0").select(
+        "idx", F.lit("option").alias("component_type"), F.col("text").alias("component_label"), F.col("line").cast("bigint").alias("option_order"))
+    return Q.with_labels(rows)
+
+
+def full_questions(spark, sf):
+    """Questions with text features and signatures."""
+    features = Q.with_text_features(document_questions(spark, sf))
+    return features.join(Q.signatures(document_components(spark, sf)), "idx", "left")
+
+
+LINES_SQL = "lines AS (SELECT doc_id AS idx, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents)"
+QUESTIONS_SQL = f"""{LINES_SQL}, q AS (
+  SELECT doc_id AS idx, source AS source_file, lang AS role, source AS subject, doc_id AS q_no,
+    CASE WHEN contains(text, chr(10)) THEN '单选题' WHEN length(text) < 200 THEN '填空题' ELSE '多选题' END AS question_type,
+    split_part(text, chr(10), 1) AS question_text, {key_sql(compact_sql("split_part(text, chr(10), 1)"))} AS normalized_text
+  FROM documents),
+keyed AS (SELECT *, role || '|' || question_type || '|' || normalized_text AS normalized_key FROM q)"""
+LABELS_SQL = f"""labels_ AS (SELECT idx, line, {compact_sql('text')} AS display, {label_key_sql(compact_sql('text'))} AS label_key FROM lines WHERE line > 0),
+kept AS (SELECT * FROM labels_ WHERE label_key <> ''),
+signs AS (SELECT idx, string_agg(label_key, chr(31) ORDER BY line) AS signature, count(*) AS size FROM kept GROUP BY idx),
+counts AS (SELECT idx, label_key, count(*) AS n FROM kept GROUP BY ALL)"""
+
+TERMS = ["the", "und", "les", "with the", "in"]
+STOP_TERMS = ["and", "der", "de la", "th"]
+
+
+@query("text_key", f"""WITH k AS (SELECT doc_id, {key_sql(compact_sql('text'))} AS key FROM documents)
+SELECT doc_id, key, {drop_sql("regexp_replace(key, '第\\d+题', '第N题', 'g')", TERMS)} AS comparison,
+  {drop_sql(drop_sql("regexp_replace(key, '第\\d+题', '第N题', 'g')", TERMS), STOP_TERMS)} AS topic FROM k""")
+def text_key(spark, sf):
+    d = B.table(spark, sf, "documents").select("doc_id", text.text_key(text.compact_text(F.col("text"))).alias("key"))
+    return d.select("doc_id", "key", text.comparison_text(F.col("key"), TERMS).alias("comparison"),
+                    text.topic_text(F.col("key"), TERMS, STOP_TERMS).alias("topic"))
+
+
+@query("char_ngrams", """WITH p AS (SELECT conv_id, turn, text, unnest([2, 3, 4]) AS n FROM conversations),
+g AS (SELECT conv_id, turn, substr(text, i, n) AS gram FROM (SELECT conv_id, turn, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM p)),
+c AS (SELECT conv_id, turn, gram, count(*) AS tf FROM g GROUP BY ALL)
+SELECT conv_id, turn, count(*) AS grams, CAST(sum(tf) AS BIGINT) AS total, max(tf) AS most, CAST(sum(tf * tf) AS BIGINT) AS norm2 FROM c GROUP BY ALL""")
+def char_ngrams(spark, sf):
+    grams = B.table(spark, sf, "conversations").select("conv_id", "turn", F.explode(text.char_grams(F.col("text"))).alias("gram"))
+    counts = grams.groupBy("conv_id", "turn", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    return counts.groupBy("conv_id", "turn").agg(
+        F.count(F.lit(1)).alias("grams"), F.sum("tf").alias("total"), F.max("tf").alias("most"), F.sum(F.col("tf") * F.col("tf")).alias("norm2"))
+
+
+def text_pairs(spark, sf):
+    """Documents paired by key: a document's length is read as another one's id."""
+    d = B.table(spark, sf, "documents")
+    a = d.select(F.col("doc_id").alias("a"), F.col("n_chars").alias("b"), F.col("text").alias("text_a"), F.col("source").alias("source_a"), F.col("lang").alias("lang_a"))
+    b = d.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"), F.col("source").alias("source_b"), F.col("lang").alias("lang_b"))
+    return a.join(b, "b").filter("a <> b")
+
+
+PAIRS_SQL = """pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, x.text AS text_a, y.text AS text_b, x.source AS source_a, y.source AS source_b,
+  x.lang AS lang_a, y.lang AS lang_b FROM documents x JOIN documents y ON x.n_chars = y.doc_id WHERE x.doc_id <> y.doc_id)"""
+
+
+@query("char_jaccard", f"""WITH {PAIRS_SQL}, s AS (SELECT a, b, length(text_a) AS la, length(text_b) AS lb,
+  list_distinct(string_split(text_a, '')) AS ca, list_distinct(string_split(text_b, '')) AS cb FROM pairs)
+SELECT a, b, CASE WHEN len(ca) = 0 OR len(cb) = 0 THEN 0.0 ELSE round(len(list_intersect(ca, cb)) / (len(ca) + len(cb) - len(list_intersect(ca, cb))), 6) END AS jaccard,
+  least(la, lb) > 0 AND least(la, lb) / greatest(la, lb) >= 0.82 AS ratio_ok FROM s""")
+def char_jaccard(spark, sf):
+    a, b = F.col("text_a"), F.col("text_b")
+    return text_pairs(spark, sf).select("a", "b", F.round(text.char_jaccard(a, b), 6).alias("jaccard"),
+                                        text.length_ratio_ok(F.char_length(a), F.char_length(b)).alias("ratio_ok"))
+
+
+WORD_SETS = [["tion", "ung", "ment"], ["eau", "th"], ["hand", "land", "and"]]
+
+
+def _token_sql(e, words):
+    case = " ".join(f"WHEN contains({e}, '{w}') THEN '{w}'" for w in sorted(words, key=len, reverse=True))
+    return f"CASE {case} END"
+
+
+@query("contrast_conflict", f"""WITH {PAIRS_SQL}
+SELECT a, b, {" OR ".join(f"coalesce({_token_sql('text_a', w)} <> {_token_sql('text_b', w)}, false)" for w in WORD_SETS)} AS conflict FROM pairs""")
+def contrast_conflict(spark, sf):
+    tokens = lambda c: text.contrast_tokens(F.col(c), WORD_SETS)
+    return text_pairs(spark, sf).select("a", "b", text.contrasts_conflict(tokens("text_a"), tokens("text_b")).alias("conflict"))
+
+
+@query("fill_blank_counts", """SELECT doc_id, CAST(len(regexp_extract_all(replace(replace(text, ', ', ' *__'), '. ', ' ___ _'), '[*＊]?\\s*[_＿]{2,}')) AS INTEGER) AS blanks FROM documents""")
+def fill_blank_counts(spark, sf):
+    blanked = text.replace_all(F.col("text"), [(", ", " *__"), (". ", " ___ _")])
+    return B.table(spark, sf, "documents").select("doc_id", text.blank_count(blanked).alias("blanks"))
+
+
+# --- conversations as forms ------------------------------------------------------------------------
+
+def blocks(spark, sf):
+    """User turns become numbered question lines, other turns their option lines."""
+    c = B.table(spark, sf, "conversations")
+    header = F.concat(F.when(F.col("turn") == 0, F.lit("*")).otherwise(F.lit("")), (F.col("turn") + 1).cast("string"), F.lit(". "), F.col("text"),
+                      F.when(F.col("turn") == 0, F.lit("[单选题]")).otherwise(F.lit(" [[填空题 ]]：")))
+    lines = F.when(F.col("role") == "user", F.array(header)).otherwise(F.split("text", "\n"))
+    return c.select("conv_id", "turn", "role", F.posexplode(lines).alias("line", "raw")).select(
+        "conv_id", "turn", "line", (F.col("turn") * 100000 + F.col("line")).alias("block_index"), text.compact_text(F.col("raw")).alias("text"))
+
+
+def segmented(spark, sf):
+    is_header, number, kind, body, required = Q.header_parts(F.col("text"))
+    parsed = blocks(spark, sf).withColumns({"is_header": is_header, "q_no": number, "kind": kind, "body": body, "required": required})
+    return Q.segment_blocks(parsed, F.col("is_header"), "conv_id", "block_index")
+
+
+BLOCKS_SQL = f"""b AS (
+  SELECT conv_id, turn, role, 0 AS line, text AS raw FROM conversations WHERE role = 'user'
+  UNION ALL SELECT conv_id, turn, role, generate_subscripts(string_split(text, chr(10)), 1) - 1, unnest(string_split(text, chr(10))) FROM conversations WHERE role <> 'user'),
+seg AS (SELECT conv_id, turn, line, role, raw, turn * 100000 + line AS block_index,
+  CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, line) AS BIGINT) AS question_no FROM b)"""
+
+
+@query("segment_blocks", f"""WITH {BLOCKS_SQL}
+SELECT conv_id, block_index, question_no, role = 'user' AS is_header, CASE WHEN role = 'user' THEN CAST(turn + 1 AS INTEGER) END AS q_no,
+  CASE WHEN role <> 'user' THEN '' WHEN turn = 0 THEN '单选题' ELSE '填空题' END AS kind, role = 'user' AND turn = 0 AS required,
+  CASE WHEN role <> 'user' THEN '' WHEN turn = 0 THEN {compact_sql('raw')} ELSE {compact_sql('raw')} || ' ' END AS body
+FROM seg WHERE question_no > 0""")
+def segment_blocks(spark, sf):
+    s = segmented(spark, sf)
+    body = F.when(F.col("is_header"), F.col("body")).otherwise("")
+    return s.select("conv_id", "block_index", "question_no", "is_header", "q_no", "kind", "required", body.alias("body"))
+
+
+def form_lines(spark, sf):
+    s = segmented(spark, sf)
+    heads = s.filter("is_header").select("conv_id", "question_no", F.col("kind").alias("question_type"))
+    marked = F.when(F.col("text").contains("the"), F.concat("text", F.lit(" *____"))).when(
+        F.col("text").contains("und"), F.concat("text", F.lit("请说明"))).otherwise(F.col("text"))
+    return s.filter("NOT is_header").join(heads, ["conv_id", "question_no"]).select(
+        F.col("conv_id").alias("source_file"), "question_no", "block_index", "question_type",
+        F.when(F.col("text") != "", F.concat(F.lit("["), F.col("line").cast("string"), F.lit("] "), marked)).otherwise("").alias("text"))
+
+
+@query("component_order", f"""WITH {BLOCKS_SQL}, h AS (SELECT conv_id, question_no, turn = 0 AS first FROM seg WHERE role = 'user'),
+l AS (SELECT s.conv_id, s.question_no, s.block_index, s.line, {compact_sql('s.raw')} AS t, h.first FROM seg s JOIN h USING (conv_id, question_no) WHERE s.role <> 'user'),
+k AS (SELECT *, CASE WHEN contains(t, 'the') THEN t || ' *____' WHEN contains(t, 'und') THEN t || '请说明' ELSE t END AS label FROM l WHERE t <> '')
+SELECT conv_id, question_no, CASE WHEN first THEN 'option' ELSE 'scalar' END AS component_type, label, CAST(line AS VARCHAR) AS code,
+  row_number() OVER (PARTITION BY conv_id, question_no ORDER BY block_index) AS option_order,
+  contains(t, 'the') OR contains(t, 'und') AS text_entry, contains(t, 'the') AS entry_required FROM k""")
+def component_order(spark, sf):
+    components = Q.line_components(form_lines(spark, sf))
+    value, label = text.option_code(F.col("component_label"))
+    entry, required = text.needs_text_entry(F.col("label"))
+    return components.select(F.col("source_file").alias("conv_id"), "question_no", "component_type", "option_order", value.alias("code"), label.alias("label")).withColumns(
+        {"text_entry": entry, "entry_required": required})
+
+
+def dependency_lines(spark, sf):
+    li = B.table(spark, sf, "lineitem")
+    line = F.concat(F.lit("关联题目："), F.when(F.col("l_returnflag") == "R", F.lit("前")).otherwise(F.concat(F.lit("第"), F.col("l_linenumber").cast("string"))),
+                    F.lit("题 选项"), F.col("l_suppkey").cast("string"), F.lit("、选项 "), F.col("l_linenumber").cast("string"), F.lit("、选项 "), F.col("l_linenumber").cast("string"),
+                    F.when(F.col("l_returnflag") == "A", F.lit(" 当且仅当")).otherwise(""), F.when(F.col("l_linestatus") == "F", F.lit(" 需要作答")).otherwise(""))
+    other = F.concat(F.lit("填写说明："), F.col("l_partkey").cast("string"))
+    return li.select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "N", other).otherwise(line).alias("text"))
+
+
+@query("dependency_table", """SELECT l_orderkey, l_linenumber, '关联题目：' || CASE WHEN l_returnflag = 'R' THEN '前' ELSE '第' || l_linenumber END || '题 选项' || l_suppkey || '、选项 '
+  || l_linenumber || '、选项 ' || l_linenumber || CASE WHEN l_returnflag = 'A' THEN ' 当且仅当' ELSE '' END || CASE WHEN l_linestatus = 'F' THEN ' 需要作答' ELSE '' END AS dependency_text,
+  CASE WHEN l_returnflag = 'A' THEN '当且仅当' END AS dependency_logic, CASE WHEN l_returnflag = 'A' THEN l_linenumber END AS depends_on_q_no,
+  CASE WHEN l_suppkey = l_linenumber THEN CAST(l_suppkey AS VARCHAR) ELSE least(l_suppkey, l_linenumber) || '|' || greatest(l_suppkey, l_linenumber) END AS depends_on_option_orders,
+  l_linestatus = 'F' AS dependency_required FROM lineitem WHERE l_returnflag <> 'N'""")
+def dependency_table(spark, sf):
+    found = Q.dependencies(dependency_lines(spark, sf))
+    orders = F.array_join(F.transform("depends_on_option_orders", lambda o: o.cast("string")), "|")
+    return found.withColumn("depends_on_option_orders", orders)
+
+
+# --- groups -----------------------------------------------------------------------------------------
+
+@query("exact_question_groups", f"""WITH {QUESTIONS_SQL}
+SELECT normalized_key, min(idx) AS group_id, count(*) AS members FROM keyed GROUP BY normalized_key""")
+def exact_question_groups(spark, sf):
+    return Q.exact_groups(Q.with_text_features(document_questions(spark, sf)))
+
+
+def exact_members(spark, sf):
+    questions = Q.with_text_features(document_questions(spark, sf))
+    return questions.join(Q.exact_groups(questions).select("normalized_key", "group_id"), "normalized_key")
+
+
+GROUPS_SQL = f"""{QUESTIONS_SQL}, m AS (SELECT *, min(idx) OVER (PARTITION BY normalized_key) AS group_id FROM keyed),
+texts AS (SELECT *, count(*) OVER (PARTITION BY group_id, question_text) AS tc FROM m),
+canon AS (SELECT group_id, question_text AS canonical_question FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY tc DESC, length(question_text) DESC, q_no, idx) AS rn FROM texts) WHERE rn = 1),
+g AS (SELECT group_id, count(DISTINCT (role, subject)) AS rs, count(DISTINCT subject) AS subject_count, arg_min(role, idx) AS role, min(q_no) AS q, arg_min(normalized_text, idx) AS t FROM m GROUP BY group_id),
+numbered AS (SELECT group_id, 'QG' || printf('%04d', row_number() OVER (ORDER BY rs DESC, role, q, t)) AS norm_id, subject_count FROM g)"""
+
+
+@query("canonical_question", f"""WITH {GROUPS_SQL} SELECT group_id, norm_id, subject_count, 'normalized_exact' AS match_method, canonical_question FROM numbered JOIN canon USING (group_id)""")
+def canonical_question(spark, sf):
+    members = exact_members(spark, sf)
+    return Q.number_groups(members).join(Q.representatives(members).drop("representative"), "group_id")
+
+
+SUBJECTS = [f"src{i}" for i in range(20)]
+
+
+@query("mapping_wide", f"""WITH {GROUPS_SQL}
+SELECT norm_id, {", ".join(f"coalesce(string_agg(CAST(q_no AS VARCHAR), '; ' ORDER BY q_no) FILTER (WHERE subject = '{s}'), '') AS {s}" for s in SUBJECTS)}
+FROM m JOIN numbered USING (group_id) GROUP BY norm_id""")
+def mapping_wide(spark, sf):
+    members = exact_members(spark, sf)
+    return Q.mapping_wide(members.join(Q.number_groups(members).select("group_id", "norm_id"), "group_id"), SUBJECTS)
+
+
+@query("run_counts", f"""WITH {QUESTIONS_SQL}, {LABELS_SQL}
+SELECT 'source_files' AS item, count(DISTINCT source_file) AS value FROM q UNION ALL SELECT 'subjects', count(DISTINCT subject) FROM q
+UNION ALL SELECT 'questions', count(*) FROM q UNION ALL SELECT 'answer_components', count(*) FROM lines WHERE line > 0
+UNION ALL SELECT 'normalized_groups', count(DISTINCT normalized_key) FROM keyed
+UNION ALL SELECT 'groups_in_2plus_subjects', count(*) FROM (SELECT normalized_key FROM keyed GROUP BY 1 HAVING count(DISTINCT subject) >= 2)
+UNION ALL SELECT 'anomalies', count(*) FROM q LEFT JOIN (SELECT idx, count(*) AS n FROM lines WHERE line > 0 AND trim(text) <> '' GROUP BY idx) c USING (idx)
+  WHERE question_type IN ('单选题', '多选题') AND coalesce(n, 0) = 0""")
+def run_counts(spark, sf):
+    """Counters of a run, each from one aggregate per table."""
+    questions = Q.with_text_features(document_questions(spark, sf))
+    def counters(df, **named):
+        one = df.agg(*[c.cast("bigint").alias(n) for n, c in named.items()])
+        return one.unpivot([], list(named), "item", "value")
+    per_key = questions.groupBy("normalized_key").agg(F.count_distinct("subject").alias("subjects"))
+    parts = [
+        counters(questions, source_files=F.count_distinct("source_file"), subjects=F.count_distinct("subject"), questions=F.count(F.lit(1))),
+        counters(document_components(spark, sf), answer_components=F.count(F.lit(1))),
+        counters(per_key, normalized_groups=F.count(F.lit(1)), groups_in_2plus_subjects=F.count_if(F.col("subjects") >= 2)),
+        counters(Q.missing_components(document_questions(spark, sf)), anomalies=F.count(F.lit(1))),
+    ]
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+# --- option sets ---------------------------------------------------------------------------------------
+
+def option_pairs(spark, sf):
+    """Each question with the first one of its exact group, and the pairs by key."""
+    members = exact_members(spark, sf)
+    in_group = members.filter("idx <> group_id").select(F.col("group_id").alias("idx_a"), F.col("idx").alias("idx_b"))
+    by_key = text_pairs(spark, sf).select(F.col("a").alias("idx_a"), F.col("b").alias("idx_b"))
+    return in_group.unionByName(by_key).distinct()
+
+
+OPTION_PAIRS_SQL = f"""{GROUPS_SQL}, {LABELS_SQL}, {PAIRS_SQL},
+op AS (SELECT DISTINCT idx_a, idx_b FROM (SELECT group_id AS idx_a, idx AS idx_b FROM m WHERE idx <> group_id UNION ALL SELECT a, b FROM pairs)),
+side AS (SELECT idx_a, idx_b, label_key, n AS na, 0 AS nb FROM op JOIN counts ON idx = idx_a UNION ALL SELECT idx_a, idx_b, label_key, 0, n FROM op JOIN counts ON idx = idx_b),
+d AS (SELECT idx_a, idx_b, label_key, sum(na) AS na, sum(nb) AS nb FROM side GROUP BY ALL),
+s AS (SELECT idx_a, idx_b, sum(greatest(na - nb, 0)) AS missing, sum(greatest(nb - na, 0)) AS extra, sum(least(na, nb)) AS common, sum(na) AS sa, sum(nb) AS sb FROM d GROUP BY ALL),
+r AS (SELECT op.idx_a, op.idx_b, coalesce(missing, 0) AS missing, coalesce(extra, 0) AS extra, coalesce(common, 0) AS common, coalesce(sa, 0) AS sa, coalesce(sb, 0) AS sb,
+    coalesce(x.signature, '') AS ga, coalesce(y.signature, '') AS gb FROM op LEFT JOIN s USING (idx_a, idx_b) LEFT JOIN signs x ON x.idx = op.idx_a LEFT JOIN signs y ON y.idx = op.idx_b),
+rel AS (SELECT *, CASE WHEN ga = gb THEN 'identical' WHEN missing + extra = 0 THEN 'same_items_order_diff'
+  WHEN common > 0 AND missing + extra <= 2 THEN CASE WHEN missing > 0 AND extra > 0 THEN 'changed_1_2' ELSE 'add_or_missing_1_2' END
+  WHEN common > 0 THEN 'partial_overlap' WHEN (sa = 0 OR sb = 0) AND missing + extra <= 2 THEN 'add_or_missing_1_2' ELSE 'completely_different' END AS option_relation FROM r)"""
+
+
+@query("option_relation", f"""WITH {OPTION_PAIRS_SQL}
+SELECT idx_a, idx_b, CAST(missing AS BIGINT) AS missing, CAST(extra AS BIGINT) AS extra, CAST(common AS BIGINT) AS common, option_relation FROM rel""")
+def option_relation(spark, sf):
+    pairs, labelled = option_pairs(spark, sf), document_components(spark, sf)
+    deltas = Q.multiset_deltas(pairs, Q.label_counts(labelled))
+    return Q.option_relations(pairs, deltas, Q.signatures(labelled)).select("idx_a", "idx_b", "missing", "extra", "common", "option_relation")
+
+
+DELTA_SQL = """shown AS (SELECT *, row_number() OVER (PARTITION BY idx, label_key ORDER BY line) AS rk FROM kept),
+mt AS (SELECT d.idx_a, d.idx_b, display, count(*) AS c FROM d JOIN shown ON shown.idx = d.idx_a AND shown.label_key = d.label_key WHERE rk <= na - nb GROUP BY ALL),
+et AS (SELECT d.idx_a, d.idx_b, display, count(*) AS c FROM d JOIN shown ON shown.idx = d.idx_b AND shown.label_key = d.label_key WHERE rk <= nb - na GROUP BY ALL),
+mtt AS (SELECT idx_a, idx_b, '选项: ' || string_agg(CASE WHEN c > 1 THEN display || '*' || c ELSE display END, ' | ' ORDER BY display) AS missing_text FROM mt GROUP BY ALL),
+ett AS (SELECT idx_a, idx_b, '选项: ' || string_agg(CASE WHEN c > 1 THEN display || '*' || c ELSE display END, ' | ' ORDER BY display) AS extra_text FROM et GROUP BY ALL)"""
+
+
+@query("option_delta_text", f"""WITH {OPTION_PAIRS_SQL}, {DELTA_SQL}
+SELECT idx_a, idx_b, missing_text, extra_text FROM mtt FULL OUTER JOIN ett USING (idx_a, idx_b)""")
+def option_delta_text(spark, sf):
+    pairs, labelled = option_pairs(spark, sf), document_components(spark, sf)
+    return Q.delta_texts(Q.multiset_deltas(pairs, Q.label_counts(labelled)), labelled)
+
+
+@query("option_difference_report", f"""WITH {GROUPS_SQL}, {LABELS_SQL},
+ms AS (SELECT m.*, coalesce(signature, '') AS signature, coalesce(size, 0) AS size FROM m LEFT JOIN signs USING (idx)),
+fr AS (SELECT *, count(*) OVER (PARTITION BY group_id, signature) AS f FROM ms),
+ref AS (SELECT group_id, idx AS reference, subject AS rsub, q_no AS rq, signature AS rsig FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY size, f DESC, role, subject, q_no, idx) AS rn FROM fr) WHERE rn = 1),
+vc AS (SELECT group_id, count(DISTINCT signature) AS variants FROM ms GROUP BY group_id),
+op AS (SELECT reference AS idx_a, idx AS idx_b FROM ms JOIN ref USING (group_id)),
+side AS (SELECT idx_a, idx_b, label_key, n AS na, 0 AS nb FROM op JOIN counts ON idx = idx_a UNION ALL SELECT idx_a, idx_b, label_key, 0, n FROM op JOIN counts ON idx = idx_b),
+d AS (SELECT idx_a, idx_b, label_key, sum(na) AS na, sum(nb) AS nb FROM side GROUP BY ALL),
+s AS (SELECT idx_a, idx_b, sum(greatest(na - nb, 0)) AS missing, sum(greatest(nb - na, 0)) AS extra, sum(least(na, nb)) AS common, sum(na) AS sa, sum(nb) AS sb FROM d GROUP BY ALL), {DELTA_SQL}
+SELECT ms.group_id, ms.idx, ms.role, ms.subject, ms.q_no, variants AS option_variant_count, rsub AS minimum_reference_subject, rq AS minimum_reference_q_no, ms.size AS component_count,
+  CASE WHEN ms.signature = rsig THEN 'identical' WHEN coalesce(missing + extra, 0) = 0 THEN 'same_items_order_diff'
+    WHEN common > 0 AND missing + extra <= 2 THEN CASE WHEN missing > 0 AND extra > 0 THEN 'changed_1_2' ELSE 'add_or_missing_1_2' END
+    WHEN common > 0 THEN 'partial_overlap' WHEN (sa = 0 OR sb = 0) AND missing + extra <= 2 THEN 'add_or_missing_1_2' ELSE 'completely_different' END AS option_relation,
+  missing_text AS missing_vs_minimum, extra_text AS extra_vs_minimum
+FROM ms JOIN ref USING (group_id) JOIN vc USING (group_id) LEFT JOIN s ON s.idx_a = reference AND s.idx_b = ms.idx
+LEFT JOIN mtt ON mtt.idx_a = reference AND mtt.idx_b = ms.idx LEFT JOIN ett ON ett.idx_a = reference AND ett.idx_b = ms.idx""")
+def option_difference_report(spark, sf):
+    questions = full_questions(spark, sf)
+    members = questions.join(Q.exact_groups(questions).select("normalized_key", "group_id"), "normalized_key")
+    report = Q.option_report(members, document_components(spark, sf))
+    return report.select("group_id", F.col("idx_b").alias("idx"), "role", "subject", "q_no", "option_variant_count", "minimum_reference_subject",
+                         "minimum_reference_q_no", "component_count", "option_relation", F.col("missing_text").alias("missing_vs_minimum"),
+                         F.col("extra_text").alias("extra_vs_minimum"))

@@ -85,16 +85,16 @@ def blank_count(c: Column) -> Column:
 
 
 def char_grams(c: Column, low: int = 2, high: int = 4) -> Column:
-    """All character n-grams of the whole text, repeats kept."""
-    n_chars = F.char_length(c)
-
-    def grams(n: int) -> Column:
-        positions = F.sequence(F.lit(1), n_chars - F.lit(n - 1))
-        return F.when(n_chars >= n, F.transform(positions, lambda i: F.substring(c, i, F.lit(n)))).otherwise(
-            F.array().cast("array<string>")
-        )
-
-    return F.concat(*[grams(n) for n in range(low, high + 1)])
+    """All character n-grams of the whole text, repeats kept. The text is cut into
+    characters once; a substring per gram would walk the text from its start."""
+    def grams(chars: Column, n: int) -> Column:
+        last = F.size(chars) - n
+        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
+
+    # wrapping the character list in an array binds it, so it is made once per text
+    bound = F.array(F.filter(F.split(c, ""), lambda ch: ch != ""))
+    return F.flatten(F.transform(bound, lambda chars: F.concat(*[grams(chars, n) for n in range(low, high + 1)])))
 
 
 def char_set(c: Column) -> Column:

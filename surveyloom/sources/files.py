@@ -7,6 +7,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from surveyloom.session import shared_folder
+
 BOM = "﻿"
 
 
@@ -50,7 +52,5 @@ def find_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder name beside the checkpoints, which all executors reach."""
-    from surveyloom.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    """A new folder name beside the written tables, which all executors reach."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"

@@ -4,19 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from surveyloom.operators.crosstab import share
 
 
+QUANTILE_SLICES = 256
+
+
+def exact_quantiles(folded: DataFrame, group: str, probabilities: Sequence[float]) -> DataFrame:
+    """Exact interpolated quantiles of (group, value, n) rows, n the frequency, as
+    ``group, n_values, q ARRAY``. A group is cut into slices at approximate
+    quantiles; slice totals tell which slices hold the wanted ranks, and only the
+    values of those few are put in order."""
+    points = F.array(*[F.lit((i + 1) / QUANTILE_SLICES) for i in range(QUANTILE_SLICES - 1)])
+    cuts = folded.groupBy(group).agg(F.percentile_approx("value", points, F.lit(QUANTILE_SLICES * 20)).alias("cuts"))
+    sliced = folded.join(cuts, group).withColumn("slice", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    before = W.partitionBy(group).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    totals = sliced.groupBy(group, "slice").agg(F.sum("n").alias("size"))
+    starts = totals.withColumns({
+        "start": F.coalesce(F.sum("size").over(before), F.lit(0)), "n_values": F.sum("size").over(W.partitionBy(group))})
+    place = [(F.col("n_values") - 1) * F.lit(p) for p in probabilities]
+    ranks = F.array(*[f(x).cast("bigint") for x in place for f in (F.floor, F.ceil)])
+    wanted = starts.withColumn("ranks", F.array_distinct(F.filter(
+        ranks, lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("size"))))).filter(F.size("ranks") > 0)
+    inside = W.partitionBy(group, "slice").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    ordered = sliced.join(wanted, [group, "slice"]).withColumn(
+        "first_rank", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    hits = ordered.withColumn("rank", F.explode("ranks")).filter(
+        (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n")))
+    # at most two ranks per probability and group
+    values = hits.groupBy(group).agg(
+        F.max("n_values").alias("n_values"), F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
+    def quantile(x):
+        low, high = F.element_at("at", F.floor(x).cast("bigint")), F.element_at("at", F.ceil(x).cast("bigint"))
+        return F.when(F.floor(x) == F.ceil(x), low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high)
+    return values.select(group, "n_values", F.array(*[quantile(x) for x in place]).alias("q"))
+
+
 def box_summary(df: DataFrame, group: str, column: str) -> DataFrame:
     """Quartiles and 1.5 IQR whiskers per group. Equal values are folded into
-    (value, frequency) rows first, which is what a hot group shrinks to."""
-    folded = df.filter(F.col(column).isNotNull()).groupBy(group, F.col(column).alias("value")).agg(
+    (value, frequency) rows first."""
+    folded = df.filter(F.col(column).isNotNull()).groupBy(group, F.col(column).cast("double").alias("value")).agg(
         F.count(F.lit(1)).alias("n"))
-    quartiles = folded.groupBy(group).agg(
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n")).alias("q"),
-        F.sum("n").alias("n_values"))
+    quartiles = exact_quantiles(folded, group, (0.25, 0.5, 0.75))
     spread = 1.5 * (F.col("q")[2] - F.col("q")[0])
     low, high = F.col("q")[0] - spread, F.col("q")[2] + spread
     inside = F.col("value").between(low, high)

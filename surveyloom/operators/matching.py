@@ -442,25 +442,23 @@ def reviewable_group_pairs(questions: DataFrame, labelled: DataFrame, groups: Da
     shown = all_faces.join(reps.select("face").distinct(), "face", "left_semi")
     fill = F.col("question_type") == V.FILL_TYPE
     counts = cut_lineage(Q.label_counts(labelled.join(shown.select(F.col("face").alias("idx")), "idx", "left_semi")))
-    # near options: of the three rarest labels of either side one is shared
-    base = shown.filter(~fill).select(F.col("face").alias("idx"), block_of().alias("block"))
+    # A pair must have near options and alike texts, so both are in the join key:
+    # of the three rarest labels of either side one is shared (two labels may
+    # differ), and a rare gram or character. Blanks and option lists of at most two
+    # entries, which may differ in all of them, share one common tag instead.
+    base = shown.select(F.col("face").alias("idx"), block_of().alias("block"))
     posted = counts.join(base, "idx")
-    frequency = posted.groupBy("block", "component_type", "label_key").agg(F.count(F.lit(1)).alias("df"))
-    sized = posted.join(frequency, ["block", "component_type", "label_key"])
-    rare = sized.withColumn("_p", F.row_number().over(W.partitionBy("idx").orderBy("df", "component_type", "label_key"))).filter("_p <= 3")
-    left = rare.select("block", "component_type", "label_key", F.col("idx").alias("a"))
-    right = rare.select("block", "component_type", "label_key", F.col("idx").alias("b"))
-    by_label = left.join(right, ["block", "component_type", "label_key"]).filter("a < b").select("a", "b").distinct()
-    # blanks and (almost) empty option lists can only be found by their texts
-    bare = shown.filter(fill | (F.col("signature_size") <= 2))
-    parts = [by_label]
-    units, placed = _units(bare, block_of(), "comparison")
-    long_enough = units.filter(F.char_length("text") >= 2)
-    grams = cut_lineage(gram_counts(long_enough))
-    parts.append(_spread(gram_candidates(long_enough, gram_prefixes(grams, V.GROUP_REVIEW_SIMILARITY), None), placed))
-    units, placed = _units(bare, block_of(), "topic")
-    parts.append(_spread(char_set_candidates(units, V.GROUP_REVIEW_TOPIC_JACCARD), placed))
-    pairs = cut_lineage(parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct())
+    label = F.concat_ws("|", "component_type", "label_key")
+    frequency = posted.groupBy("block", label.alias("tag")).agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(W.partitionBy("idx").orderBy("df", "tag"))
+    rare = posted.withColumn("tag", label).join(frequency, ["block", "tag"]).withColumn("_p", rank).filter("_p <= 3")
+    bare = shown.filter(fill | (F.col("signature_size") <= 2)).select(F.col("face").alias("unit"), F.lit("").alias("tag"))
+    tags = cut_lineage(rare.select(F.col("idx").alias("unit"), "tag").unionByName(bare))
+    units = lambda c: shown.select(F.col("face").alias("unit"), block_of().alias("block"), F.col(c).alias("text"))
+    grams = cut_lineage(gram_counts(units("comparison").filter(F.char_length("text") >= 2)))
+    by_gram = gram_candidates(units("comparison"), gram_prefixes(grams, V.GROUP_REVIEW_SIMILARITY), None, tags)
+    by_char = char_set_candidates(units("topic"), V.GROUP_REVIEW_TOPIC_JACCARD, tags)
+    pairs = cut_lineage(by_gram.unionByName(by_char).select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b")).distinct())
     keys = ["idx_a", "idx_b"]
     named = pairs.select(F.col("a").alias("idx_a"), F.col("b").alias("idx_b"))
     signs = all_faces.select(F.col("face").alias("idx"), "signature")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from surveyloom.operators.crosstab import share
 
 
-QUANTILE_SLICES = 256
+QUANTILE_SLICES = 100
 
 
 def exact_quantiles(folded: DataFrame, group: str, probabilities: Sequence[float]) -> DataFrame:

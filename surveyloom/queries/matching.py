@@ -43,7 +43,7 @@ SELECT ia AS first_idx_a, ib AS first_idx_b, round(similarity, 4) AS similarity,
 FROM near JOIN keyed u ON u.normalized_key = ka JOIN keyed v ON v.normalized_key = kb WHERE u.source_file <> v.source_file GROUP BY ALL""")
 def near_matches(spark, sf):
     """Keys of about equal text, with the number of question pairs in different files."""
-    pairs = M.similar_keys(Q.with_text_features(document_questions(spark, sf)))
+    pairs = M.similar_keys(cut_lineage(Q.with_text_features(document_questions(spark, sf))))
     return pairs.select("first_idx_a", "first_idx_b", F.round("similarity", 4).alias("similarity"), "question_pairs")
 
 

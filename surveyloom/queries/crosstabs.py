@@ -30,6 +30,11 @@ ANSWERS_SQL = B.RESPONDENTS_SQL + """, answers AS (
   FROM orders JOIN respondents ON o_custkey = c_custkey)"""
 
 
+def twice_rounded_sql(mean, digits):
+    """A mean rounded to six decimals and then to fewer, as the query does."""
+    return f"CAST(round(CAST({mean} AS DECIMAL(28, 6)), {digits}) AS DOUBLE)"
+
+
 def values_sql(items, name):
     return f"(SELECT unnest([{', '.join(repr(i) for i in items)}]) AS {name})"
 
@@ -124,9 +129,9 @@ def target_ratio_matrix(spark, sf):
 
 
 @query("mean_vs_overall", f"""WITH {ANSWERS_SQL}
-SELECT subject AS unit, list_position({SEGMENTS!r}, subject)::INTEGER AS ordinal, round(avg(field_value / 1000), 4) AS mean,
-  (SELECT round(avg(field_value / 1000), 4) FROM answers) AS overall_mean,
-  (SELECT round(avg(field_value / 1000), 4) FROM answers WHERE city = 'ASIA') AS city_mean
+SELECT subject AS unit, list_position({SEGMENTS!r}, subject)::INTEGER AS ordinal, {twice_rounded_sql('avg(field_value / 1000)', 4)} AS mean,
+  (SELECT {twice_rounded_sql('avg(field_value / 1000)', 4)} FROM answers) AS overall_mean,
+  (SELECT {twice_rounded_sql('avg(field_value / 1000)', 4)} FROM answers WHERE city = 'ASIA') AS city_mean
 FROM answers GROUP BY subject""")
 def mean_vs_overall(spark, sf):
     df = answers(spark, sf).withColumn("thousands", F.col("field_value") / 1000)
@@ -135,8 +140,8 @@ def mean_vs_overall(spark, sf):
 
 
 @query("field_unit_mean", f"""WITH {ANSWERS_SQL}
-SELECT field_name, round(avg(field_value), 2) AS "自治区",
-  {", ".join(f'''round(avg(CASE WHEN city = '{c}' THEN field_value END), 2) AS "{c}"''' for c in REGIONS)}
+SELECT field_name, {twice_rounded_sql('avg(field_value)', 2)} AS "自治区",
+  {", ".join(twice_rounded_sql(f"avg(CASE WHEN city = '{c}' THEN field_value END)", 2) + f' AS "{c}"' for c in REGIONS)}
 FROM answers GROUP BY field_name""")
 def field_unit_mean(spark, sf):
     wide = X.field_unit_means(answers(spark, sf), PRIORITIES, "city", REGIONS)
@@ -153,7 +158,7 @@ def grade_mean_matrix(spark, sf):
 
 
 @query("grade_value_mean", f"""WITH {ANSWERS_SQL}
-SELECT city AS unit, {", ".join(f'''round(avg(CASE WHEN grade = '{g}' THEN field_value END), 2) AS "{g}"''' for g in GRADES)}
+SELECT city AS unit, {", ".join(twice_rounded_sql(f"avg(CASE WHEN grade = '{g}' THEN field_value END)", 2) + f' AS "{g}"' for g in GRADES)}
 FROM answers GROUP BY city""")
 def grade_value_mean(spark, sf):
     wide = X.grade_value_means(answers(spark, sf), "city", GRADES)

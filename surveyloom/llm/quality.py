@@ -26,12 +26,12 @@ MIN_CHAR_WORDS, MAX_CHAR_DIVERGENCE = 20, 0.08
 MIN_COMMON_WORDS, MAX_COMMON_DIVERGENCE = 80, 0.10
 
 
-def text_features(docs: DataFrame) -> DataFrame:
-    """One narrow row per document, from one pass over its whole text: counts of
+def text_features(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per document (``_doc`` with the columns to keep), from one pass over its whole text: counts of
     the base rules, characters per class and common words found. All built-in
     expressions; nothing is shuffled."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    at = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), text.alias("_t0"))
+    at = docs.select(F.struct(*keep).alias("_doc"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), text.alias("_t0"))
     at = at.withColumn("_words", words_of(F.col("_t0")))
     for i, run in enumerate(CLASS_RUNS):
         at = at.withColumn(f"_t{i + 1}", F.regexp_replace(f"_t{i}", run, ""))
@@ -40,7 +40,7 @@ def text_features(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("_t0", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     hits = F.transform(F.filter("_words", lambda w: F.lower(w).isin(COMMON_WORDS)), F.lower)
     at = at.select(
-        "doc_id", "lang", F.size("_words").cast("bigint").alias("n_words"),
+        "_doc", "lang", F.size("_words").cast("bigint").alias("n_words"),
         (left[0] - counts[1]).cast("bigint").alias("word_chars"), counts[5].cast("bigint").alias("n_symbols"),
         lines.alias("_lines"), F.array(*[c.cast("double") for c in counts]).alias("chars"),
         F.sort_array(hits).alias("_hits"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
@@ -57,7 +57,7 @@ def text_features(docs: DataFrame) -> DataFrame:
     covered = F.transform("_starts", lambda p, k: F.least(F.lit(5), F.coalesce(F.get("_starts", k + 1) - p, F.lit(5))))
     ends = lambda w, k: F.coalesce(F.array_position("_hits", F.get("_kinds", k + 1)), F.size("_hits") + 1)
     return at.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols",
+        "_doc", "lang", "n_words", "word_chars", "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("bigint").alias("n_repeat_words"),
         "chars", F.transform("_kinds", lambda w, k: F.struct(
@@ -97,17 +97,15 @@ def _total(terms: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, base_failed, char_divergence, word_divergence, kept.
-
-    A text's histograms of character classes and of common words (all other words
+def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """A text's histograms of character classes and of common words (all other words
     form one bin) are held against the means of its language by Jensen-Shannon
     divergence (0 to 1). A divergence is null, and never rejects, below its least
     number of words: 20 for characters, 80 for words. A null text has no words and
     fails the base rule; languages beyond the 64 largest, and null ones that form
     no group of their own, use the reference of all documents. Repeated rows are
     judged one by one. An empty table gives an empty result."""
-    features = cut_lineage(text_features(docs))
+    features = cut_lineage(text_features(docs, keep))
     refs = cut_lineage(language_references(features))
     whole = refs.filter("lang IS NULL").select(F.col("chars_ref").alias("_ca"), F.col("common_ref").alias("_wa"))
     own = refs.filter("lang IS NOT NULL").select(
@@ -132,5 +130,17 @@ def judge(docs: DataFrame) -> DataFrame:
     far = F.coalesce(F.col("char_divergence") > MAX_CHAR_DIVERGENCE, F.lit(False)) | F.coalesce(
         F.col("word_divergence") > MAX_COMMON_DIVERGENCE, F.lit(False))
     return at.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "_doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & ~far).alias("kept"), "char_divergence", "word_divergence")
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and both divergences of every row."""
+    at = _judged(docs, ["doc_id"])
+    return at.select("_doc.doc_id", *[c for c in at.columns if c != "_doc"])
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    at = _judged(docs, docs.columns).filter("kept")
+    return at.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

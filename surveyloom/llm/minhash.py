@@ -44,11 +44,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
+def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles of a whole text; a shorter
     text with words is one shingle. bytes.lower and bytes.split know exactly A-Z and
     the six ASCII blanks."""
-    words = (text or "").encode().lower().split()
+    words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     Texts without words, null texts and rows without doc_id link with nothing (a null
     id has a null component and is not kept). Rows that share a doc_id are one node.
     Bands need 0.8 or more to find nearly all pairs."""
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text"))
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = cut_lineage(source.mapInArrow(
         lambda it: _signed(it, shingle_words), "doc_id bigint, n_shingles bigint, digest binary, sign binary"))
     usable = signed.filter("doc_id IS NOT NULL AND digest IS NOT NULL")

@@ -83,8 +83,18 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Totals are sums over all counted words; only the ``KNOWN`` most frequent ones come to the driver."""
-    known = [(bytes(r["token"]), r["c"]) for r in counts.orderBy(F.col("c").desc(), "token").limit(KNOWN).collect()]
+    """Totals are sums over all counted words. Only words of at least a certain count come
+    to the driver, the least count (in eighths of a power of two) that leaves no more
+    than ``KNOWN`` of them."""
+    steps = counts.groupBy(F.floor(8 * F.log2("c")).cast("int").alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()  # some 500 rows at most
+    least, room = None, KNOWN
+    for r in sorted(steps, key=lambda r: -r["step"]):
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["step"]
+    frequent = counts.filter(F.floor(8 * F.log2("c")) >= least).collect() if least is not None else []
+    known = sorted(((bytes(r["token"]), r["c"]) for r in frequent), key=lambda w: (-w[1], w[0]))
     whole = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     ending = F.expr("CASE WHEN length(token) > 2 THEN substring(token, length(token) - 1, 2) ELSE token END")
     classes = counts.groupBy((F.crc32(ending) % TAIL + HEAD).cast("int").alias("k")).agg(

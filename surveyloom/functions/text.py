@@ -30,12 +30,18 @@ def first_filled(*cs: Column) -> Column:
     return F.coalesce(*[blank_to_null(c) for c in cs])
 
 
+def strip(c: Column) -> Column:
+    """Without white space, as ``SPACE`` knows it, at both ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def squeeze_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " "))
 
 
 def compact_text(c: Column) -> Column:
-    return squeeze_spaces(nfkc(c))
+    plain = c.rlike(r"^[\x00-\x7f]*\z")  # composition leaves ASCII alone: such texts stay out of Python
+    return squeeze_spaces(F.coalesce(F.when(plain, c), nfkc(F.when(~plain, c))))
 
 
 def drop_question_tags(c: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from surveyloom import fixed_values as V
-from surveyloom.functions.text import first_filled
+from surveyloom.functions.text import first_filled, strip
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -24,7 +24,7 @@ def answer_value(field_value: Column, raw_value: Column) -> Column:
 
 
 def is_selected(value: Column) -> Column:
-    return ~F.trim(F.coalesce(value, F.lit(""))).isin(V.UNSELECTED_VALUES)
+    return ~strip(F.coalesce(value, F.lit(""))).isin(V.UNSELECTED_VALUES)
 
 
 def recode(c: Column, mapping: Mapping[object, object], other: Column | None = None) -> Column:

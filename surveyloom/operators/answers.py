@@ -10,7 +10,7 @@ from surveyloom import fixed_values as V
 from surveyloom.functions import ids, text
 from surveyloom.functions.text import blank_to_null, first_filled
 from surveyloom.operators.ordering import first_rows
-from surveyloom.session import BROADCAST_ROWS, cut_lineage, lookup_side
+from surveyloom.session import cut_lineage, lookup_side
 from surveyloom.sources.cells import cell, is_question_number, keyed_rows
 
 TITLE_FIELDS = ["project_name", "form_title", "semester", "form_id", "subject", "role"]
@@ -116,8 +116,6 @@ def match_components(rows: DataFrame, components: DataFrame) -> DataFrame:
         F.min_by(one, F.col("ord")).alias("_by_field"))
     single = components.groupBy(*question).agg(
         F.count(F.lit(1)).alias("component_count"), F.min_by(one, F.col("ord")).alias("_single"))
-    if components.count() <= BROADCAST_ROWS:
-        exact, by_field, single = (F.broadcast(d) for d in (exact, by_field, single))
     exact = exact.withColumnsRenamed({"field_id": "row_field_id", "dimension_id": "row_dimension_id"})
     by_field = by_field.withColumnRenamed("field_id", "row_field_id")
     joined = (

@@ -62,16 +62,20 @@ def chart_checks(resolved: DataFrame) -> DataFrame:
     return resolved.select(F.col("report_rule_id").alias("rule_id"), F.inline(found))
 
 
+#: Stands for every metric where a rule names none; no id holds a control character.
+EVERY = "\x00"
+
+
 def chart_rows(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Metric rows of every rule: its ids, or all charted metrics when it names
     none. ``school`` is kept, so equal categories of several schools stay apart."""
     resolved = resolve_chart_types(rules).select(
         F.col("report_rule_id").alias("rule_id"), F.col("unified_type").alias("chart_type"), "ids", "top_n",
         "text_template_id", F.col("section_title").alias("title"))
-    wanted = resolved.withColumn("_id", F.explode(F.when(F.size("ids") > 0, F.array_distinct("ids")).otherwise(F.array(F.lit("*")))))
+    wanted = resolved.withColumn("_id", F.explode(F.when(F.size("ids") > 0, F.array_distinct("ids")).otherwise(F.array(F.lit(EVERY)))))
     rank = F.array_position(F.array(*[F.lit(b) for b in BRANCHES]), F.col("metric_type")).cast("int")
     offered = metrics.filter(F.col("metric_type").isin(V.CHARTED_METRICS)).withColumn("branch", rank).withColumn(
-        "_id", F.explode(F.array_distinct(F.array(F.lit("*"), F.col("norm_id"), F.col("indicator_id")))))
+        "_id", F.explode(F.array_distinct(F.array(F.lit(EVERY), F.col("norm_id"), F.col("indicator_id")))))
     joined = offered.filter("_id != ''").join(wanted, "_id")
     # a metric with both ids named by one rule counts once
     twice = (F.col("_id") == F.col("indicator_id")) & (F.col("norm_id") != F.col("indicator_id")) & F.array_contains("ids", F.col("norm_id"))

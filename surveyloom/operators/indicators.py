@@ -18,7 +18,6 @@ from surveyloom.functions.values import answer_value, is_selected
 ATTRIBUTES = ["school", "role", "subject", "grade", "semester"]
 RULE_ARRAYS = ["source_norm_ids_json", "group_by_json"]
 RULE_OBJECTS = ["value_mapping_json", "formula_json"]
-EXACT_ID_FACTS = 10_000
 
 
 def parse_rules(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,15 +91,13 @@ def _group_key(columns: Sequence[str]) -> Column:
     return F.transform(names, lambda n: F.coalesce(F.try_element_at(lookup, n), F.lit("")))
 
 
-def rebuild_indicators(facts: DataFrame, rules: DataFrame, order: str = "ord",
-                       source_ids: bool = False) -> DataFrame:
-    """One row per rule and group for the transforms ``scale_score`` and
-    ``multi_select_coverage``; other transforms give nothing."""
+def rule_rows(facts: DataFrame, rules: DataFrame, order: str = "ord") -> DataFrame:
+    """Facts that a rule of a known transform reads, with the rule's group key and score."""
     keyed = ["user_id", "school", "region", "role", "subject", "grade", "semester", "norm_id",
              "answer_component_id", "field_id", "dimension_id", "question_type"]
     known = rules.filter(F.col("transform_type").isin("scale_score", "multi_select_coverage"))
     value = answer_value(F.col("field_value"), F.col("raw_value"))
-    rows = matched_facts(facts, known).select(
+    return matched_facts(facts, known).select(
         "rule_id", "transform_type", _group_key([c for c in keyed if c in facts.columns]).alias("group_key"),
         F.try_element_at("value_mapping", value).alias("score"),
         is_selected(value).alias("selected"),
@@ -108,6 +105,13 @@ def rebuild_indicators(facts: DataFrame, rules: DataFrame, order: str = "ord",
         blank_to_null(F.col("user_id")).alias("user_id"),
         *ATTRIBUTES, "fact_id", "norm_id", F.col(order).alias("_ord"),
     )
+
+
+def rebuild_indicators(facts: DataFrame, rules: DataFrame, order: str = "ord",
+                       source_ids: bool = False) -> DataFrame:
+    """One row per rule and group for the transforms ``scale_score`` and
+    ``multi_select_coverage``; other transforms give nothing."""
+    rows = rule_rows(facts, rules, order)
     key = ["rule_id", "group_key"]
     first = F.min_by(F.struct("user_id", *ATTRIBUTES), F.col("_ord")).alias("first")
     scale = rows.filter("transform_type = 'scale_score'").groupBy(*key).agg(
@@ -135,7 +139,7 @@ def rebuild_indicators(facts: DataFrame, rules: DataFrame, order: str = "ord",
         *key, F.coalesce(F.try_divide(numerator, denominator), F.lit(0.0)).alias("value"),
         F.concat_ws("/", numerator.cast("string"), denominator.cast("string")).alias("label"),
         "first", "source_rows")
-    described = known.select("rule_id", "target_indicator_id", "target_indicator_name", "output_grain",
+    described = rules.select("rule_id", "target_indicator_id", "target_indicator_name", "output_grain",
                              "output_value_type")
     result = scale.unionByName(coverage).join(described, "rule_id").select(
         F.col("rule_id").alias("source_rule_id"),
@@ -152,31 +156,25 @@ def rebuild_indicators(facts: DataFrame, rules: DataFrame, order: str = "ord",
     return _with_recon_id(result, rows)
 
 
+def fact_digest(fact_id: Column) -> Column:
+    """Order-free digest of the facts of a group: their number and the sum of the first 60
+    bits of each one's MD5. It combines map-side, so a hot group sends one row per task."""
+    head = F.conv(F.substring(F.md5(fact_id), 1, 15), 16, 10).cast("decimal(38,0)")
+    return F.concat_ws(":", F.count(F.lit(1)).cast("string"), F.sum(head).cast("string"))
+
+
+def indicator_sources(rows: DataFrame) -> DataFrame:
+    """Source facts of every (rule, group) as a long table, each fact once, with its first place."""
+    filled = rows.filter(blank_to_null(F.col("fact_id")).isNotNull())
+    return filled.groupBy("rule_id", "group_key", "fact_id").agg(F.min("_ord").alias("place"))
+
+
 def _with_recon_id(result: DataFrame, rows: DataFrame) -> DataFrame:
-    """Adds ``recon_id``. The formula hashes the JSON list of source facts, so
-    groups up to ``EXACT_ID_FACTS`` facts are listed. Beyond that the list is
-    replaced by an order-free digest, which combines map-side and so never
-    brings a hot group to one task."""
-    key = ["rule_id", "group_key"]
-    distinct = rows.filter(blank_to_null(F.col("fact_id")).isNotNull()).groupBy(*key, "fact_id").agg(
-        F.min("_ord").alias("_ord"))
-    sizes = distinct.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.bit_xor(F.xxhash64("fact_id")).alias("_xor"),
-        F.sum(F.xxhash64("fact_id").cast("decimal(38,0)")).alias("_sum"),
-    )
-    listed = (
-        distinct.join(sizes.filter(F.col("_n") <= EXACT_ID_FACTS).select(*key), key, "left_semi")
-        .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_ord", "fact_id"))).alias("_list"))
-        .select(*key, ids.json_list(F.transform("_list", lambda s: s["fact_id"])).alias("_json"))
-    )
-    digest = F.concat_ws(":", F.lit("digest"), F.col("_n").cast("string"), F.col("_xor").cast("string"),
-                         F.col("_sum").cast("string"))
-    texts = sizes.join(listed, key, "left").select(
-        F.col("rule_id").alias("source_rule_id"), "group_key",
-        F.coalesce("_json", digest).alias("source_fact_ids"),
-    )
-    out = result.join(texts, ["source_rule_id", "group_key"], "left")
-    return out.withColumn("recon_id", ids.recon_id(*[F.col(c) for c in (
-        "source_rule_id", "indicator_id", "output_grain", "user_id", "school")],
-        F.coalesce("source_fact_ids", F.lit("[]"))))
+    """Adds ``source_digest`` and ``recon_id``, by one formula for groups of any size: rule,
+    indicator, grain, group key and the digest of the source facts."""
+    digests = indicator_sources(rows).groupBy("rule_id", "group_key").agg(fact_digest(F.col("fact_id")).alias("source_digest")).select(
+        F.col("rule_id").alias("source_rule_id"), "group_key", "source_digest")
+    out = result.join(digests, ["source_rule_id", "group_key"], "left").withColumn(
+        "source_digest", F.coalesce("source_digest", F.lit("0:0")))
+    return out.withColumn("recon_id", ids.recon_id(
+        F.col("source_rule_id"), F.col("indicator_id"), F.col("output_grain"), F.array_join("group_key", "\x1f"), F.col("source_digest")))

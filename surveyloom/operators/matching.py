@@ -502,7 +502,9 @@ def review_clusters(pairs: DataFrame, questions: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("pair_count"), F.max("similarity").alias("max_similarity"),
         F.array_join(F.array_sort(F.collect_set("reason")), " | ").alias("reason_summary"),
         F.array_join(F.array_sort(F.collect_set("option_relation")), " | ").alias("option_relation_summary"), *logic)
-    members = labels.join(questions.select(F.col("idx").alias("node"), "question_text", "subject", "q_no"), "node")
+    seen = F.concat(F.coalesce("subject", F.lit("")), F.lit("#"), F.coalesce(F.col("q_no").cast("string"), F.lit("")), F.lit(": "),
+                    F.coalesce("question_text", F.lit("")))
+    members = labels.join(questions.select(F.col("idx").alias("node"), seen.alias("_seen"), "subject", "q_no"), "node")
     risky = [F.max(F.lit(False) | _any(words)).alias(f"_r{i}") for i, (words, _) in enumerate(V.RISK_FLAGS)]
     sizes = members.groupBy("component").agg(
         F.count(F.lit(1)).alias("question_count"), F.min(F.struct("subject", "q_no")).alias("first"), *risky)
@@ -519,5 +521,5 @@ def review_clusters(pairs: DataFrame, questions: DataFrame) -> DataFrame:
 def _any(words: Sequence[str]) -> Column:
     hit = F.lit(False)
     for word in words:
-        hit = hit | F.col("question_text").contains(word)
+        hit = hit | F.col("_seen").contains(word)
     return hit

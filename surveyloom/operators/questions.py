@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from surveyloom import fixed_values as V
 from surveyloom.functions import text
@@ -113,13 +113,27 @@ def with_labels(components: DataFrame) -> DataFrame:
     return components.withColumn("display", compacted).withColumn("label_key", text.component_key(F.col("display")))
 
 
+def _ranked(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``_rank`` by option order; equal orders (two tables of one question) go by
+    label, so the rank never depends on the order of input. Labels of equal place are
+    counted together and spread again by their copies' number."""
+    folded = labels.groupBy(*dict.fromkeys([*keys, "idx", "component_type", "option_order", "label_key", "display"])).agg(
+        F.count(F.lit(1)).alias("_copies"))
+    before = W.partitionBy(*keys, "option_order").orderBy("label_key", "display").rowsBetween(W.unboundedPreceding, -1)
+    tied = folded.withColumn("_before", F.coalesce(F.sum("_copies").over(before), F.lit(0)))
+    orders = running_sum(folded.groupBy(*keys, "option_order").agg(F.sum("_copies").alias("_here")), list(keys), "option_order",
+                         F.col("_here"), "_until").withColumn("_base", F.col("_until") - F.col("_here")).drop("_until", "_here")
+    spread = tied.join(orders, [*keys, "option_order"]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return spread.withColumn("_rank", F.col("_base") + F.col("_before") + F.col("_copy")).drop("_base", "_before", "_copy", "_copies")
+
+
 def signatures(labelled: DataFrame) -> DataFrame:
     """Per question an order-aware hash of its non-empty component labels and
     their number. Each label is hashed with its rank among the labels of its type;
     the hashes are added up, so equal sums mean equal ordered lists and no list is
     ever built in one place."""
     kept = labelled.filter("label_key != ''")
-    ranked = running_sum(kept, ["idx", "component_type"], "option_order", F.lit(1), "_rank")
+    ranked = _ranked(kept, ["idx", "component_type"])
     digest = F.conv(F.substring(F.sha1(F.concat_ws("\x1f", "component_type", F.col("_rank").cast("string"), "label_key")), 1, 15), 16, 10)
     return ranked.groupBy("idx").agg(
         F.sum(digest.cast("decimal(20,0)")).cast("string").alias("signature"), F.count(F.lit(1)).alias("signature_size"))
@@ -180,7 +194,7 @@ def delta_texts(deltas: DataFrame, labelled: DataFrame, pair_keys: Sequence[str]
     of the question that has them. Where a question holds a label several times its
     first ones are named. The text of a pair is as long as one form's options."""
     kept = labelled.filter("label_key != ''")
-    ranked = running_sum(kept, ["idx", "component_type", "label_key"], "option_order", F.lit(1), "_rank").select(
+    ranked = _ranked(kept, ["idx", "component_type", "label_key"]).select(
         "idx", "component_type", "label_key", "display", "_rank")
     order = F.array_position(F.array(*[F.lit(t) for t in V.COMPONENT_TYPES]), F.col("component_type"))
     named = F.col("component_type")

@@ -98,6 +98,34 @@ def indicator_scale_score(spark, sf):
         "user_id", "school", "role", "subject", "grade", "indicator_value", "source_rows")
 
 
+IDS_SQL = """
+facts_of AS (SELECT 'scale_school' AS rule, 'IND_PRIORITY' AS indicator, 'school' AS grain, school || chr(31) || role AS k, fact_id FROM scored
+  UNION ALL SELECT 'scale_user', 'IND_PRIORITY_USER', 'user', user_id, fact_id FROM scored),
+digests AS (SELECT rule, indicator, grain, k, count(*) || ':' || sum(CAST('0x' || substr(md5(fact_id), 1, 15) AS BIGINT)) AS source_digest
+  FROM facts_of GROUP BY ALL)"""
+
+
+@query("indicator_ids", f"""WITH {B.CHOICE_SQL}, {SCALE_PARTS_SQL}, {IDS_SQL}
+SELECT rule AS source_rule_id, d.k AS group_key, source_digest,
+  'r_' || substr(sha1(concat_ws('|', rule, indicator, grain, d.k, source_digest)), 1, 16) AS recon_id
+FROM digests d JOIN scale s ON s.source_rule_id = rule AND s.group_key = replace(d.k, chr(31), chr(1))""")
+def indicator_ids(spark, sf):
+    """One id formula for groups of every size."""
+    typed, _ = indicators.parse_rules(B.rules(spark))
+    built = indicators.rebuild_indicators(
+        B.choice_facts(spark, sf), typed.filter("transform_type = 'scale_score'"), source_ids=True)
+    return built.select("source_rule_id", F.array_join("group_key", "\x1f").alias("group_key"), "source_digest", "recon_id")
+
+
+@query("indicator_sources", f"""WITH {B.CHOICE_SQL}, {SCALE_PARTS_SQL}, {IDS_SQL}
+SELECT rule AS source_rule_id, k AS group_key, f.fact_id, ord AS place FROM facts_of f JOIN scored USING (fact_id)""")
+def indicator_sources(spark, sf):
+    typed, _ = indicators.parse_rules(B.rules(spark))
+    rows = indicators.rule_rows(B.choice_facts(spark, sf), typed.filter("transform_type = 'scale_score'"))
+    return indicators.indicator_sources(rows).select(
+        F.col("rule_id").alias("source_rule_id"), F.array_join("group_key", "\x1f").alias("group_key"), "fact_id", "place")
+
+
 COVER_SQL = f"""
 SELECT 'cover_school' AS source_rule_id, school AS group_key, count(DISTINCT CASE WHEN NOT ({UNSELECTED_SQL}) THEN component END) AS num,
        count(DISTINCT component) AS den FROM multi GROUP BY school

@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.functions import broadcast
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -57,13 +56,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BROADCAST_ROWS = 200_000
-
-
-def lookup_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A derived lookup table (headers, titles, labels) ready for a join to a big
-    table. It is frozen once and counted; only within ``max_rows`` is it
-    broadcast, which spares the big side a shuffle by a possibly hot key. Beyond
-    that the plain shuffle join, with its skew handling, does the work."""
-    frozen = cut_lineage(df)
-    return broadcast(frozen) if frozen.count() <= max_rows else frozen
+def lookup_side(df: DataFrame) -> DataFrame:
+    """A derived lookup table (headers, titles, labels), written once. Its files tell the
+    optimizer the true size in bytes, which alone decides between a broadcast and a
+    shuffle join."""
+    return cut_lineage(df)

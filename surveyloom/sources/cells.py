@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surveyloom import fixed_values as V
-from surveyloom.functions.text import blank_to_null
+from surveyloom.functions.text import blank_to_null, strip
 from surveyloom.session import lookup_side
 
 SHEET = ["source_file", "sheet_index", "sheet"]
@@ -17,7 +17,7 @@ SHEET = ["source_file", "sheet_index", "sheet"]
 
 def clean_cells(cells: DataFrame) -> DataFrame:
     """Trimmed cells, absent ones as the empty string."""
-    return cells.withColumn("values", F.transform("values", lambda v: F.trim(F.coalesce(v, F.lit("")))))
+    return cells.withColumn("values", F.transform("values", lambda v: strip(F.coalesce(v, F.lit("")))))
 
 
 def has_content(values: Column) -> Column:

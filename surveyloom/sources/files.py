@@ -5,23 +5,27 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surveyloom.session import shared_folder
 
 BOM = "﻿"
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, blank: bool = True) -> DataFrame:
-    """Header CSV, every column a string, line breaks inside quotes allowed, a
-    byte-order mark tolerated; absent values are empty strings when ``blank``.
-    With ``columns`` given no file is opened to find the schema."""
-    reader = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-              .option("enforceSchema", columns is not None))
-    if columns is not None:
-        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
-    df = reader.csv(path)
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None, blank: bool = True,
+             multi_line: bool = True) -> DataFrame:
+    """Header CSV, every column a string, a byte-order mark tolerated; absent values are
+    empty strings when ``blank``. ``columns`` picks by header name, in the given order,
+    and a missing one is an error. Line breaks inside quotes make a file one task;
+    with ``multi_line`` off large files are split."""
+    df = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+          .option("inferSchema", False).csv(path))
     df = df.toDF(*[c.lstrip(BOM) for c in df.columns])
+    if columns is not None:
+        missing = [c for c in columns if c not in df.columns]
+        if missing:
+            raise ValueError(f"columns not in the header: {missing}")
+        df = df.select(*[F.col(f"`{c}`") for c in columns])
     return df.na.fill("") if blank else df
 
 

@@ -1,5 +1,6 @@
 """Small tables with known results."""
 
+import hashlib
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,7 +80,10 @@ def test_scale_score_and_ids(spark):
     built = indicators.rebuild_indicators(f, typed, source_ids=True)
     assert issues.count() == 0
     assert rows(built, "user_id", "school", "indicator_value") == [("U001", "一中", 4.5), ("U002", "二中", 4.0)]
-    assert rows(built.filter("user_id = 'U001'"), "recon_id") == [("r_982508cc1e74c0b6",)]
+    own = {r.fact_id for r in f.filter("user_id = 'U001'").collect()}
+    digest = f"{len(own)}:{sum(int(hashlib.md5(i.encode()).hexdigest()[:15], 16) for i in own)}"
+    assert rows(built.filter("user_id = 'U001'"), "source_digest", "recon_id") == [
+        (digest, "r_" + hashlib.sha1(f"scale_001|IND_SCALE|user|U001|{digest}".encode()).hexdigest()[:16])]
     assert rows(metrics.indicator_values(built), "category", "mean", "n") == [("量表", 4.0, 1), ("量表", 4.5, 1)]
 
 
@@ -101,12 +105,16 @@ def test_malformed_rules_are_reported(spark):
         ("bad", "source_norm_ids_json"), ("worse", "source_norm_ids_json"), ("worse", "value_mapping_json")}
 
 
-def test_hot_group_ids_use_a_digest(spark, monkeypatch):
-    monkeypatch.setattr(indicators, "EXACT_ID_FACTS", 2)
-    f = facts(spark, [("U1", "一中", None, "a", "Q")] * 5 + [("U2", "二中", None, "a", "Q")])
+@pytest.mark.parametrize("n", [1, 5, 400])
+def test_indicator_ids_follow_the_set_of_facts_only(spark, n):
+    listed = [("U1", "一中", None, "a", "Q")] * n + [("U2", "二中", None, "a", "Q")]
     typed, _ = rule(spark, ("r", '["Q"]', "I", "n", "scale_score", '["school"]', '{"a": 1}', "school", ""))
-    built = indicators.rebuild_indicators(f, typed, source_ids=True).collect()
-    assert len({r.recon_id for r in built}) == 2 and any(r.source_fact_ids.startswith("digest:5:") for r in built)
+    of = lambda f: {r.school: r.recon_id for r in indicators.rebuild_indicators(f, typed, source_ids=True).collect()}
+    f = facts(spark, listed)
+    once, again = of(f), of(f.orderBy(f["ord"].desc()))
+    more = of(facts(spark, [*listed, ("U1", "二中", None, "a", "Q")]))
+    assert once == again and once["一中"] != once["二中"]
+    assert more["二中"] != once["二中"]
 
 
 def test_hashed_keys(spark):

@@ -78,7 +78,44 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-@query("op9_quality_rules")
+_STEPS = ", ".join(f"regexp_replace(t{i}, '{run.replace(chr(39), chr(39) * 2)}', '', 'g') AS t{i + 1}" for i, run in enumerate(quality.CLASS_RUNS))
+_HALF = "((CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END) + (CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END)) / 2"
+#: Up to 64 languages; beyond them the operator uses the reference of all documents.
+QUALITY_SQL = f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t0 FROM documents),
+steps AS (SELECT *, list_filter(string_split_regex(t0, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t0, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, {_STEPS} FROM t),
+counted AS (SELECT doc_id, lang, w, len(w) AS n_words, length(t0) - (length(t1) - length(t2)) AS word_chars, length(t5) - length(t6) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, length(t0) AS total,
+  [length(t0) - length(t1), length(t1) - length(t2), length(t2) - length(t3), length(t3) - length(t4), length(t4) - length(t5),
+   length(t5) - length(t6), length(t6) - length(t7), length(t7)] AS chars FROM steps),
+windows AS (SELECT doc_id, unnest(range(1, n_words - 3)) AS i, unnest(list_transform(range(1, n_words - 3),
+  lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4])) AS x FROM counted WHERE n_words >= 5),
+often AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM windows),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS place FROM often WHERE c > 1) GROUP BY doc_id),
+base AS (SELECT c.*, coalesce(n, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(n, 0) > 20 * n_words AS base_failed
+  FROM counted c LEFT JOIN covered USING (doc_id)),
+solid AS (SELECT * FROM base WHERE NOT base_failed AND n_words >= {quality.MIN_CHAR_WORDS}),
+char_share AS (SELECT doc_id, lang, unnest(range(1, 9)) AS k, unnest(chars) / total AS p FROM base WHERE total > 0),
+char_ref AS (SELECT lang, k, avg(p) AS q FROM char_share SEMI JOIN solid USING (doc_id) GROUP BY ALL),
+char_jsd AS (SELECT doc_id, sum({_HALF.format(p='p', q='q')}) AS v FROM char_share JOIN char_ref USING (lang, k) GROUP BY doc_id),
+common AS (SELECT doc_id, lang, word, count(*) / any_value(n_words) AS p FROM (
+  SELECT doc_id, lang, n_words, lower(unnest(w)) AS word FROM base) WHERE word IN ({', '.join(f"'{w}'" for w in quality.COMMON_WORDS)}) GROUP BY ALL),
+sizes AS (SELECT lang, count(*) AS n FROM solid GROUP BY lang),
+common_ref AS (SELECT lang, word, sum(p) / any_value(n) AS q FROM common SEMI JOIN solid USING (doc_id) JOIN sizes USING (lang) GROUP BY lang, word),
+whole AS (SELECT lang, coalesce(sum(q), 0) AS q_all FROM sizes LEFT JOIN common_ref USING (lang) GROUP BY lang),
+seen AS (SELECT doc_id, sum({_HALF.format(p='p', q='coalesce(q, 0)')}) AS v, sum(p) AS p, sum(coalesce(q, 0)) AS q
+  FROM common LEFT JOIN common_ref USING (lang, word) GROUP BY doc_id),
+rest AS (SELECT b.doc_id, coalesce(v, 0) AS v, greatest(0, 1 - coalesce(p, 0)) AS pr, greatest(0, 1 - q_all) AS qr, greatest(0, q_all - coalesce(q, 0)) / 2 AS missed
+  FROM base b JOIN whole USING (lang) LEFT JOIN seen USING (doc_id)),
+judged AS (SELECT b.*, CASE WHEN n_words >= {quality.MIN_CHAR_WORDS} THEN round(c.v, 9) END AS char_divergence,
+  CASE WHEN n_words >= {quality.MIN_COMMON_WORDS} THEN round(r.v + {_HALF.format(p='pr', q='qr')} + missed, 9) END AS word_divergence
+  FROM base b LEFT JOIN char_jsd c USING (doc_id) LEFT JOIN rest r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_divergence, word_divergence,
+  NOT base_failed AND NOT coalesce(char_divergence > {quality.MAX_CHAR_DIVERGENCE}, false)
+    AND NOT coalesce(word_divergence > {quality.MAX_COMMON_DIVERGENCE}, false) AS kept FROM judged"""
+
+
+@query("op9_quality_rules", QUALITY_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 

@@ -283,3 +283,23 @@ def test_csv_keeps_marks_quotes_and_lines(spark, tmp_path):
         assert rows(files.read_csv(spark, str(tmp_path / "out"), columns), "id", "t", "u", "more") == [("1", 'a "b",\nc', "", ""), ("2", "", "d", "")]
     (tmp_path / "out" / "~$x.csv").write_text("x")
     assert all(not r.name.startswith("~$") for r in files.find_files(spark, str(tmp_path), "*.csv").collect())
+
+
+def test_csv_is_read_by_header_name(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("b,a\n1,2\n", encoding="utf-8")
+    assert rows(files.read_csv(spark, str(tmp_path), ["a", "b"]), "a", "b") == [("2", "1")]
+    assert rows(files.read_csv(spark, str(tmp_path), ["b"], multi_line=False), "b") == [("1",)]
+    with pytest.raises(ValueError, match="c"):
+        files.read_csv(spark, str(tmp_path), ["a", "c"])
+
+
+def test_all_white_space_is_trimmed(spark):
+    blank = C.clean_cells(small_table(spark, [("f", 1, "s", 1, ["　 \t", " x　", None, "a　b\r\n"])], CELLS))
+    assert rows(blank, "values") == [(["", "x", "", "a　b"],)]
+    chosen = one(spark, *[values.is_selected(F.lit(v)) for v in ("0\n", "否　", " ", "1\t")])
+    assert chosen == (False, False, False, True)
+
+
+def test_compaction_is_the_same_for_plain_and_other_texts(spark):
+    got = one(spark, *[text.compact_text(F.lit(v)) for v in (" a\t b\n", "ＡＢ　c", "", "①")], text.compact_text(F.lit(None).cast("string")))
+    assert got == ("a b", "AB c", "", "1", "")

@@ -16,7 +16,7 @@ COLUMNS = {
     "op1": "vec_id n_links component_id kept", "op2": "doc_id held_out score predicted",
     "op3": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
     "op4": "doc_id held_out n_tokens n_known train_tokens base_score score", "op5": "doc_id n_shingles component_id kept",
-    "op8": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op6": "page_id text", "op7": "doc_id n_ids ids_crc32", "op8": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op10": "page_id host path rule verdict"}
 
 

@@ -80,6 +80,11 @@ class TreeBuilder(HTMLParser):
             if self.open[k].name in stops:
                 return
 
+    def parse_marked_section(self, i, report=1):
+        # of any name: a comment up to the next > or the end, as in browsers; the base class fails on unknown names
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else len(self.rawdata)
+
     def handle_data(self, data):
         self.open[-1].parts.append(data)
 

@@ -107,13 +107,12 @@ def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     judged one by one. An empty table gives an empty result."""
     features = cut_lineage(text_features(docs, keep))
     refs = cut_lineage(language_references(features))
-    whole = refs.filter("lang IS NULL").select(F.col("chars_ref").alias("_ca"), F.col("common_ref").alias("_wa"))
+    whole = refs.filter("lang IS NULL").select(F.struct("chars_ref", "common_ref").alias("r")).scalar()  # one row or none
     own = refs.filter("lang IS NOT NULL").select(
         F.col("lang").alias("lang"), F.col("chars_ref").alias("_cl"), F.col("common_ref").alias("_wl"))
-    # both sides of at most 64 rows and 1 row
-    at = features.join(F.broadcast(own), "lang", "left").withColumn("_one", F.lit(1)).join(
-        F.broadcast(whole.withColumn("_one", F.lit(1))), "_one", "left")
-    at = at.withColumn("_c", F.coalesce("_cl", "_ca")).withColumn("_w", F.coalesce("_wl", "_wa"))
+    # a side of at most 64 rows
+    at = features.join(F.broadcast(own), "lang", "left").withColumn("_whole", whole)
+    at = at.withColumn("_c", F.coalesce("_cl", "_whole.chars_ref")).withColumn("_w", F.coalesce("_wl", "_whole.common_ref"))
     total = F.aggregate("chars", F.lit(0.0), lambda a, x: a + x)
     char_terms = F.zip_with("chars", "_c", lambda n, q: _half_terms(n / F.col("_total"), q))
     share = F.transform("common", lambda x: F.struct(

@@ -70,9 +70,8 @@ def train(labelled: DataFrame) -> DataFrame:
     kept = grams.filter((F.col("k") == 1) | (F.col("b") + F.col("a") >= MIN_COUNT)).orderBy(
         "k", (F.col("b") + F.col("a")).desc(), "gram").limit(MAX_GRAMS)
     kept = cut_lineage(kept.join(contexts, "context"))
-    alphabet = kept.filter("k = 1").agg(F.count(F.lit(1)).alias("size"))
-    known = kept.filter("k = 1").withColumn("_one", F.lit(1)).join(
-        F.broadcast(alphabet.withColumn("_one", F.lit(1))), "_one").select("gram", *[
+    alphabet = kept.filter("k = 1").agg(F.count(F.lit(1)).alias("size")).scalar()
+    known = kept.filter("k = 1").withColumn("size", alphabet).select("gram", *[
             ((F.col(n) + DISCOUNT / (F.col("size") + 1)) / (F.col("c" + n) + DISCOUNT)).alias("p" + n) for n in "ba"])
     levels = [known]
     for k in range(2, ORDER + 1):

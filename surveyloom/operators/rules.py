@@ -46,12 +46,11 @@ def parse_report_rules(rules: DataFrame, json_fields=("filter_scope_json", "writ
 
 def apply_scopes(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows with every rule whose scope they meet, in one pass over the rows.
-    The rule table is a small hand-written list; each row carries the ids of the
-    rules it meets, found by an array filter instead of a join over all pairs."""
-    listed = rules.select(F.struct("report_rule_id", "scope").alias("r")).agg(F.collect_list("r").alias("_rules"))
+    The rule table is a small hand-written list, read once as a scalar subquery;
+    each row keeps the rules it meets by an array filter, without any join."""
+    listed = rules.select(F.struct("report_rule_id", "scope").alias("r")).agg(F.collect_list("r").alias("_rules")).scalar()
     meets = lambda r: _meets(r["scope"], rows.columns)
-    with_rules = rows.withColumn("_one", F.lit(1)).join(listed.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    return with_rules.withColumn("_rule", F.explode(F.filter("_rules", meets))).select(
+    return rows.withColumn("_rules", listed).withColumn("_rule", F.explode(F.filter("_rules", meets))).select(
         F.col("_rule.report_rule_id").alias("report_rule_id"), *rows.columns)
 
 

@@ -18,6 +18,11 @@ from surveyloom.sources.local import small_table
 CELLS = "source_file string, sheet_index int, sheet string, row_index bigint, values array<string>"
 
 
+def _listed(fixed):
+    """A short hand-written table as one array, for an explode beside other rows."""
+    return fixed.agg(F.collect_list(F.struct(*fixed.columns))).scalar()
+
+
 def _file():
     return F.concat(F.lit("[课程监测]["), F.col("r_name"), F.lit("学科课程实施情况表（学生）][2024下][F"),
                     F.col("r_regionkey").cast("string"), F.lit("].xlsx"))
@@ -58,7 +63,7 @@ def cells(spark, sf):
     semester = F.when(F.col("r_regionkey") < 2, F.lit("2024下")).otherwise(F.lit("2024上"))
     filled_in = lambda v: F.replace(F.replace(v, F.lit("{region}"), F.col("r_name")), F.lit("{semester}"), semester)
     parts = [
-        region.withColumn("_all", F.lit(1)).join(fixed.withColumn("_all", F.lit(1)), "_all").select(
+        region.withColumn("_fixed", F.explode(_listed(fixed))).select("*", "_fixed.*").select(
             "source_file", "sheet_index", "sheet", "row_index", F.transform("values", filled_in).alias("values")),
     ]
     places = t["nation"].join(region, F.col("n_regionkey") == F.col("r_regionkey"))
@@ -179,8 +184,7 @@ def mapping(spark, sf):
             (3, "QG0002", "2", "学生", "填空题", "余额", "")]
     fixed = small_table(spark, rows, "ord int, norm_id string, q_no string, role string, question_type string,"
                                      " question_text string, canonical_question string")
-    return region.select(F.col("r_name").alias("subject"), F.lit(1).alias("_all")).join(
-        fixed.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    return region.select(F.col("r_name").alias("subject"), F.explode(_listed(fixed)).alias("_fixed")).select("subject", "_fixed.*")
 
 
 def facts(spark, sf):

@@ -11,7 +11,7 @@ from surveyloom.operators.similarity import similar_pairs
 from surveyloom.queries import query
 from surveyloom.queries import bindings as B
 from surveyloom.queries.question_forms import (
-    LABELS_SQL, PAIRS_SQL, QUESTIONS_SQL, compact_sql, document_components, document_questions, drop_sql, full_questions, text_pairs,
+    LABELS_SQL, LENGTH_PAIRS_SQL, QUESTIONS_SQL, compact_sql, document_components, document_questions, drop_sql, full_questions, length_pairs,
 )
 from surveyloom.session import cut_lineage
 from surveyloom import fixed_values as V
@@ -135,7 +135,7 @@ def reviewer_merges(spark, sf):
     return audit
 
 
-@query("review_clusters", f"""WITH RECURSIVE {PAIRS_SQL}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+@query("review_clusters", f"""WITH RECURSIVE {LENGTH_PAIRS_SQL}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach(n, m) AS (SELECT a, a FROM e UNION SELECT r.n, e.b FROM reach r JOIN e ON e.a = r.m),
 comp AS (SELECT n, min(m) AS component FROM reach GROUP BY n),
 pr AS (SELECT component, round(least(length(text_a), length(text_b)) / greatest(length(text_a), length(text_b)), 4) AS similarity,
@@ -149,7 +149,7 @@ SELECT ps.component, pair_count, question_count, max_similarity, reason_summary,
 FROM ps JOIN ms USING (component)""")
 def review_clusters(spark, sf):
     ratio = F.least(F.char_length("text_a"), F.char_length("text_b")) / F.greatest(F.char_length("text_a"), F.char_length("text_b"))
-    pairs = text_pairs(spark, sf).select(
+    pairs = length_pairs(spark, sf).select(
         F.col("a").alias("idx_a"), F.col("b").alias("idx_b"), F.round(ratio, 4).alias("similarity"),
         F.when(F.col("lang_a") == F.col("lang_b"), "manual_group_x").otherwise("manual_fill_x").alias("reason"),
         F.when(F.col("source_a") < F.col("source_b"), "identical").otherwise("changed_1_2").alias("option_relation"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from surveyloom import fixed_values as V
 from surveyloom.functions import text
 from surveyloom.operators import questions as Q
+from surveyloom.operators.ordering import number_globally
 from surveyloom.queries import query
 from surveyloom.queries import bindings as B
 
@@ -110,7 +111,7 @@ def char_ngrams(spark, sf):
         F.count(F.lit(1)).alias("grams"), F.sum("tf").alias("total"), F.max("tf").alias("most"), F.sum(F.col("tf") * F.col("tf")).alias("norm2"))
 
 
-def text_pairs(spark, sf):
+def length_pairs(spark, sf):
     """Documents paired by key: a document's length is read as another one's id."""
     d = B.table(spark, sf, "documents")
     a = d.select(F.col("doc_id").alias("a"), F.col("n_chars").alias("b"), F.col("text").alias("text_a"), F.col("source").alias("source_a"), F.col("lang").alias("lang_a"))
@@ -118,7 +119,20 @@ def text_pairs(spark, sf):
     return a.join(b, "b").filter("a <> b")
 
 
-PAIRS_SQL = """pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, x.text AS text_a, y.text AS text_b, x.source AS source_a, y.source AS source_b,
+def text_pairs(spark, sf):
+    """Every document with the next one of its source and language."""
+    d = B.table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    at = number_globally(d, [F.col("source"), F.col("lang"), F.col("doc_id")], "_n")
+    a = at.select("_n", F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.col("source").alias("source_a"), F.col("lang").alias("lang_a"))
+    b = at.select((F.col("_n") - 1).alias("_n"), F.col("doc_id").alias("b"), F.col("text").alias("text_b"),
+                  F.col("source").alias("source_b"), F.col("lang").alias("lang_b"))
+    same = F.col("source_a").eqNullSafe(F.col("source_b")) & F.col("lang_a").eqNullSafe(F.col("lang_b"))
+    return a.join(b, "_n").filter(same).drop("_n")
+
+
+PAIRS_SQL = """pairs AS (SELECT * FROM (SELECT doc_id AS a, lead(doc_id) OVER next AS b, text AS text_a, lead(text) OVER next AS text_b,
+  source AS source_a, source AS source_b, lang AS lang_a, lang AS lang_b FROM documents WINDOW next AS (PARTITION BY source, lang ORDER BY doc_id)) WHERE b IS NOT NULL)"""
+LENGTH_PAIRS_SQL = """pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, x.text AS text_a, y.text AS text_b, x.source AS source_a, y.source AS source_b,
   x.lang AS lang_a, y.lang AS lang_b FROM documents x JOIN documents y ON x.n_chars = y.doc_id WHERE x.doc_id <> y.doc_id)"""
 
 
@@ -162,7 +176,7 @@ def blocks(spark, sf):
                       F.when(F.col("turn") == 0, F.lit("[单选题]")).otherwise(F.lit(" [[填空题 ]]：")))
     lines = F.when(F.col("role") == "user", F.array(header)).otherwise(F.split("text", "\n"))
     return c.select("conv_id", "turn", "role", F.posexplode(lines).alias("line", "raw")).select(
-        "conv_id", "turn", "line", (F.col("turn") * 100000 + F.col("line")).alias("block_index"), text.compact_text(F.col("raw")).alias("text"))
+        "conv_id", "turn", "line", (F.shiftleft(F.col("turn").cast("bigint"), 31) + F.col("line")).alias("block_index"), text.compact_text(F.col("raw")).alias("text"))
 
 
 def segmented(spark, sf):
@@ -174,7 +188,7 @@ def segmented(spark, sf):
 BLOCKS_SQL = f"""b AS (
   SELECT conv_id, turn, role, 0 AS line, text AS raw FROM conversations WHERE role = 'user'
   UNION ALL SELECT conv_id, turn, role, generate_subscripts(string_split(text, chr(10)), 1) - 1, unnest(string_split(text, chr(10))) FROM conversations WHERE role <> 'user'),
-seg AS (SELECT conv_id, turn, line, role, raw, turn * 100000 + line AS block_index,
+seg AS (SELECT conv_id, turn, line, role, raw, CAST(turn AS BIGINT) * 2147483648 + line AS block_index,
   CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, line) AS BIGINT) AS question_no FROM b)"""
 
 
@@ -259,6 +273,16 @@ def canonical_question(spark, sf):
     return Q.number_groups(members).join(Q.representatives(members).drop("representative"), "group_id")
 
 
+@query("question_mapping_long", f"""WITH {GROUPS_SQL}
+SELECT norm_id, group_id, subject, role, q_no, idx, 'normalized_exact' AS match_method FROM m JOIN numbered USING (group_id)""")
+def question_mapping_long(spark, sf):
+    """Every question with the id of its group: all subjects, one row each."""
+    members = exact_members(spark, sf)
+    numbered = Q.number_groups(members).select("group_id", "norm_id", "match_method")
+    return members.join(numbered, "group_id").select("norm_id", "group_id", "subject", "role", "q_no", "idx", "match_method")
+
+
+#: Columns of the wide form; the long form above holds every subject.
 SUBJECTS = [f"src{i}" for i in range(20)]
 
 

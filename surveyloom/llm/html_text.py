@@ -22,6 +22,7 @@ IMPLIED = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (
            "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",)),
            "thead": (("caption",), ("table",)), "option": (("option",), ("select",)), "body": (("head",), ())}
 _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_COMMENT_END = re.compile("--!?>")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 DEEPEST = 300  # open elements; deeper ones are read as if they stood beside, so no page ends the recursion
 
@@ -85,6 +86,11 @@ class TreeBuilder(HTMLParser):
         end = self.rawdata.find(">", i)
         return end + 1 if end >= 0 else len(self.rawdata)
 
+    def parse_comment(self, i, report=1):
+        # an unclosed comment hides the rest, and --!> ends one, as in browsers
+        found = _COMMENT_END.search(self.rawdata, i + 2)
+        return found.end() if found else len(self.rawdata)
+
     def handle_data(self, data):
         self.open[-1].parts.append(data)
 

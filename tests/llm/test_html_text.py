@@ -12,6 +12,7 @@ from surveyloom.llm import html_text as H
     ("<head><title>t</title></head><body>s<script>no()</script><i hidden>no</i><b style='display: none'>no</b>een", "seen"),
     ("<pre>a\n  b</pre>c", "a\n  b\n\nc"), ("</p></x>plain", "plain"), ("<b>un<i>closed", "unclosed"),
     ("a<![if x]>b<![endif]>c", "abc"), ("a<![unknown[x]]>b", "ab"), ("a<![unknown[", "a"), ("a<![CDATA[x]]>b", "ab"),
+    ("a<!-- x <p>b", "a"), ("a<!--x--!>b", "ab"), ("a<!-->b<!--->c<!-- - -- -->d", "abcd"),
 ])
 def test_layout(html, want):
     assert H.visible_text(html) == want

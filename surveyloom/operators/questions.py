@@ -253,10 +253,14 @@ def number_groups(members: DataFrame) -> DataFrame:
 
 
 def mapping_wide(members: DataFrame, subjects: Sequence[str]) -> DataFrame:
-    """Question numbers per group and subject, ``1; 7``. The lists hold question
-    numbers of one group and subject, distinct per form."""
-    numbers = F.concat_ws("; ", F.transform(F.array_sort(F.collect_list("q_no")), lambda q: q.cast("string")))
-    return members.groupBy("norm_id").pivot("subject", list(subjects)).agg(numbers).na.fill("")
+    """Distinct question numbers per group and subject, ``1; 7``: a list is as long as
+    a form, however many copies of it there are. Subjects without a column of their
+    own stand under ``others`` as ``subject#1``."""
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda q: q.cast("string")), "; ")
+    subject = F.coalesce("subject", F.lit(""))
+    rest = F.when(~subject.isin(list(subjects)), F.concat(subject, F.lit("#"), F.col("q_no").cast("string")))
+    return members.groupBy("norm_id").agg(
+        *[listed(F.when(subject == s, F.col("q_no"))).alias(s) for s in subjects], listed(rest).alias("others"))
 
 
 def minimal_references(members: DataFrame) -> DataFrame:

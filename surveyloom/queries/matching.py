@@ -11,7 +11,7 @@ from surveyloom.operators.similarity import similar_pairs
 from surveyloom.queries import query
 from surveyloom.queries import bindings as B
 from surveyloom.queries.question_forms import (
-    LABELS_SQL, LENGTH_PAIRS_SQL, QUESTIONS_SQL, compact_sql, document_components, document_questions, drop_sql, full_questions, length_pairs,
+    LABELS_SQL, QUESTIONS_SQL, compact_sql, document_components, document_questions, drop_sql, full_questions, pairs_sql, text_pairs,
 )
 from surveyloom.session import cut_lineage
 from surveyloom import fixed_values as V
@@ -106,21 +106,22 @@ def embedding_review(spark, sf):
 # --- reviewers -----------------------------------------------------------------------------------------
 
 def reviewer_rows(spark, sf):
-    """Every labelled document is a reviewer row naming itself and the document whose
-    id is its length; quality and toxic stand in for the reviewer's entries."""
-    l, d = B.table(spark, sf, "labels"), B.table(spark, sf, "documents")
-    partner = d.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"))
-    rows = l.join(d.select("doc_id", "source", "n_chars"), "doc_id").join(partner, F.col("n_chars") == F.col("p_id"), "left")
+    """Every labelled document is a reviewer row naming itself and the next document of
+    its language; quality and toxic stand in for the reviewer's entries."""
+    l, d = B.table(spark, sf, "labels"), B.table(spark, sf, "documents").select("doc_id", "source")
+    partner = text_pairs(spark, sf, ("lang",)).select(F.col("a").alias("doc_id"), F.col("b").alias("p_id"), F.col("source_b").alias("p_source"))
+    rows = l.join(d, "doc_id").join(partner, "doc_id", "left")
     entry = F.when(F.col("quality") == 0, F.lit(" No ")).when(F.col("toxic") == 0, F.lit("２")).otherwise(F.lit(""))
     note = F.when(F.col("toxic") == 1, F.concat(F.lit("请归一 "), F.col("quality").cast("string"), F.lit("，谢谢"))).otherwise("")
     keys = F.array(F.struct(F.col("source").alias("source_file"), F.col("doc_id").alias("q_no")),
-                   F.struct(F.coalesce("p_source", F.lit("missing")).alias("source_file"), F.col("n_chars").alias("q_no")))
+                   F.struct(F.coalesce("p_source", F.lit("missing")).alias("source_file"), F.coalesce("p_id", F.lit(-1)).alias("q_no")))
     label = M.reviewer_label(F.lit(None).cast("string"), entry, note, has_merge_id=False)
     return rows.select(F.col("doc_id").alias("row_no"), label.alias("label"), keys.alias("question_keys"))
 
 
-@query("reviewer_labels", """WITH r AS (SELECT l.doc_id AS row_no, CASE WHEN quality = 1 AND toxic = 0 THEN '人工归一2' WHEN toxic = 1 THEN '归一' || quality END AS label,
-  CASE WHEN p.doc_id IS NULL THEN 1 ELSE 2 END AS found FROM labels l JOIN documents d USING (doc_id) LEFT JOIN documents p ON p.doc_id = d.n_chars)
+@query("reviewer_labels", """WITH n AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY lang ORDER BY doc_id) AS p_id FROM documents),
+r AS (SELECT l.doc_id AS row_no, CASE WHEN quality = 1 AND toxic = 0 THEN '人工归一2' WHEN toxic = 1 THEN '归一' || quality END AS label,
+  CASE WHEN p_id IS NULL THEN 1 ELSE 2 END AS found FROM labels l JOIN n USING (doc_id))
 SELECT row_no, label, found::BIGINT AS found, CASE WHEN found = 2 THEN 'ready' ELSE 'question_not_found' END AS status FROM r WHERE label IS NOT NULL""")
 def reviewer_labels(spark, sf):
     return M.reviewer_edges(reviewer_rows(spark, sf), document_questions(spark, sf))[1]
@@ -135,25 +136,41 @@ def reviewer_merges(spark, sf):
     return audit
 
 
-@query("review_clusters", f"""WITH RECURSIVE {LENGTH_PAIRS_SQL}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+#: Forms of these sources are read as forms of the school itself; their risk shows in every cluster they are in.
+SCHOOL_SOURCES = ["src3", "src11"]
+RISK_SQL = "concat_ws('；', " + ", ".join("CASE WHEN bool_or({}) THEN '{}' END".format(
+    " OR ".join(f"contains(seen, '{w}')" for w in words), flag) for words, flag in V.RISK_FLAGS) + ")"
+
+
+@query("review_clusters", f"""WITH RECURSIVE {pairs_sql("lang")}, near AS (SELECT *, length(text_a) <= length(text_b) AS rising,
+  round(least(length(text_a), length(text_b)) / greatest(length(text_a), length(text_b)), 4) AS similarity FROM pairs),
+pr0 AS (SELECT * FROM near WHERE similarity >= 0.5),
+e AS (SELECT a, b FROM pr0 UNION SELECT b, a FROM pr0),
 reach(n, m) AS (SELECT a, a FROM e UNION SELECT r.n, e.b FROM reach r JOIN e ON e.a = r.m),
 comp AS (SELECT n, min(m) AS component FROM reach GROUP BY n),
-pr AS (SELECT component, round(least(length(text_a), length(text_b)) / greatest(length(text_a), length(text_b)), 4) AS similarity,
-  CASE WHEN lang_a = lang_b THEN 'manual_group_x' ELSE 'manual_fill_x' END AS reason, CASE WHEN source_a < source_b THEN 'identical' ELSE 'changed_1_2' END AS rel FROM pairs JOIN comp ON n = a),
+pr AS (SELECT component, similarity, CASE WHEN rising THEN 'manual_group_x' ELSE 'manual_fill_x' END AS reason,
+  CASE WHEN source_a < source_b THEN 'identical' ELSE 'changed_1_2' END AS rel FROM pr0 JOIN comp ON n = a),
 ps AS (SELECT component, count(*) AS pair_count, max(similarity) AS max_similarity, string_agg(DISTINCT reason, ' | ' ORDER BY reason) AS reason_summary, string_agg(DISTINCT rel, ' | ' ORDER BY rel) AS option_relation_summary FROM pr GROUP BY component),
-ms AS (SELECT component, count(*) AS question_count, min((source, n)) AS f FROM comp JOIN documents ON doc_id = n GROUP BY component)
+forms AS (SELECT doc_id, CASE WHEN source IN ({", ".join(f"'{s}'" for s in SCHOOL_SOURCES)}) THEN '学校' ELSE source END AS subject, replace(replace(text, '. De', '. 截至'), '. Der', '. 各年级') AS t FROM documents),
+ms AS (SELECT component, count(*) AS question_count, min((subject, n)) AS f, {RISK_SQL} AS risk_flags
+  FROM (SELECT component, n, subject, subject || '#' || n || ': ' || t AS seen FROM comp JOIN forms ON doc_id = n) GROUP BY component)
 SELECT ps.component, pair_count, question_count, max_similarity, reason_summary, option_relation_summary,
   concat_ws('；', CASE WHEN contains(option_relation_summary, 'identical') THEN '选项/组件完全一致' END, CASE WHEN contains(option_relation_summary, 'changed_1_2') THEN '选项有1-2处文字差异' END,
     CASE WHEN contains(reason_summary, 'fill') THEN '填空题题干相似且空数接近' END, CASE WHEN contains(reason_summary, 'group') THEN '已归一题组之间仍相似' END) AS review_logic,
-  '' AS risk_flags, '确认是否归一' AS suggested_action, f[1] AS first_subject, f[2] AS first_q_no
+  risk_flags, CASE WHEN risk_flags <> '' THEN '人工判断后再归一' ELSE '确认是否归一' END AS suggested_action, f[1] AS first_subject, f[2] AS first_q_no
 FROM ps JOIN ms USING (component)""")
 def review_clusters(spark, sf):
+    """Neighbours of a language whose whole texts are of like length, as review pairs."""
     ratio = F.least(F.char_length("text_a"), F.char_length("text_b")) / F.greatest(F.char_length("text_a"), F.char_length("text_b"))
-    pairs = length_pairs(spark, sf).select(
+    pairs = text_pairs(spark, sf, ("lang",)).select(
         F.col("a").alias("idx_a"), F.col("b").alias("idx_b"), F.round(ratio, 4).alias("similarity"),
-        F.when(F.col("lang_a") == F.col("lang_b"), "manual_group_x").otherwise("manual_fill_x").alias("reason"),
+        F.when(F.char_length("text_a") <= F.char_length("text_b"), "manual_group_x").otherwise("manual_fill_x").alias("reason"),
         F.when(F.col("source_a") < F.col("source_b"), "identical").otherwise("changed_1_2").alias("option_relation"))
-    return M.review_clusters(pairs, document_questions(spark, sf))
+    subject = F.when(F.col("source").isin(SCHOOL_SOURCES), "学校").otherwise(F.col("source"))
+    marked = text.replace_all(F.col("text"), [(". De", ". 截至"), (". Der", ". 各年级")])
+    questions = B.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("idx"), subject.alias("subject"), F.col("doc_id").alias("q_no"), marked.alias("question_text"))
+    return M.review_clusters(cut_lineage(pairs.filter("similarity >= 0.5")), questions)
 
 
 @query("group_level_merges")

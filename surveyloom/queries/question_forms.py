@@ -1,5 +1,6 @@
 """Question form queries: documents are questions (first line the question, the
-other lines its options), conversations are forms read block by block."""
+other lines its options) or forms of one question a line, conversations are forms
+read block by block."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ from surveyloom.operators import questions as Q
 from surveyloom.operators.ordering import number_globally
 from surveyloom.queries import query
 from surveyloom.queries import bindings as B
+from surveyloom.session import cut_lineage
 
 
 # --- SQL counterparts of the text rules -------------------------------------------------------
@@ -67,6 +69,17 @@ def document_components(spark, sf):
     return Q.with_labels(rows)
 
 
+def line_questions(spark, sf):
+    """Every line of every document as a question: its number is its place in the
+    document, short lines are blanks to fill."""
+    d = B.table(spark, sf, "documents")
+    lines = d.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n")).alias("line", "question_text"))
+    kind = F.when(F.char_length("question_text") < 40, "填空题").otherwise("单选题")
+    return number_globally(lines, [F.col("doc_id"), F.col("line")], "idx").select(
+        "idx", F.col("source").alias("source_file"), F.col("lang").alias("role"), F.col("source").alias("subject"),
+        (F.col("line") + 1).cast("bigint").alias("q_no"), kind.alias("question_type"), "question_text")
+
+
 def full_questions(spark, sf):
     """Questions with text features and signatures."""
     features = Q.with_text_features(document_questions(spark, sf))
@@ -80,6 +93,11 @@ QUESTIONS_SQL = f"""{LINES_SQL}, q AS (
     split_part(text, chr(10), 1) AS question_text, {key_sql(compact_sql("split_part(text, chr(10), 1)"))} AS normalized_text
   FROM documents),
 keyed AS (SELECT *, role || '|' || question_type || '|' || normalized_text AS normalized_key FROM q)"""
+LINE_QUESTIONS_SQL = f"""{LINES_SQL}, n AS (SELECT row_number() OVER (ORDER BY idx, line) AS n, * FROM lines), q AS (
+  SELECT n AS idx, source AS source_file, lang AS role, source AS subject, CAST(line + 1 AS BIGINT) AS q_no,
+    CASE WHEN length(n.text) < 40 THEN '填空题' ELSE '单选题' END AS question_type, n.text AS question_text, {key_sql(compact_sql("n.text"))} AS normalized_text
+  FROM n JOIN documents ON doc_id = n.idx),
+keyed AS (SELECT *, role || '|' || question_type || '|' || normalized_text AS normalized_key FROM q)"""
 LABELS_SQL = f"""labels_ AS (SELECT idx, line, {compact_sql('text')} AS display, {label_key_sql(compact_sql('text'))} AS label_key FROM lines WHERE line > 0),
 kept AS (SELECT * FROM labels_ WHERE label_key <> ''),
 signs AS (SELECT idx, string_agg(label_key, chr(31) ORDER BY line) AS signature, count(*) AS size FROM kept GROUP BY idx),
@@ -111,29 +129,26 @@ def char_ngrams(spark, sf):
         F.count(F.lit(1)).alias("grams"), F.sum("tf").alias("total"), F.max("tf").alias("most"), F.sum(F.col("tf") * F.col("tf")).alias("norm2"))
 
 
-def length_pairs(spark, sf):
-    """Documents paired by key: a document's length is read as another one's id."""
-    d = B.table(spark, sf, "documents")
-    a = d.select(F.col("doc_id").alias("a"), F.col("n_chars").alias("b"), F.col("text").alias("text_a"), F.col("source").alias("source_a"), F.col("lang").alias("lang_a"))
-    b = d.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"), F.col("source").alias("source_b"), F.col("lang").alias("lang_b"))
-    return a.join(b, "b").filter("a <> b")
-
-
-def text_pairs(spark, sf):
-    """Every document with the next one of its source and language."""
+def text_pairs(spark, sf, keys=("source", "lang")):
+    """Every document with the next one that has the same ``keys``."""
     d = B.table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
-    at = number_globally(d, [F.col("source"), F.col("lang"), F.col("doc_id")], "_n")
+    at = number_globally(d, [*[F.col(k) for k in keys], F.col("doc_id")], "_n")
     a = at.select("_n", F.col("doc_id").alias("a"), F.col("text").alias("text_a"), F.col("source").alias("source_a"), F.col("lang").alias("lang_a"))
     b = at.select((F.col("_n") - 1).alias("_n"), F.col("doc_id").alias("b"), F.col("text").alias("text_b"),
                   F.col("source").alias("source_b"), F.col("lang").alias("lang_b"))
-    same = F.col("source_a").eqNullSafe(F.col("source_b")) & F.col("lang_a").eqNullSafe(F.col("lang_b"))
-    return a.join(b, "_n").filter(same).drop("_n")
+    pairs = a.join(b, "_n")
+    for k in keys:
+        pairs = pairs.filter(F.col(f"{k}_a").eqNullSafe(F.col(f"{k}_b")))
+    return pairs.drop("_n")
 
 
-PAIRS_SQL = """pairs AS (SELECT * FROM (SELECT doc_id AS a, lead(doc_id) OVER next AS b, text AS text_a, lead(text) OVER next AS text_b,
-  source AS source_a, source AS source_b, lang AS lang_a, lang AS lang_b FROM documents WINDOW next AS (PARTITION BY source, lang ORDER BY doc_id)) WHERE b IS NOT NULL)"""
-LENGTH_PAIRS_SQL = """pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, x.text AS text_a, y.text AS text_b, x.source AS source_a, y.source AS source_b,
-  x.lang AS lang_a, y.lang AS lang_b FROM documents x JOIN documents y ON x.n_chars = y.doc_id WHERE x.doc_id <> y.doc_id)"""
+def pairs_sql(keys="source, lang"):
+    return f"""pairs AS (SELECT * FROM (SELECT doc_id AS a, lead(doc_id) OVER next AS b, text AS text_a, lead(text) OVER next AS text_b,
+  source AS source_a, lead(source) OVER next AS source_b, lang AS lang_a, lead(lang) OVER next AS lang_b FROM documents
+  WINDOW next AS (PARTITION BY {keys} ORDER BY doc_id)) WHERE b IS NOT NULL)"""
+
+
+PAIRS_SQL = pairs_sql()
 
 
 @query("char_jaccard", f"""WITH {PAIRS_SQL}, s AS (SELECT a, b, length(text_a) AS la, length(text_b) AS lb,
@@ -249,51 +264,73 @@ def dependency_table(spark, sf):
 
 # --- groups -----------------------------------------------------------------------------------------
 
-@query("exact_question_groups", f"""WITH {QUESTIONS_SQL}
+@query("exact_question_groups", f"""WITH {LINE_QUESTIONS_SQL}
 SELECT normalized_key, min(idx) AS group_id, count(*) AS members FROM keyed GROUP BY normalized_key""")
 def exact_question_groups(spark, sf):
-    return Q.exact_groups(Q.with_text_features(document_questions(spark, sf)))
+    return Q.exact_groups(Q.with_text_features(line_questions(spark, sf)))
 
 
-def exact_members(spark, sf):
-    questions = Q.with_text_features(document_questions(spark, sf))
-    return questions.join(Q.exact_groups(questions).select("normalized_key", "group_id"), "normalized_key")
+def exact_members(questions):
+    """The questions with their features and the id of their exact group."""
+    featured = Q.with_text_features(questions)
+    return featured.join(Q.exact_groups(featured).select("normalized_key", "group_id"), "normalized_key")
 
 
-GROUPS_SQL = f"""{QUESTIONS_SQL}, m AS (SELECT *, min(idx) OVER (PARTITION BY normalized_key) AS group_id FROM keyed),
+def groups_sql(questions):
+    return f"""{questions}, m AS (SELECT *, min(idx) OVER (PARTITION BY normalized_key) AS group_id FROM keyed),
 texts AS (SELECT *, count(*) OVER (PARTITION BY group_id, question_text) AS tc FROM m),
 canon AS (SELECT group_id, question_text AS canonical_question FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY tc DESC, length(question_text) DESC, q_no, idx) AS rn FROM texts) WHERE rn = 1),
 g AS (SELECT group_id, count(DISTINCT (role, subject)) AS rs, count(DISTINCT subject) AS subject_count, arg_min(role, idx) AS role, min(q_no) AS q, arg_min(normalized_text, idx) AS t FROM m GROUP BY group_id),
-numbered AS (SELECT group_id, 'QG' || printf('%04d', row_number() OVER (ORDER BY rs DESC, role, q, t)) AS norm_id, subject_count FROM g)"""
+numbered AS (SELECT group_id, 'QG' || printf('%04d', row_number() OVER (ORDER BY rs DESC, role, q, t, group_id)) AS norm_id, subject_count FROM g)"""
+
 
+GROUPS_SQL, LINE_GROUPS_SQL = groups_sql(QUESTIONS_SQL), groups_sql(LINE_QUESTIONS_SQL)
 
-@query("canonical_question", f"""WITH {GROUPS_SQL} SELECT group_id, norm_id, subject_count, 'normalized_exact' AS match_method, canonical_question FROM numbered JOIN canon USING (group_id)""")
+
+@query("canonical_question", f"""WITH {LINE_GROUPS_SQL} SELECT group_id, norm_id, subject_count, 'normalized_exact' AS match_method, canonical_question FROM numbered JOIN canon USING (group_id)""")
 def canonical_question(spark, sf):
-    members = exact_members(spark, sf)
+    members = cut_lineage(exact_members(line_questions(spark, sf)))
     return Q.number_groups(members).join(Q.representatives(members).drop("representative"), "group_id")
 
 
-@query("question_mapping_long", f"""WITH {GROUPS_SQL}
-SELECT norm_id, group_id, subject, role, q_no, idx, 'normalized_exact' AS match_method FROM m JOIN numbered USING (group_id)""")
+@query("question_mapping_long", f"""WITH {LINE_GROUPS_SQL}
+SELECT norm_id, group_id, subject_count, subject, role, q_no, idx, question_type, question_text, canonical_question, 'normalized_exact' AS match_method
+FROM m JOIN numbered USING (group_id) JOIN canon USING (group_id)""")
 def question_mapping_long(spark, sf):
-    """Every question with the id of its group: all subjects, one row each."""
-    members = exact_members(spark, sf)
-    numbered = Q.number_groups(members).select("group_id", "norm_id", "match_method")
-    return members.join(numbered, "group_id").select("norm_id", "group_id", "subject", "role", "q_no", "idx", "match_method")
+    """Every question with its group and the group's wording: all subjects, one row each."""
+    members = cut_lineage(exact_members(line_questions(spark, sf)))
+    groups = Q.number_groups(members).join(Q.representatives(members).drop("representative"), "group_id")
+    return members.join(groups, "group_id").select(
+        "norm_id", "group_id", "subject_count", "subject", "role", "q_no", "idx", "question_type", "question_text", "canonical_question", "match_method")
 
 
-#: Columns of the wide form; the long form above holds every subject.
+#: Subjects with a column of their own in the wide form; it lists all others in one column.
 SUBJECTS = [f"src{i}" for i in range(20)]
 
 
-@query("mapping_wide", f"""WITH {GROUPS_SQL}
-SELECT norm_id, {", ".join(f"coalesce(string_agg(CAST(q_no AS VARCHAR), '; ' ORDER BY q_no) FILTER (WHERE subject = '{s}'), '') AS {s}" for s in SUBJECTS)}
+@query("mapping_wide", f"""WITH {LINE_GROUPS_SQL}
+SELECT norm_id, {", ".join(f"coalesce(array_to_string(list_sort(list(DISTINCT q_no) FILTER (WHERE subject = '{s}')), '; '), '') AS {s}" for s in SUBJECTS)},
+  coalesce(array_to_string(list_sort(list(DISTINCT subject || '#' || q_no) FILTER (WHERE subject NOT IN ({", ".join(f"'{s}'" for s in SUBJECTS)}))), '; '), '') AS others
 FROM m JOIN numbered USING (group_id) GROUP BY norm_id""")
 def mapping_wide(spark, sf):
-    members = exact_members(spark, sf)
+    members = cut_lineage(exact_members(line_questions(spark, sf)))
     return Q.mapping_wide(members.join(Q.number_groups(members).select("group_id", "norm_id"), "group_id"), SUBJECTS)
 
 
+@query("answer_components_long", f"""WITH {GROUPS_SQL}, {LABELS_SQL}
+SELECT norm_id, m.subject, m.role, m.q_no, m.question_type, canonical_question, 'option' AS component_type, CAST(line AS BIGINT) AS option_order,
+  display AS component_label, label_key FROM labels_ JOIN m USING (idx) JOIN numbered USING (group_id) JOIN canon USING (group_id)""")
+def answer_components_long(spark, sf):
+    """Every answer component under its question's group: what a lookup by (group,
+    subject, question number) reads."""
+    members = cut_lineage(exact_members(document_questions(spark, sf)))
+    groups = Q.number_groups(members).join(Q.representatives(members).drop("representative"), "group_id")
+    placed = members.select("idx", "group_id", "subject", "role", "q_no", "question_type").join(groups, "group_id")
+    return document_components(spark, sf).join(placed, "idx").select(
+        "norm_id", "subject", "role", "q_no", "question_type", "canonical_question", "component_type", "option_order",
+        F.col("display").alias("component_label"), "label_key")
+
+
 @query("run_counts", f"""WITH {QUESTIONS_SQL}, {LABELS_SQL}
 SELECT 'source_files' AS item, count(DISTINCT source_file) AS value FROM q UNION ALL SELECT 'subjects', count(DISTINCT subject) FROM q
 UNION ALL SELECT 'questions', count(*) FROM q UNION ALL SELECT 'answer_components', count(*) FROM lines WHERE line > 0
@@ -324,7 +361,7 @@ def run_counts(spark, sf):
 
 def option_pairs(spark, sf):
     """Each question with the first one of its exact group, and the pairs by key."""
-    members = exact_members(spark, sf)
+    members = exact_members(document_questions(spark, sf))
     in_group = members.filter("idx <> group_id").select(F.col("group_id").alias("idx_a"), F.col("idx").alias("idx_b"))
     by_key = text_pairs(spark, sf).select(F.col("a").alias("idx_a"), F.col("b").alias("idx_b"))
     return in_group.unionByName(by_key).distinct()

@@ -52,7 +52,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     lost executor costs no recomputation of earlier rounds, and the files tell the
     optimizer the true size, so only what is small gets broadcast."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,10 @@ TAIL = 32               # classes of all other words, by their last two bytes
 KNOWN = 50_000          # frequent words whose counts travel with the model (a few MB); others are looked up by a join
 HIDDEN = 24
 WINDOW = 32             # steps of truncated backpropagation, and of scoring before the state is carried on
-FIT_DOCS = 1500         # training documents the network is fitted on, at most, by hash order of doc_id
-STREAMS, PASSES, RATE = 48, 2, 0.02
+STREAMS, MOST_STREAMS, PASSES, RATE = 48, 256, 2, 0.02
+SHARE = 1_000_000       # training tokens that make one more task worth while; less of them in all are passed up to three times
+PARTS = 8               # the training rows of every task are dealt to so many parts
+ROUNDS = ((0,), (1,), (2, 3), (4, 5), (6, 7))  # parts read between two averages of the tasks' networks; every part once
 FLUSH = 300_000
 
 
@@ -156,9 +158,9 @@ class Network:
         streams (time first), the state behind it, and the loss. ``fresh`` marks
         steps that start a text, where the state is zero."""
         p, n, steps, streams = self.p, HIDDEN, *inputs.shape
-        kept, states = [], np.empty((steps, streams, n))
+        kept, states = [], np.empty((steps, streams, n), h.dtype)
         for t in range(steps):
-            h = np.where(fresh[t][:, None], 0.0, h)
+            h = np.where(fresh[t][:, None], h.dtype.type(0), h)
             before = h
             h, parts = self.step(p["x"][inputs[t]] + p["b"], h)
             kept.append((before, *parts))
@@ -182,7 +184,7 @@ class Network:
                 g["wm"][c], g["bm"][c] = flat[at].T @ d, d.sum(0)
                 dh_out[at] += d @ p["wm"][c].T
         dh_out = dh_out.reshape(steps, streams, n)
-        dh, dgates = np.zeros((streams, n)), np.empty((steps, streams, 3 * n))
+        dh, dgates = np.zeros((streams, n), h.dtype), np.empty((steps, streams, 3 * n), h.dtype)
         for t in range(steps - 1, -1, -1):
             before, z, r, new, own = kept[t]
             dh = dh + dh_out[t]
@@ -192,8 +194,11 @@ class Network:
             dgates[t] = np.concatenate((dz, dr, dnew), 1)
             down = np.concatenate((dz, dr, dnew * r), 1)
             g["u"] += before.T @ down
-            dh = np.where(fresh[t][:, None], 0.0, dh * z + down @ p["u"].T)
-        np.add.at(g["x"], inputs.ravel(), dgates.reshape(-1, 3 * n))
+            dh = np.where(fresh[t][:, None], h.dtype.type(0), dh * z + down @ p["u"].T)
+        read = inputs.ravel()
+        order = np.argsort(read, kind="stable")
+        firsts = np.flatnonzero(np.diff(read[order], prepend=-1))
+        g["x"][read[order][firsts]] = np.add.reduceat(dgates.reshape(-1, 3 * n)[order], firsts)
         g["b"] = dgates.sum((0, 1))
         return {k: v / want.size for k, v in g.items()}, h, loss / want.size
 
@@ -207,61 +212,158 @@ def _runs(kind: np.ndarray, order: np.ndarray):
             yield int(kind[at[0]]), at
 
 
-def train(network: Network, texts: list[np.ndarray]) -> list[float]:
-    """Fits the network on whole texts of symbols laid end to end in parallel streams,
-    by truncated backpropagation with Adam. Returns the loss of every window."""
-    if not texts:
-        return []
-    flat = np.concatenate(texts)
-    starts = np.zeros(len(flat), bool)
-    starts[np.cumsum([0] + [len(t) for t in texts[:-1]])] = True
-    inputs = np.where(starts, START, np.concatenate(([START], flat[:-1])))
-    streams = max(1, min(STREAMS, len(flat) // WINDOW))
-    steps = len(flat) // streams
-    cut = lambda x: x[:streams * steps].reshape(streams, steps).T
-    inputs, targets, fresh = cut(inputs), cut(flat), cut(starts)
-    first = {k: np.zeros_like(v) for k, v in network.p.items()}
-    second = {k: np.zeros_like(v) for k, v in network.p.items()}
-    losses, n = [], 0
-    for turn in range(PASSES):
-        h = np.zeros((streams, HIDDEN))
+class Fitting:
+    """A network with Adam's moments, and their common form as one vector, which can be averaged."""
+
+    def __init__(self, network: Network, state: bytes | None = None, updates: int = 0):
+        self.network, self.updates = network, updates
+        self.first = {k: np.zeros_like(v) for k, v in network.p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in network.p.items()}
+        if state is not None:
+            flat, at = np.frombuffer(state, "<f4"), 0
+            for values in (network.p, self.first, self.second):
+                for k, v in values.items():
+                    values[k] = flat[at:at + v.size].reshape(v.shape).copy()
+                    at += v.size
+
+    def state(self) -> bytes:
+        return np.concatenate([v.ravel() for x in (self.network.p, self.first, self.second) for v in x.values()]).astype("<f4").tobytes()
+
+    def update(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.updates += 1
+        rate *= float(np.sqrt(1 - 0.999**self.updates) / (1 - 0.9**self.updates))
+        for k, v in g.items():
+            self.first[k] += 0.1 * (v - self.first[k])
+            self.second[k] += 0.001 * (v * v - self.second[k])
+            self.network.p[k] -= rate * self.first[k] / (np.sqrt(self.second[k]) + 1e-8)
+
+    def learn(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, streams: int, rate: float) -> list[float]:
+        """Truncated backpropagation over tokens laid out in parallel streams; what does not
+        fill them follows as one stream, so no token is left out. Windows smaller
+        than usual move the network less."""
+        streams = max(1, min(streams, len(targets) // WINDOW))
+        steps = len(targets) // streams
+        cut = lambda x: x[:streams * steps].reshape(streams, steps).T
+        x, y, f = cut(inputs), cut(targets), cut(fresh)
+        h, losses = np.zeros((streams, HIDDEN), self.network.p["u"].dtype), []
         for at in range(0, steps, WINDOW):
-            g, h, loss = network.gradients(inputs[at:at + WINDOW], targets[at:at + WINDOW], fresh[at:at + WINDOW], h)
+            g, h, loss = self.network.gradients(x[at:at + WINDOW], y[at:at + WINDOW], f[at:at + WINDOW], h)
             losses.append(float(loss))
-            n += 1
-            rate = RATE / (1 + 4 * n * WINDOW / (PASSES * steps)) * np.sqrt(1 - 0.999**n) / (1 - 0.9**n)
-            for k, v in g.items():
-                first[k] += 0.1 * (v - first[k])
-                second[k] += 0.001 * (v * v - second[k])
-                network.p[k] -= rate * first[k] / (np.sqrt(second[k]) + 1e-8)
-    return losses
+            self.update(g, rate * min(1.0, y[at:at + WINDOW].size / (STREAMS * WINDOW)))
+        rest = streams * steps
+        return losses + (self.learn(inputs[rest:], targets[rest:], fresh[rest:], 1, rate) if rest < len(targets) else [])
+
+
+def _chunks(texts: Iterable[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(inputs, targets, fresh) of all tokens of the texts end to end, ``size`` at a time;
+    a text may go on in the next chunk."""
+    held, starts, n, last = [], [], 0, START
+
+    def out(size):
+        nonlocal held, starts, n, last
+        flat, fresh = np.concatenate(held), np.concatenate(starts)
+        held, starts, n = [flat[size:]], [fresh[size:]], max(0, len(flat) - size)
+        flat, fresh = flat[:size].astype(np.int64), fresh[:size]
+        inputs = np.where(fresh, START, np.concatenate(([last], flat[:-1])))
+        last = flat[-1]
+        return inputs, flat, fresh
+    for text in texts:
+        held.append(text)
+        starts.append(np.arange(len(text)) == 0)
+        n += len(text)
+        while n >= size:
+            yield out(size)
+    if n:
+        yield out(n)
+
+
+def _passed(fitting: Fitting, texts: Iterable[np.ndarray], streams: int, begin: float, end: float, total: float) -> tuple[int, list[float]]:
+    """One pass over the texts while training as a whole goes from ``begin`` to ``end`` (0 to 1)
+    of its way; ``total`` tokens are expected. (tokens, loss of every window)."""
+    read, losses = 0, []
+    for inputs, targets, fresh in _chunks(texts, streams * WINDOW * 16):
+        way = begin + (end - begin) * min(1.0, (read + len(targets) / 2) / max(total, 1))
+        losses += fitting.learn(inputs, targets, fresh, streams, RATE / (1 + 4 * way))
+        read += len(targets)
+    return read, losses
+
+
+def train(network: Network, texts: list[np.ndarray], passes: int = PASSES) -> list[float]:
+    """Fits the network on whole texts of symbols, by truncated backpropagation with
+    Adam. Returns the loss of every window."""
+    fitting, total = Fitting(network), sum(map(len, texts))
+    return [x for turn in range(passes) for x in _passed(fitting, texts, STREAMS, turn / passes, (turn + 1) / passes, total)[1]]
 
 
 def _symbols(batches: Iterator[pa.RecordBatch], words: Vocabulary) -> Iterator[pa.RecordBatch]:
+    row = 0
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([np.array(
-            [words.symbol(w) for w in tokens_of(t.as_py())], "<u2").tobytes() for t in batch.column("text")], pa.binary())], ["doc_id", "symbols"])
+        yield pa.RecordBatch.from_arrays([pa.array((np.arange(batch.num_rows) + row) % PARTS, pa.int32()), pa.array([np.array(
+            [words.symbol(w) for w in tokens_of(t.as_py())], "<u2").tobytes() for t in batch.column(0)], pa.binary())], ["part", "symbols"])
+        row += batch.num_rows
 
 
-def _trained(batches: Iterator[pa.RecordBatch], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    rows = [(i, s) for b in batches for i, s in zip(b.column("doc_id").to_pylist(), b.column("symbols").to_pylist())]
-    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0] or 0, r[1]))
+def _fitted(batches: Iterator[pa.RecordBatch], counts: np.ndarray, state: bytes | None, updates: int, passes: int,
+            begin: float, end: float, share: float) -> Iterator[pa.RecordBatch]:
+    """The state behind this task's rows, weighed by their tokens. One pass holds a chunk of tokens at a time."""
     network = Network(counts)
-    train(network, [np.frombuffer(s, "<u2").astype(np.int64) for _, s in rows])
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps({k: v.astype(np.float32) for k, v in network.p.items()})], pa.binary())], ["model"])
+    network.p = {k: v.astype(np.float32) for k, v in network.p.items()}
+    fitting = Fitting(network, state, updates)
+    streams = int(min(max(share // (1000 * WINDOW), STREAMS), MOST_STREAMS))
+    texts = (np.frombuffer(s, "<u2") for b in batches for s in b.column("symbols").to_pylist())
+    if passes > 1:  # fewer than SHARE tokens in all
+        texts = sorted(texts, key=lambda t: (zlib.crc32(t.tobytes()), t.tobytes()))
+    tokens = 0
+    for turn in range(passes):
+        of = lambda k: begin + (end - begin) * k / passes
+        tokens += _passed(fitting, texts, streams, of(turn), of(turn + 1), share)[0]
+    if tokens:
+        yield _states(tokens, fitting.updates, fitting.state())
+
+
+def _states(tokens: int, updates: int, state: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([tokens], pa.int64()), pa.array([updates], pa.int64()), pa.array([state], pa.binary())], ["tokens", "updates", "state"])
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted((r["tokens"], r["updates"], r["state"]) for b in batches for r in b.to_pylist())
+    if rows:
+        total = sum(r[0] for r in rows)
+        mean = sum(r[0] / total * np.frombuffer(r[2], "<f4").astype(float) for r in rows)
+        yield _states(total, max(r[1] for r in rows), mean.astype("<f4").tobytes())
 
 
 def fit(docs: DataFrame, words: Vocabulary) -> Network:
-    """The network, trained in one task on at most ``FIT_DOCS`` whole training documents."""
-    training = docs.filter(remainder(F.col("doc_id"), 7) != 2).select("doc_id").filter("doc_id IS NOT NULL")
-    chosen = cut_lineage(training.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS).distinct())
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
-    symbols = cut_lineage(rows.mapInArrow(lambda it: _symbols(it, words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, symbols binary"))
-    model = symbols.repartition(1).mapInArrow(lambda it: _trained(it, words.symbol_counts), "model binary").collect()  # one row
-    network = Network(words.symbol_counts)
-    if model:
-        network.p = pickle.loads(bytes(model[0]["model"]))
+    """The network, trained on every token of all training rows.
+
+    Each task fits its own rows from the common state; the tasks' states (about 1 MB
+    each) are averaged by their tokens, first in groups and then over the groups,
+    and the next round goes on from there. The tasks grow with the input; none gets
+    rows by a key, so copies and repeated ids stay where they are stored."""
+    training = docs.filter(remainder(F.col("doc_id"), 7) != 2).select(F.col("text").cast("binary").alias("text"))
+    symbols = cut_lineage(training.mapInArrow(lambda it: _symbols(it, words), "part int, symbols binary"))
+    counts, form = words.symbol_counts, "tokens bigint, updates bigint, state binary"
+    tasks = max(1, words.total // SHARE)
+    passes = min(3, -(-SHARE // max(1, words.total)))
+    state, updates, done, read = None, 0, 0, 0
+    for parts in ROUNDS if tasks > 1 else (range(PARTS),):
+        begin, end = done / PARTS, (done + len(parts)) / PARTS
+        rows = symbols.filter(F.col("part").isin(list(parts))).coalesce(tasks)
+        share = words.total * len(parts) / PARTS / min(tasks, rows.rdd.getNumPartitions() or 1)
+        task = partial(_fitted, counts=counts, state=state, updates=updates, passes=passes, begin=begin, end=end, share=share)
+        states = rows.mapInArrow(task, form)
+        if tasks > 1:
+            states = states.repartition(int(np.ceil(np.sqrt(tasks)))).mapInArrow(_averaged, form)
+        found = states.repartition(1).mapInArrow(_averaged, form).collect()  # one row, or none
+        if found:
+            state, updates = bytes(found[0]["state"]), found[0]["updates"]
+            read += found[0]["tokens"]
+        done += len(parts)
+    network = Network(counts)
     network.p = {k: v.astype(np.float32) for k, v in network.p.items()}
+    network = Fitting(network, state).network
+    network.read = read  # tokens it learned from, over all passes
     return network
 
 

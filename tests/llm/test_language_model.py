@@ -97,3 +97,28 @@ def test_training_lowers_the_loss():
     texts = [np.array([5, 900, 40, 1030] * int(rng.integers(5, 40))) for _ in range(3000)]
     losses = lm.train(lm.Network(np.ones(lm.HEAD + lm.TAIL)), texts)
     assert losses[-1] < 0.2 * losses[0]
+
+
+def test_every_training_row_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARE", 20_000)  # several tasks and rounds
+    rows = [(i if i % 5 else 8, "one two three four five six seven eight nine ten " * 2) for i in range(1, 4001)] + [(None, "last words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    words = lm.vocabulary(lm.corpus_counts(docs))
+    network = lm.fit(docs, words)
+    assert network.read == words.total == sum(len(t.split()) + 1 for i, t in rows if not held_out(i))
+    texts = [np.array([words.symbol(w) for w in lm.tokens_of(rows[0][1].encode())])]
+    assert lm._text_scores(network, texts)[0] > lm._text_scores(lm.Network(words.symbol_counts), texts)[0] + 5
+
+
+def test_chunks_hold_every_token_once():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, lm.START, n).astype("<u2") for n in (1, 700, 3, 64, 2)]
+    chunks = list(lm._chunks(texts, 100))
+    assert np.concatenate([c[1] for c in chunks]).tolist() == np.concatenate(texts).tolist()
+    want = [x for t in texts for x in [lm.START, *t[:-1].tolist()]]
+    assert np.concatenate([c[0] for c in chunks]).tolist() == want and sum(c[2].sum() for c in chunks) == len(texts)
+    network, seen = lm.Network(np.ones(lm.HEAD + lm.TAIL)), []
+    known = network.gradients
+    network.gradients = lambda x, y, f, h: seen.append(y.size) or known(x, y, f, h)
+    lm.train(network, texts, passes=1)
+    assert sum(seen) == sum(map(len, texts))

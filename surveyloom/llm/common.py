@@ -30,6 +30,21 @@ def numbered(df: DataFrame) -> DataFrame:
     return cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()))
 
 
+def joined_to(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``rows`` left-joined to a stored table of one row per ``key``, whose file size decides
+    between a broadcast and a shuffle join. Keys of at least 1 % of the rows, at most
+    100, are broadcast with what they meet; their rows are dealt out evenly in the
+    shuffle, so no task holds a hot key."""
+    names = [c for c in side.columns if c != key]
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = cut_lineage(sizes.withColumn("_all", sizes.agg(F.sum("_n").alias("n")).scalar()).filter("100 * _n >= _all").select(key))
+    often = hot.join(side, key, "left").select(key, F.struct(*names).alias("_often"))
+    at = rows.join(F.broadcast(often), key, "left").withColumn(
+        "_salt", F.when(F.col("_often").isNotNull(), F.monotonically_increasing_id() + 1).otherwise(F.lit(0)))
+    met = at.join(side.select(key, F.struct(*names).alias("_met"), F.lit(0).cast("bigint").alias("_salt")), [key, "_salt"], "left")
+    return met.select(*rows.columns, *[F.coalesce(F.col("_often")[c], F.col("_met")[c]).alias(c) for c in names])
+
+
 def in_block_pairs(rows: DataFrame, keys: list[str], spread: str, block_rows: int) -> DataFrame:
     """Deal the rows of every group to pairs of blocks (_x <= _y) of about
     ``block_rows`` rows, so that any two rows of a group meet in exactly one pair

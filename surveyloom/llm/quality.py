@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from surveyloom.llm.common import words_of
+from surveyloom.llm.common import joined_to, words_of
 from surveyloom.session import cut_lineage
 
 # fixed values: frequent function words of English, German, French and Spanish
@@ -21,7 +21,6 @@ CLASSES = ("lower", "blank", "upper", "digit", "mark", "symbol", "letter", "othe
 #: What is taken out of a text one after the other; each pattern sees only what the earlier ones left.
 CLASS_RUNS = ("[a-z]+", r"[\x20\x09-\x0D]+", "[A-Z]+", "[0-9]+", r"[.,;:!?'\"()\-]+", "[#*$%&|<>]+", r"\p{L}+")
 
-REFERENCE_LANGS = 64
 MIN_CHAR_WORDS, MAX_CHAR_DIVERGENCE = 20, 0.08
 MIN_COMMON_WORDS, MAX_COMMON_DIVERGENCE = 80, 0.10
 
@@ -70,19 +69,18 @@ def base_failed() -> Column:
 
 def language_references(features: DataFrame) -> DataFrame:
     """(lang, chars_ref, common_ref): mean histograms of the documents that pass the
-    base rule and have enough words, for the ``REFERENCE_LANGS`` largest languages
-    and, under a null lang, for all. At most 65 rows whatever the input."""
+    base rule and have enough words, for every language that has one and, under a
+    null lang, for all."""
     solid = features.filter(~base_failed() & (F.col("n_words") >= MIN_CHAR_WORDS)).select(
         F.explode(F.array(F.col("lang"), F.lit(None).cast("string"))).alias("lang"), "n_words", "chars", "common")
     total = reduce(lambda a, b: a + b, [F.col("chars")[i] for i in range(len(CLASSES))])
     sums = solid.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(F.col("chars")[i] / total).alias(c) for i, c in enumerate(CLASSES)])
-    kept = sums.orderBy(F.col("lang").isNull().desc(), F.col("n").desc(), "lang").limit(REFERENCE_LANGS + 1)
     seen = solid.select("lang", "n_words", F.explode("common").alias("c")).groupBy("lang", "c.word").agg(
         F.sum(F.col("c.n") / F.col("n_words")).alias("share"))
     maps = seen.groupBy("lang").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "share")))).alias("common_ref"))
-    return kept.join(maps, kept["lang"].eqNullSafe(maps["lang"]), "left").select(
-        kept["lang"], F.array(*[F.col(c) / F.col("n") for c in CLASSES]).alias("chars_ref"),
+    return sums.join(maps, sums["lang"].eqNullSafe(maps["lang"]), "left").select(
+        sums["lang"], F.array(*[F.col(c) / F.col("n") for c in CLASSES]).alias("chars_ref"),
         F.transform_values(F.coalesce("common_ref", F.create_map().cast("map<string,double>")),
                            lambda _, v: v / F.col("n")).alias("common_ref"))
 
@@ -102,16 +100,14 @@ def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     form one bin) are held against the means of its language by Jensen-Shannon
     divergence (0 to 1). A divergence is null, and never rejects, below its least
     number of words: 20 for characters, 80 for words. A null text has no words and
-    fails the base rule; languages beyond the 64 largest, and null ones that form
-    no group of their own, use the reference of all documents. Repeated rows are
-    judged one by one. An empty table gives an empty result."""
+    fails the base rule; every language, null ones together, has its own reference;
+    without a document to make one, that of all documents is used. Repeated rows
+    are judged one by one. An empty table gives an empty result."""
     features = cut_lineage(text_features(docs, keep))
     refs = cut_lineage(language_references(features))
     whole = refs.filter("lang IS NULL").select(F.struct("chars_ref", "common_ref").alias("r")).scalar()  # one row or none
-    own = refs.filter("lang IS NOT NULL").select(
-        F.col("lang").alias("lang"), F.col("chars_ref").alias("_cl"), F.col("common_ref").alias("_wl"))
-    # a side of at most 64 rows
-    at = features.join(F.broadcast(own), "lang", "left").withColumn("_whole", whole)
+    own = refs.filter("lang IS NOT NULL").select("lang", F.col("chars_ref").alias("_cl"), F.col("common_ref").alias("_wl"))
+    at = joined_to(features, own, "lang").withColumn("_whole", whole)
     at = at.withColumn("_c", F.coalesce("_cl", "_whole.chars_ref")).withColumn("_w", F.coalesce("_wl", "_whole.common_ref"))
     total = F.aggregate("chars", F.lit(0.0), lambda a, x: a + x)
     char_terms = F.zip_with("chars", "_c", lambda n, q: _half_terms(n / F.col("_total"), q))

@@ -90,7 +90,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STEPS = ", ".join(f"regexp_replace(t{i}, '{run.replace(chr(39), chr(39) * 2)}', '', 'g') AS t{i + 1}" for i, run in enumerate(quality.CLASS_RUNS))
 _HALF = "((CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END) + (CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END)) / 2"
-#: Up to 64 languages; beyond them the operator uses the reference of all documents.
+#: For a language without a document that makes a reference, the operator uses that of all documents.
 QUALITY_SQL = f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t0 FROM documents),
 steps AS (SELECT *, list_filter(string_split_regex(t0, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
   list_filter(string_split(t0, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, {_STEPS} FROM t),

@@ -241,3 +241,20 @@ def test_urls(spark):
         assert r["score"] == pytest.approx(mean(plain(r)), abs=1e-9)
     open_ones = [r for r in got if not r["rule"]]
     assert max(r["score"] for r in open_ones if r["verdict"] == "allow") < min([9.0] + [r["score"] for r in open_ones if r["verdict"] == "block"])
+
+
+def test_every_language_has_its_own_reference(spark):
+    latin, other = "a few small words of one and the same kind " * 4, "слова другого письма из малого языка " * 5
+    rows = [(100 * k + i, f"{latin} {k} {'x' * i}", f"l{k}") for k in range(80) for i in range(3)]
+    rows += [(9000 + i, f"{other} {i}", "zz") for i in range(2)] + [(9100, other, "alone"), (9101, "short", "none")]
+    rows = [(i, " ".join(f"{w}{n}" for n, w in enumerate(t.split())), g) for i, t, g in rows]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    assert len(got) == len(rows) and not got[9101]["kept"]
+    assert all(r["kept"] and r["char_divergence"] < 0.01 for i, r in got.items() if i != 9101)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:  # references too large to broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert {r["doc_id"]: r for r in quality.judge(docs).collect()} == got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from surveyloom.llm.common import joined_to
 from surveyloom.session import cut_lineage
 
 #: (action, host, path prefix)
@@ -11,7 +12,6 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 ORDER = 4           # longest gram: three characters of context and the next one
 DISCOUNT = 2.0      # weight of the shorter context in each estimate
 MIN_COUNT = 3       # rarer grams back off to their shorter context
-MAX_GRAMS = 60_000  # capacity of the model; the most frequent grams stay (some 5 MB)
 BINS = 400          # resolution of the calibration, over scores from -4 to 4
 START = "^"
 
@@ -55,8 +55,8 @@ def train(labelled: DataFrame) -> DataFrame:
     Both languages are estimated by p(x | context) = (n(context x) + d p(x | shorter
     context)) / (n(context) + d). ``ratio`` is ln p_block - ln p_allow of a gram;
     ``back`` is what a context adds when the gram itself was not kept. Counts come
-    from all rows, by partial sums; only the kept grams, at most ``MAX_GRAMS``,
-    are ordered."""
+    from all rows, by partial sums; every gram of ``MIN_COUNT`` and more, and every
+    character, is kept, in a stored table."""
     at = _positions(labelled, ["action"])
     names = [f"g{k}" for k in range(1, ORDER + 1)]
     block = F.when(F.col("action") == "block", 1).otherwise(0)
@@ -67,8 +67,7 @@ def train(labelled: DataFrame) -> DataFrame:
         F.col(names[-1]), ORDER - k + 1, k - 1).alias("context")) for k in range(1, ORDER + 1)])).alias("g"), "b", "a").select("g.*", "b", "a")
     grams = cut_lineage(grams.groupBy("gram", "k", "context").agg(F.sum("b").alias("b"), F.sum("a").alias("a")))
     contexts = grams.groupBy("context").agg(F.sum("b").alias("cb"), F.sum("a").alias("ca"))
-    kept = grams.filter((F.col("k") == 1) | (F.col("b") + F.col("a") >= MIN_COUNT)).orderBy(
-        "k", (F.col("b") + F.col("a")).desc(), "gram").limit(MAX_GRAMS)
+    kept = grams.filter((F.col("k") == 1) | (F.col("b") + F.col("a") >= MIN_COUNT))
     kept = cut_lineage(kept.join(contexts, "context"))
     alphabet = kept.filter("k = 1").agg(F.count(F.lit(1)).alias("size")).scalar()
     known = kept.filter("k = 1").withColumn("size", alphabet).select("gram", *[
@@ -89,20 +88,31 @@ def train(labelled: DataFrame) -> DataFrame:
     return cut_lineage(model.join(back, "gram", "left").select("gram", "ratio", F.coalesce("back", F.lit(0.0)).alias("back")))
 
 
-def score(rows: DataFrame, model: DataFrame, key: str) -> DataFrame:
-    """(key, score): mean log ratio per character; above 0 the text reads like a
-    rejected URL. The model, of at most ``MAX_GRAMS`` short rows, is broadcast; the
-    characters of a URL stay in its task and are summed there."""
-    at = _positions(rows, [key])
+def _values(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(g4, value): the log ratio of the last character of every gram of length ``ORDER``,
+    which ends in all shorter grams and contexts of its place. A key meets no more
+    of them than there are symbols to the power of what it leaves open."""
+    n = f"g{ORDER}"
+    last = lambda k, of: F.substring(F.col(n), ORDER - k + 1, of)
+    at = grams
     for k in range(1, ORDER + 1):
-        at = at.join(F.broadcast(model.select(F.col("gram").alias(f"g{k}"), F.col("ratio").alias(f"r{k}"))), f"g{k}", "left")
+        at = at.withColumn("gram", last(k, k)).join(model.select("gram", F.col("ratio").alias(f"r{k}")), "gram", "left").drop("gram")
     for k in range(1, ORDER):
-        at = at.join(F.broadcast(model.filter(F.length("gram") == k).select(
-            F.col("gram").alias(f"c{k}"), F.col("back").alias(f"b{k}"))), f"c{k}", "left")
+        at = at.withColumn("gram", last(k + 1, k)).join(model.select("gram", F.col("back").alias(f"b{k}")), "gram", "left").drop("gram")
     value = F.coalesce("r1", F.lit(0.0))
     for k in range(2, ORDER + 1):
         value = F.coalesce(F.col(f"r{k}"), F.coalesce(F.col(f"b{k - 1}"), F.lit(0.0)) + value)
-    return at.groupBy(key).agg(F.avg(value).alias("score"))
+    return cut_lineage(at.select(n, value.alias("value")))
+
+
+def score(rows: DataFrame, model: DataFrame, key: str) -> DataFrame:
+    """(key, score): mean log ratio per character; above 0 the text reads like a
+    rejected URL. Equal grams of a URL are folded first; distinct grams are looked up
+    in the model, and their values joined back, by tables whose size decides how."""
+    n = f"g{ORDER}"
+    folded = cut_lineage(_positions(rows, [key]).groupBy(key, n).agg(F.count(F.lit(1)).alias("times")))
+    met = joined_to(folded, _values(folded.select(n).distinct(), model), n)
+    return met.groupBy(key).agg((F.sum(F.col("times") * F.col("value")) / F.sum("times")).alias("score"))
 
 
 def _cut(scored: DataFrame) -> float:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -258,3 +259,29 @@ def test_every_language_has_its_own_reference(spark):
         assert {r["doc_id"]: r for r in quality.judge(docs).collect()} == got
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_url_model_keeps_every_frequent_gram(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0-./_~!$&'()*+,;=:", k=400)) + "rare" for _ in range(1500)]
+    rows = [(i, x, "block" if i % 2 else "allow") for i, x in enumerate(texts)]
+    at = spark.createDataFrame(rows, "_row bigint, _text string, action string")
+    model = urls.train(at)
+    counts = Counter(x[max(0, i - k):i] for t in texts for x in ["^^^" + t] for i in range(4, len(x) + 1) for k in range(1, 5))
+    got = {r["gram"]: r for r in model.collect()}
+    assert got.keys() == {g for g, n in counts.items() if len(g) == 1 or n >= urls.MIN_COUNT} and len(got) > 60_000
+
+    def value(g):
+        if g in got:
+            return got[g]["ratio"]
+        return value(g[1:]) + (got[g[:-1]]["back"] if g[:-1] in got else 0.0) if len(g) > 1 else 0.0
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:  # a model too large to broadcast
+        for size in (threshold, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            some = {r["_row"]: r["score"] for r in urls.score(at.filter("_row < 20"), model, "_row").collect()}
+            for i in range(20):
+                x = "^^^" + texts[i]
+                assert some[i] == pytest.approx(sum(value(x[j - 4:j]) for j in range(4, len(x) + 1)) / len(texts[i]), abs=1e-9)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

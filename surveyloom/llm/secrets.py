@@ -27,7 +27,7 @@ ROLES = {"assign": "secret", "access": "id", "hex": "secret"} | {k: r for k, r,
 BASE = ("assign", "access", "hex")
 RANK = {k: i for i, k in enumerate(ROLES)}
 ROLE_NAMES = ("id", "secret", "endpoint")
-SCOPE = 256  # parts whose starts are at most so many code points apart share a scope
+SCOPE = 256  # parts with at most so many code points between them share a scope
 
 
 def spans_of(text: Column, pattern: str, least: int = 0) -> tuple[Column, Column]:
@@ -80,22 +80,21 @@ def linked_weak(found: DataFrame) -> DataFrame:
     their scope: a secret needs an identifier or an endpoint beside it, an identifier
     a secret, an endpoint both others. Strong parts complete weak ones.
 
-    An interval join on (document, strip of ``SCOPE`` code points): each strip holds, per
-    role, only its first and last start, so a text of any number of parts makes three
-    short rows a strip and never pairs."""
+    An interval join on (document, strip of ``SCOPE`` code points): a part is offered in every
+    strip from its start to its end, and a strip holds, per role, only its lowest start
+    and highest end. A weak part looks into its own strips, where all is in scope, and
+    one more on either side; rows grow with the text's length and are never pairs."""
     flat = found.select("_row", F.explode(F.concat(*[_tagged(k) for k in ROLES])).alias("p")).select("_row", "p.*").withColumn(
-        "strip", F.floor(F.col("start") / SCOPE))
-    edges = [f(F.when(F.col("role") == r, F.col("start"))).alias(f"{r}_{n}") for r in ROLE_NAMES for n, f in (("low", F.min), ("high", F.max))]
-    strips = flat.groupBy("_row", "strip").agg(*edges)
-    near = strips.select("_row", F.explode(F.array(*[F.struct(
-        (F.col("strip") + d).alias("strip"), F.lit(d).alias("d")) for d in (-1, 0, 1)])).alias("t"), *[c for c in strips.columns if c[-4:] in ("_low", "high")])
-    near = near.select("_row", "t.*", *[c for c in strips.columns if c not in ("_row", "strip")])
-    weak = flat.filter(F.col("kind").isin([k for k, _, _ in WEAK]))
-    # d says where the offered strip lies: 1 before, -1 behind, 0 the same one
-    met = weak.join(near, ["_row", "strip"]).groupBy("_row", "kind", "start", "end", "role").agg(*[
-        F.max(F.when(F.col("d") == 0, F.col(f"{r}_low").isNotNull())
-              .when(F.col("d") == 1, F.col("start") - F.col(f"{r}_high") <= SCOPE)
-              .otherwise(F.col(f"{r}_low") - F.col("start") <= SCOPE)).alias(r) for r in ROLE_NAMES])
+        "first", F.floor(F.col("start") / SCOPE)).withColumn("last", F.floor(F.col("end") / SCOPE))
+    edges = [f(F.when(F.col("role") == r, F.col(c))).alias(f"{r}_{n}") for r in ROLE_NAMES for n, f, c in (
+        ("low", F.min, "start"), ("high", F.max, "end"))]
+    strips = flat.withColumn("strip", F.explode(F.sequence("first", "last"))).groupBy("_row", "strip").agg(*edges)
+    weak = flat.filter(F.col("kind").isin([k for k, _, _ in WEAK])).withColumn(
+        "strip", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)))
+    met = weak.join(strips, ["_row", "strip"]).groupBy("_row", "kind", "start", "end", "role").agg(*[
+        F.max(F.when(F.col("strip") < F.col("first"), F.col("start") - F.col(f"{r}_high") <= SCOPE)
+              .when(F.col("strip") > F.col("last"), F.col(f"{r}_low") - F.col("end") <= SCOPE)
+              .otherwise(F.col(f"{r}_low").isNotNull())).alias(r) for r in ROLE_NAMES])
     has = {r: F.coalesce(F.col(r), F.lit(False)) for r in ROLE_NAMES}
     complete = F.when(F.col("role") == "secret", has["id"] | has["endpoint"]).when(
         F.col("role") == "id", has["secret"]).otherwise(has["id"] & has["secret"])

@@ -285,3 +285,25 @@ def test_url_model_keeps_every_frequent_gram(spark):
                 assert some[i] == pytest.approx(sum(value(x[j - 4:j]) for j in range(4, len(x) + 1)) / len(texts[i]), abs=1e-9)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_scope_is_the_gap_between_parts(spark):
+    blob = "aB3" * 140
+    texts = [f"{blob} https://db.example.com/x", f"auth: {'t' * 400} https://db.example.com/x", f"auth: {'t' * 400} https://db.example.com/x login: bob",
+             *[f"pwd={'q' * 300}{' ' * n}10.0.0.1" for n in (255, 256, 257)], *[f"10.0.0.1{' ' * n}pwd={'q' * 700}" for n in (256, 257)]]
+    rng = random.Random(7)
+    bits = ["10.0.0.1", "pin=8812", "login: al_ice", "https://h.example/" + "p" * 300, "pwd=" + "q" * 600, "AKIA" + "A" * 16]
+    texts += ["".join(rng.choice(bits) + " " * rng.randrange(1, 500) for _ in range(8)) for _ in range(60)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(frame(spark, texts)).collect()}
+    weak = [k for k, _, _ in secrets.WEAK]
+    for i, text in enumerate(texts):
+        every = [(k, s, e) for k, spans in zip(secrets.BASE, base_spans(text)) for s, e in spans]
+        for kind, _, pattern in secrets.WEAK:
+            every += [(kind, m.start(), m.end()) for m in re.finditer(re.sub(r"\(\?i:(.*?)\\b\)", r"(?i:\1\\b)", pattern), text, re.A)]
+        out = []
+        for k, s, e in every:
+            near = {secrets.ROLES[o] for o, t, u in every if max(t - e, s - u) <= secrets.SCOPE}
+            if k not in weak or {"secret": bool(near & {"id", "endpoint"}), "id": "secret" in near, "endpoint": {"id", "secret"} <= near}[secrets.ROLES[k]]:
+                out.append((s, secrets.RANK[k], e, k))
+        assert got[i] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out)), i
+    assert got[0] == f"blob:0:{len(blob)}" and "endpoint" in got[2] and "phrase" in got[4] and got[5] == "" and got[7] == ""

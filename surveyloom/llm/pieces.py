@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
+STAND_IN = "\ud800"  # for a mark in the text: half a surrogate pair, which no UTF-8 text has
 CACHED = 200_000
 
 
@@ -29,6 +30,7 @@ class Pieces:
         self.score = {model.id_to_piece(i): (model.get_score(i), i) for i in n
                       if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
         self.text = {i: p for p, (_, i) in self.score.items()}
+        self.spelled = {i: p.replace(MARK, " ").encode() for i, p in self.text.items()} | {i: bytes([b]) for i, b in self.of_byte.items()}
         self.longest = max(map(len, self.score))
         self.fallback = min(s for s, _ in self.score.values()) - 1
         self.cache: dict[str, bytes] = {}
@@ -51,7 +53,7 @@ class Pieces:
                     if found is not None and best[begin] + found[0] > top[0]:
                         top = (best[begin] + found[0], begin, found[1])
                 best.append(top[0])
-                back.append((top[1], self._raw(MARK if word[end - 1] == "\0" else word[end - 1]) if top[2] is None else [top[2]]))
+                back.append((top[1], self._raw(MARK if word[end - 1] == STAND_IN else word[end - 1]) if top[2] is None else [top[2]]))
             ids, at = [], len(word)
             while at:
                 begin, own = back[at]
@@ -61,17 +63,15 @@ class Pieces:
             last = word
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids, 32 bits each. A zero character cannot be told from a mark and becomes one."""
-        split = [[MARK + w for w in (t or "").replace(MARK, "\0").split(" ")] if t else [] for t in texts]
+        """Ids, 32 bits each."""
+        split = [[MARK + w for w in (t or "").replace(MARK, STAND_IN).split(" ")] if t else [] for t in texts]
         if len(self.cache) > CACHED:
             self.cache.clear()
         self.search(list({w for s in split for w in s} - self.cache.keys()))
         return [b"".join(map(self.cache.__getitem__, s)) for s in split]
 
     def decode(self, ids: bytes) -> str:
-        out = b"".join(bytes([self.of_byte[i]]) if i in self.of_byte else self.text[i].replace(MARK, " ").encode()
-                       for i in np.frombuffer(ids, "<i4").tolist())
-        return out.decode()[1:]
+        return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<i4").tolist())).decode()[1:]
 
 
 @lru_cache(maxsize=2)
@@ -93,5 +93,23 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(lambda it: _encoded(it, path), f"doc_id {kind}, ids binary")
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", (F.length("ids") / 4).cast("bigint").alias("n_ids"), F.crc32("ids").alias("ids_crc32"))
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, 500):
+            part = batch.slice(begin, 500)
+            texts = [pieces(path).decode(i) for i in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids, text) of every row of ``encode``; where there are no ids the text is
+    empty, also for a text that was null."""
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decoded(it, path), f"doc_id {kind}, ids binary, text string")
+
+
+def digest(decoded: DataFrame) -> DataFrame:
+    """Number and crc32 of the ids, length and crc32 of the text they give back."""
+    return decoded.select(
+        "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+        F.char_length("text").cast("bigint").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))

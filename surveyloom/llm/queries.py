@@ -80,7 +80,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_pieces")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digest(pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path))
 
 
 @query("op8_secret_scan")

@@ -1,5 +1,7 @@
 """Round trips, and the search against all segmentations of short words."""
 
+import zlib
+
 import numpy as np
 import public_tokenizers
 
@@ -33,3 +35,14 @@ def test_documents(spark):
     want = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = P.encode(docs, PATH).collect()
     assert len(got) == len(want) and all(P.pieces(PATH).decode(bytes(r["ids"])) == want[r["doc_id"]] for r in got)
+
+
+def test_tables_decode_to_their_texts(spark):
+    odd = [*ODD, "a\0b ▁ \0", "\0", "▁", " ▁\0▁ ", "\ufffd\uffff\U0010ffff"]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(odd)] + [(None, "no id")], "doc_id bigint, text string")
+    got = P.decode(P.encode(docs, PATH), PATH).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = sorted((r["doc_id"], len(r["text"] or ""), zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+    found = P.digest(P.decode(P.encode(docs, PATH), PATH)).collect()
+    assert sorted((r["doc_id"], r["n_chars"], r["text_crc32"]) for r in found) == want

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -24,7 +26,6 @@ IMPLIED = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (
 _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _COMMENT_END = re.compile("--!?>")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-DEEPEST = 300  # open elements; deeper ones are read as if they stood beside, so no page ends the recursion
 
 
 class Node:
@@ -41,6 +42,7 @@ class TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html")
         self.open = [self.root]
+        self.places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a name, so none is looked for one by one
 
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
@@ -56,30 +58,30 @@ class TreeBuilder(HTMLParser):
             tag == "input" and (given.get("type") or "").lower() == "hidden")
         node = Node(tag, hidden, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1)
         self.open[-1].parts.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
+            self.places[tag].append(len(self.open))
             self.open.append(node)
 
+    def _last(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places[n]), default=0)
+
+    def _leave(self, k: int) -> None:
+        while len(self.open) > k:
+            self.places[self.open.pop().name].pop()
+
     def _close(self, names, stops):
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].name in stops:
-                return
-            if self.open[k].name in names:
-                outer = next((i for i in range(1, k) if self.open[i].name in names and not any(
-                    n.name in stops for n in self.open[i:k])), k)
-                del self.open[outer:]
-                return
+        stop = self._last(stops)
+        if self._last(names) > stop:  # the outermost one this side of the stop
+            self._leave(min(at[i] for n in names if (at := self.places[n]) and (i := bisect_right(at, stop)) < len(at)))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         stops = ("table",) if tag not in ("table", "body") else ()
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].name == tag:
-                del self.open[k:]
-                return
-            if self.open[k].name in stops:
-                return
+        k = self._last((tag,))
+        if k > self._last(stops):
+            self._leave(k)
 
     def parse_marked_section(self, i, report=1):
         # of any name: a comment up to the next > or the end, as in browsers; the base class fails on unknown names
@@ -96,12 +98,26 @@ class TreeBuilder(HTMLParser):
 
 
 def _width(text: str) -> int:
-    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
-
-
-def _lines(node: Node) -> list[str]:
-    """The node's lines; an empty line separates spaced blocks."""
-    out: list[str] = []
+    return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def _run(task: Generator):
+    """The result of a renderer that yields the renderers it waits for: an explicit stack,
+    so no depth of a page ends it."""
+    waiting, value = [task], None
+    while waiting:
+        try:
+            task, value = waiting[-1].send(value), None
+            waiting.append(task)
+        except StopIteration as done:
+            waiting.pop()
+            value = done.value
+    return value
+
+
+def _lines(node: Node, out: list[str]) -> Generator:
+    """Adds the node's lines to ``out``; an empty line separates spaced blocks."""
+    base = len(out)
     run: list[str] = []
     pre = node.name == "pre"
 
@@ -116,66 +132,71 @@ def _lines(node: Node) -> list[str]:
                 found.pop()
             out.extend(found if any(found) else [])
 
-    def inline(part):
-        if isinstance(part, str):
+    number = node.start
+    walks = [iter(node.parts)]
+    while walks:
+        part = next(walks[-1], None)
+        if part is None:
+            walks.pop()
+        elif isinstance(part, str):
             run.append(part.replace("\x00", ""))
         elif part.hidden:
-            return
+            continue
         elif part.name == "br":
             run.append("\n" if pre else "\x00")
         elif part.name in BLOCKS or part.name in ("td", "th"):
-            block(part)
-        else:
-            for x in part.parts:
-                inline(x)
-
-    def block(part):
-        nonlocal number
-        flush()
-        if part.name == "table":
-            lines = _table(part)
-        else:
-            lines = _lines(part)
-        if part.name == "li":
-            mark = f"{number}. " if node.name == "ol" else "- "
-            number += 1
-            lines = [(mark if i == 0 else " " * len(mark)) + x if x else x for i, x in enumerate(lines)]
-        if lines:
-            if part.name in SPACED and out and out[-1]:
+            flush()
+            mark = len(out)
+            if part.name in SPACED and mark > base and out[-1]:
                 out.append("")
-            out.extend(lines)
-            if part.name in SPACED:
+            begin = len(out)
+            if part.name == "table":
+                out.extend((yield _table(part)))
+            else:
+                yield _lines(part, out)
+            if part.name == "li":
+                sign = f"{number}. " if node.name == "ol" else "- "
+                number += 1
+                out[begin:] = [(sign if i == 0 else " " * len(sign)) + x if x else x for i, x in enumerate(out[begin:])]
+            if len(out) == begin:
+                del out[mark:]
+            elif part.name in SPACED:
                 out.append("")
-
-    number = node.start
-    for part in node.parts:
-        inline(part)
+        else:
+            walks.append(iter(part.parts))
     flush()
-    while out and not out[-1]:
+    while len(out) > base and not out[-1]:
         out.pop()
-    return out
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node) -> Generator:
     """Rows of cells under one another, columns as wide as their widest cell."""
     out, rows = [], []
-
-    def walk(part):
-        for x in part.parts:
-            if isinstance(x, str):
-                if x.strip():
-                    out.append(_BLANKS.sub(" ", x).strip(" "))
-            elif x.hidden:
-                continue
-            elif x.name == "tr":
-                cells = [c for c in x.parts if not isinstance(c, str) and not c.hidden]
-                loose = " ".join(_BLANKS.sub(" ", c).strip(" ") for c in x.parts if isinstance(c, str) and c.strip())
-                rows.append(([loose] if loose else []) + [" ".join(t.strip() for t in _lines(_wrapped(c)) if t) for c in cells])
-            elif x.name in ("thead", "tbody", "tfoot"):
-                walk(x)
-            else:
-                out.extend(_lines(_wrapped(x)))
-    walk(node)
+    walks = [iter(node.parts)]
+    while walks:
+        x = next(walks[-1], None)
+        if x is None:
+            walks.pop()
+        elif isinstance(x, str):
+            if x.strip():
+                out.append(_BLANKS.sub(" ", x).strip(" "))
+        elif x.hidden:
+            continue
+        elif x.name == "tr":
+            loose = " ".join(_BLANKS.sub(" ", c).strip(" ") for c in x.parts if isinstance(c, str) and c.strip())
+            row = [loose] if loose else []
+            for c in x.parts:
+                if not isinstance(c, str) and not c.hidden:
+                    cell: list[str] = []
+                    yield _lines(_wrapped(c), cell)
+                    row.append(" ".join(t.strip() for t in cell if t))
+            rows.append(row)
+        elif x.name in ("thead", "tbody", "tfoot"):
+            walks.append(iter(x.parts))
+        else:
+            lines: list[str] = []
+            yield _lines(_wrapped(x), lines)
+            out.extend(lines)
     widths: list[int] = []
     for row in rows:
         for k, cell in enumerate(row):
@@ -195,7 +216,9 @@ def visible_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html or "")
     builder.close()
-    return "\n".join(_lines(builder.root))
+    out: list[str] = []
+    _run(_lines(builder.root, out))
+    return "\n".join(out)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

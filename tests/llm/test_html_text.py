@@ -31,3 +31,11 @@ def test_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = H.extract(pages).collect()
     assert len(got) == pages.count() and sum(bool(r["text"]) for r in got) > 0.9 * len(got)
+
+
+@pytest.mark.parametrize("tag", ["b", "font", "span", "div", "p><b"])
+def test_what_is_hidden_stays_hidden_at_any_depth(tag):
+    deep = f"<{tag}>" * 20_000
+    assert H.visible_text(deep + "a<script>no()</script><style>no</style><i hidden>no</i><u style='display:none'>no<b>no</b></u>z") == "az"
+    rows = "<table><tr><td>ab<td>c<tr><td>1<td>22</table><ul><li>x<li>y</ul>"
+    assert H.visible_text(deep + rows) == "ab  c\n1   22\n\n- x\n- y"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from surveyloom.llm import embeddings, html_text, language_model, minhash, packing, pieces, quality, secrets, toxicity, urls
+from surveyloom.llm import embeddings, html_text, language_model, minhash, packing, periodic, pieces, quality, secrets, toxicity, urls
 from surveyloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_filter")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.detect(periodic.repeat_tails(table(spark, sf_dir, "documents"))))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from surveyloom.llm import embeddings, html_text, language_model, minhash, packing, periodic, pieces, quality, secrets, toxicity, urls
+from surveyloom.llm import (
+    collocations, embeddings, fingerprints, html_text, language_model, minhash, packing, periodic, pieces, quality, secrets, toxicity, urls)
 from surveyloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +137,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+@query("op11_fingerprints")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.beside_next(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations", """WITH t AS (SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM t),
+flat AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest(range(1, 6)) AS k)),
+grams AS (SELECT lang, k, phrase, count(*) AS a FROM flat GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM grams WHERE k = 1 GROUP BY lang),
+often AS (SELECT * FROM grams WHERE k >= 2 AND a >= 100),
+own AS (SELECT * FROM often o WHERE NOT EXISTS (SELECT 1 FROM often p WHERE p.lang = o.lang AND p.k > o.k AND 100 * p.a >= 100 * o.a
+  AND contains(' ' || p.phrase || ' ', ' ' || o.phrase || ' '))),
+cuts AS (SELECT *, unnest(range(1, k)) AS c, string_split(phrase, ' ') AS s FROM own),
+scored AS (SELECT o.lang, o.phrase, o.a, c, f.a AS l, g.a AS r, n, (1000::HUGEINT * o.a * n) // (f.a::HUGEINT * g.a) AS score
+  FROM cuts o JOIN totals t ON t.lang = o.lang JOIN grams f ON f.lang = o.lang AND f.phrase = array_to_string(s[:c], ' ')
+  JOIN grams g ON g.lang = o.lang AND g.phrase = array_to_string(s[c + 1:], ' ')),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score FROM weakest QUALIFY rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 @query("op13_periodic_runs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.detect(periodic.repeat_tails(table(spark, sf_dir, "documents"))))

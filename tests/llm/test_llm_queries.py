@@ -18,6 +18,8 @@ COLUMNS = {
     "op4": "doc_id held_out n_tokens n_known train_tokens base_score score", "op5": "doc_id n_shingles component_id kept",
     "op6": "page_id text", "op7": "doc_id n_ids ids_crc32", "op8": "doc_id n_assign n_access n_hex base_sha256 spans",
     "op9": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op10": "page_id host path rule verdict",
+    "op11": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op12": "lang rank phrase a l r n score",
     "op13": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256"}
 
 

@@ -78,24 +78,27 @@ def _tagged(kind: str) -> Column:
 def linked_weak(found: DataFrame) -> DataFrame:
     """(_row, kind, start, end, role) of the weak parts that have a complementary part in
     their scope: a secret needs an identifier or an endpoint beside it, an identifier
-    a secret, an endpoint both others. Strong parts complete weak ones.
-
-    An interval join on (document, strip of ``SCOPE`` code points): a part is offered in every
-    strip from its start to its end, and a strip holds, per role, only its lowest start
-    and highest end. A weak part looks into its own strips, where all is in scope, and
-    one more on either side; rows grow with the text's length and are never pairs."""
-    flat = found.select("_row", F.explode(F.concat(*[_tagged(k) for k in ROLES])).alias("p")).select("_row", "p.*").withColumn(
-        "first", F.floor(F.col("start") / SCOPE)).withColumn("last", F.floor(F.col("end") / SCOPE))
-    edges = [f(F.when(F.col("role") == r, F.col(c))).alias(f"{r}_{n}") for r in ROLE_NAMES for n, f, c in (
-        ("low", F.min, "start"), ("high", F.max, "end"))]
-    strips = flat.withColumn("strip", F.explode(F.sequence("first", "last"))).groupBy("_row", "strip").agg(*edges)
+    a secret, an endpoint both others. Strong parts complete weak ones. Parts that share
+    a character do not complete each other: one piece of text is no two parts.
+
+    An interval join on (document, strip of ``SCOPE`` code points): a strip holds, per role,
+    the starts and the ends that lie in it, at most ``SCOPE`` of each. A weak part looks for
+    starts from its own end on, in the strip of its end and the next one, and for ends up
+    to its own start, in the strip of its start and the one before; rows grow with the
+    number of parts and are never pairs."""
+    flat = found.select("_row", F.explode(F.concat(*[_tagged(k) for k in ROLES])).alias("p")).select("_row", "p.*")
+    strip = lambda c: F.floor(F.col(c) / SCOPE)
+    edges = flat.select("_row", "role", F.explode(F.array(
+        F.struct(strip("start").alias("strip"), F.col("start"), F.lit(None).cast("int").alias("end")),
+        F.struct(strip("end").alias("strip"), F.lit(None).cast("int").alias("start"), F.col("end")))).alias("x")).select("_row", "role", "x.*")
+    strips = edges.groupBy("_row", "strip").agg(*[
+        F.collect_set(F.when(F.col("role") == r, F.col(c))).alias(f"{r}_{c}") for r in ROLE_NAMES for c in ("start", "end")])
     weak = flat.filter(F.col("kind").isin([k for k, _, _ in WEAK])).withColumn(
-        "strip", F.explode(F.sequence(F.col("first") - 1, F.col("last") + 1)))
+        "strip", F.explode(F.array_distinct(F.array(strip("start") - 1, strip("start"), strip("end"), strip("end") + 1))))
     met = weak.join(strips, ["_row", "strip"]).groupBy("_row", "kind", "start", "end", "role").agg(*[
-        F.max(F.when(F.col("strip") < F.col("first"), F.col("start") - F.col(f"{r}_high") <= SCOPE)
-              .when(F.col("strip") > F.col("last"), F.col(f"{r}_low") - F.col("end") <= SCOPE)
-              .otherwise(F.col(f"{r}_low").isNotNull())).alias(r) for r in ROLE_NAMES])
-    has = {r: F.coalesce(F.col(r), F.lit(False)) for r in ROLE_NAMES}
+        F.max(F.exists(f"{r}_start", lambda x: x.between(F.col("end"), F.col("end") + SCOPE))
+              | F.exists(f"{r}_end", lambda x: x.between(F.col("start") - SCOPE, F.col("start")))).alias(r) for r in ROLE_NAMES])
+    has = {r: F.col(r) for r in ROLE_NAMES}
     complete = F.when(F.col("role") == "secret", has["id"] | has["endpoint"]).when(
         F.col("role") == "id", has["secret"]).otherwise(has["id"] & has["secret"])
     return met.filter(complete).select("_row", "kind", "start", "end", "role")

@@ -31,7 +31,7 @@ SECRETS = [
     None, "", "password: token: abcdefghijklmnop", "token=" + "a" * 11, "x TOKEN = 'abcdefghijkl' é AKIAABCDEFGHIJKLMN",
     "pässword password=aaaaaaaaaaaa" + "0123456789abcdef" * 3, "AKIAAKIAB AKIA" + "A" * 13 + "a AKIA" + "A" * 14,
     "user=bob\n" + "pwd=hunter22", "pwd=hunter22 alone", "host 10.0.0.1:22 " + "z " * 300 + "pwd=hunter22",
-    "see https://db.example.com/x login: al_ice and pin=8812 " * 3, "deadbeef" * 2, "api_key\"=\"" + "Z9" * 9, "é" * 70000 + "0" * 16,
+    "see https://db.example.com/x login: al_ice and pin=8812 " * 3, "auth: https://docs.example.com/guide", "pin: 10.0.0.1", "pin: 10.0.0.1 pin: 10.0.0.2", "deadbeef" * 2, "api_key\"=\"" + "Z9" * 9, "é" * 70000 + "0" * 16,
 ]
 
 
@@ -64,7 +64,7 @@ def weak_spans(text):
         if k in secrets.BASE:
             out.append((k, s, e))
             continue
-        near = {role[o] for o, t, _ in every if abs(t - s) <= secrets.SCOPE}
+        near = {role[o] for o, t, u in every if 0 <= t - e <= secrets.SCOPE or 0 <= s - u <= secrets.SCOPE}
         if {"secret": bool(near & {"id", "endpoint"}), "id": "secret" in near, "endpoint": {"id", "secret"} <= near}[role[k]]:
             out.append((k, s, e))
     out.sort(key=lambda x: (x[1], secrets.RANK[x[0]], x[2]))
@@ -87,7 +87,8 @@ def test_secrets_of_odd_texts(spark):
     got = {r["doc_id"]: r for r in check_secrets(spark, frame(spark, SECRETS))}
     assert "phrase" in got[7]["spans"] and "login" in got[7]["spans"]
     assert got[8]["spans"] == "" and got[9]["spans"] == ""
-    assert "endpoint" in got[10]["spans"]
+    assert "endpoint" in got[10]["spans"] and got[11]["spans"] == got[12]["spans"] == ""
+    assert got[13]["spans"] == "phrase:0:13,phrase:14:27"
 
 
 def test_secrets_of_documents(spark):
@@ -302,7 +303,7 @@ def test_scope_is_the_gap_between_parts(spark):
             every += [(kind, m.start(), m.end()) for m in re.finditer(re.sub(r"\(\?i:(.*?)\\b\)", r"(?i:\1\\b)", pattern), text, re.A)]
         out = []
         for k, s, e in every:
-            near = {secrets.ROLES[o] for o, t, u in every if max(t - e, s - u) <= secrets.SCOPE}
+            near = {secrets.ROLES[o] for o, t, u in every if 0 <= t - e <= secrets.SCOPE or 0 <= s - u <= secrets.SCOPE}
             if k not in weak or {"secret": bool(near & {"id", "endpoint"}), "id": "secret" in near, "endpoint": {"id", "secret"} <= near}[secrets.ROLES[k]]:
                 out.append((s, secrets.RANK[k], e, k))
         assert got[i] == ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out)), i

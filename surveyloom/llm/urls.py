@@ -14,6 +14,7 @@ DISCOUNT = 2.0      # weight of the shorter context in each estimate
 MIN_COUNT = 3       # rarer grams back off to their shorter context
 BINS = 400          # resolution of the calibration, over scores from -4 to 4
 START = "^"
+FOLDS = 5           # parts of the ruled URLs by hash: 0 calibrates the cut, 1 is held out for the error, the others train
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -32,9 +33,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, action
 
 
+def _unruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
+    """Host and path without what any rule names: the longest such host at the host's end
+    and the longest such prefix at the path's start."""
+    own, rest = host, path
+    for name in sorted({h for _, h, _ in rules}, key=len):
+        own = F.when((host == name) | host.endswith("." + name), F.substring(host, F.lit(1), F.length(host) - len(name))).otherwise(own)
+    for prefix in sorted({p for _, _, p in rules}, key=len):
+        rest = F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(rest)
+    return own, rest
+
+
 def _symbols(host: Column, path: Column) -> Column:
     """What the models read: digits are one symbol, characters beyond ASCII another."""
-    plain = F.lower(F.concat(host, path))
+    plain = F.lower(F.concat(host, F.lit("/"), path))
     return F.regexp_replace(F.regexp_replace(plain, "[0-9]", "0"), r"[^\x21-\x7e]", "?")
 
 
@@ -116,14 +128,15 @@ def score(rows: DataFrame, model: DataFrame, key: str) -> DataFrame:
 
 
 def _cut(scored: DataFrame) -> float:
-    """The score that parts accepted from rejected training URLs with the least mean
-    error of both kinds, from a histogram of ``BINS`` bins over all of them."""
+    """The score that parts accepted from rejected URLs with the least mean error of both
+    kinds, from a histogram of ``BINS`` bins over all of them; 0, where both models read
+    a URL alike, if one kind is missing."""
     bin_of = F.least(F.greatest(F.floor((F.col("score") + 4) * BINS / 8), F.lit(0)), F.lit(BINS - 1))
     rows = scored.groupBy(bin_of.alias("bin"), "action").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 2 * BINS rows
     count = {(r["bin"], r["action"]): r["n"] for r in rows}
     total = {a: sum(n for (_, k), n in count.items() if k == a) for a in ("block", "allow")}
     if not total["block"] or not total["allow"]:
-        return 4.0
+        return 0.0
     best, low = [], {"block": 0, "allow": 0}
     for i in range(BINS + 1):
         error = low["block"] / total["block"] + 1 - low["allow"] / total["allow"]
@@ -133,21 +146,42 @@ def _cut(scored: DataFrame) -> float:
     return min(best)[2] * 8 / BINS - 4
 
 
+def _scored(pages: DataFrame, id_col: str, url_col: str, rules) -> tuple[DataFrame, float]:
+    """Every row with host, path, rule, action, fold and score, and the cut."""
+    host, path = host_and_path(F.col(url_col))
+    at = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    rule, action = rule_of(F.col("host"), F.col("path"), rules)
+    text = F.when((F.col("host") != "") | (F.col("path") != ""), _symbols(*_unruled(F.col("host"), F.col("path"), rules))).otherwise("")
+    at = cut_lineage(at.withColumn("rule", rule).withColumn("action", action).withColumn("_text", text).withColumn(
+        "_fold", F.pmod(F.xxhash64("_text", F.lit(10)), F.lit(FOLDS))).withColumn("_row", F.monotonically_increasing_id()))
+    training = at.filter("action IS NOT NULL AND _fold > 1")
+    sides = training.agg(F.count_if(F.col("action") == "block").alias("block"), F.count_if(F.col("action") == "allow").alias("allow")).first()
+    scored = cut_lineage(at.join(score(at, train(training), "_row"), "_row", "left"))
+    if not sides["block"] or not sides["allow"]:
+        return scored, float("inf")
+    return scored, _cut(scored.filter("action IS NOT NULL AND score IS NOT NULL AND _fold = 0"))
+
+
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(id, host, path, rule, verdict, score) of every row.
 
     URLs that a rule decides train the models: accepted by allow rules, rejected by
-    block rules. Other URLs are blocked if their mean log ratio per character is at
-    least the calibrated cut. Null URLs, URLs without ``://`` and URLs that read as
-    empty have a null score and are allowed; so is everything the rules leave open
-    when one side has no training URL. Repeated rows are judged one by one."""
-    host, path = host_and_path(F.col(url_col))
-    at = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    rule, action = rule_of(F.col("host"), F.col("path"), rules)
-    at = cut_lineage(at.withColumn("rule", rule).withColumn("action", action).withColumn(
-        "_text", _symbols(F.col("host"), F.col("path"))).withColumn("_row", F.monotonically_increasing_id()))
-    model = train(at.filter("action IS NOT NULL"))
-    scored = cut_lineage(at.join(score(at, model, "_row"), "_row", "left"))
-    cut = _cut(scored.filter("action IS NOT NULL AND score IS NOT NULL"))
+    block rules. What the rules themselves name is left out of all texts, so the models
+    learn what else such URLs have in common. The cut is calibrated on a fold of the ruled
+    URLs that no model has read (equal texts share a fold). Other URLs are blocked if
+    their mean log ratio per character is at least the cut. Null URLs, URLs without
+    ``://`` and those with neither host nor path have a null score and are allowed; so is
+    everything the rules leave open when one side has no training URL. Repeated rows are
+    judged one by one; an empty table gives no row."""
+    scored, cut = _scored(pages, id_col, url_col, rules)
     guess = F.when(F.col("score") >= cut, "block").otherwise("allow")
     return scored.select(id_col, "host", "path", "rule", F.coalesce("action", guess).alias("verdict"), "score")
+
+
+def held_out_error(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
+    """(action, n, wrong): ruled URLs that neither trained nor calibrated, and how many of
+    them the models alone would judge otherwise than their rule."""
+    scored, cut = _scored(pages, id_col, url_col, rules)
+    own = scored.filter("action IS NOT NULL AND score IS NOT NULL AND _fold = 1")
+    blocked = F.col("score") >= cut
+    return own.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_if(blocked != (F.col("action") == "block")).alias("wrong"))

@@ -237,14 +237,32 @@ def test_urls(spark):
     check_urls(spark.createDataFrame([(i, u, "h", 1) for i, u in enumerate(URLS)], schema))
     assert urls.judge(spark.createDataFrame([], schema)).count() == 0
     got = check_urls(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
-    plain = lambda r: re.sub(r"[^\x21-\x7e]", "?", re.sub("[0-9]", "0", (r["host"] + r["path"]).lower()))
-    mean = model_by_hand([(plain(r), int(r["verdict"] == "block")) for r in got if r["rule"]])
+    def plain(r):
+        host, path = r["host"], r["path"]
+        if not host and not path:
+            return ""
+        host = host[:len(host) - max(len(h) if host == h or host.endswith("." + h) else 0 for _, h, _ in urls.RULES)]
+        path = path[max(len(p) if path.startswith(p) else 0 for _, _, p in urls.RULES):]
+        return re.sub(r"[^\x21-\x7e]", "?", re.sub("[0-9]", "0", f"{host}/{path}".lower()))
+    folds = {r["page_id"]: r["fold"] for r in spark.createDataFrame([(r["page_id"], plain(r)) for r in got], "page_id bigint, t string").selectExpr(
+        "page_id", f"pmod(xxhash64(t, 10), {urls.FOLDS}) AS fold").collect()}
+    mean = model_by_hand([(plain(r), int(r["verdict"] == "block")) for r in got if r["rule"] and folds[r["page_id"]] > 1])
     for r in got:
         assert r["score"] == pytest.approx(mean(plain(r)), abs=1e-9)
     open_ones = [r for r in got if not r["rule"]]
+    by_host = {}
+    for r in open_ones:
+        by_host.setdefault(".".join(r["host"].split(".")[-2:]), set()).add(r["verdict"])
+    assert any(len(v) == 2 for v in by_host.values())  # no echo of where a host ends
     assert max(r["score"] for r in open_ones if r["verdict"] == "allow") < min([9.0] + [r["score"] for r in open_ones if r["verdict"] == "block"])
 
 
+def test_url_held_out_error(spark):
+    error = {r["action"]: r for r in urls.held_out_error(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()}
+    print({a: (r["n"], r["wrong"]) for a, r in error.items()})
+    assert set(error) == {"allow", "block"} and all(0 <= r["wrong"] <= r["n"] for r in error.values())
+
+
 def test_every_language_has_its_own_reference(spark):
     latin, other = "a few small words of one and the same kind " * 4, "слова другого письма из малого языка " * 5
     rows = [(100 * k + i, f"{latin} {k} {'x' * i}", f"l{k}") for k in range(80) for i in range(3)]

@@ -15,7 +15,6 @@ from surveyloom.llm.common import remainder
 from surveyloom.session import cut_lineage
 
 FIT_ROWS = 8000         # labelled rows the classifier is fitted on, at most, by hash order of doc_id
-LEXICON_SIZE = 6000     # entries of the learned lexicon, at most
 FOLDS = 3
 THRESHOLD = 0.3
 CACHED_WORDS = 400_000
@@ -211,7 +210,9 @@ def _fold_features(batches: Iterator[pa.RecordBatch], lexicons: list[dict[str, f
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most ``FIT_ROWS`` labelled rows outside the held-out part.
+    """A model from at most ``FIT_ROWS`` labelled rows outside the held-out part, one text of
+    each: of an id's texts that of the least hash. The lexicon holds every entry of these
+    rows that passes the test of its odds.
 
     The rows are split in folds. Features of a fold use a lexicon of the other folds,
     and calibration uses predictions of trees of the other folds, so neither has seen
@@ -220,8 +221,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         "doc_id IS NOT NULL AND toxic IN (0, 1)").filter(remainder(F.col("doc_id"), 4) != 2)
     chosen = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     chosen = cut_lineage(chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLDS)).cast("int")))
-    # the chosen rows are at most FIT_ROWS short ones
-    rows = cut_lineage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold"))
+    # the chosen rows are at most FIT_ROWS short ones; of an id's texts one is kept, so there are no more of those
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = cut_lineage(met.groupBy("doc_id", "toxic", "fold").agg(
+        F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic", "fold"))
     numbers = Counter({(r["fold"], r["toxic"]): r["n"] for r in rows.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
     toxic, clean = ([numbers[k, kind] for k in range(FOLDS)] for kind in (1, 0))
     prior = sum(toxic) / max(sum(toxic) + sum(clean), 1)
@@ -232,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         *[F.sum(n).alias(n) for n in names])
     t, c = (sum(F.col(f"n{2 * k + kind}") for k in range(FOLDS)) for kind in (1, 0))
     odds = F.log((t + 0.5) / (sum(toxic) + 1)) - F.log((c + 0.5) / (sum(clean) + 1))
-    best = counted.filter((t >= 2) & (odds > 1.5)).orderBy((t * odds).desc(), "entry").limit(LEXICON_SIZE).collect()
+    best = counted.filter((t >= 2) & (odds > 1.5)).collect()  # words of at most FIT_ROWS texts
     entries = [(r["entry"], [r[f"n{2 * k + 1}"] for k in range(FOLDS)], [r[f"n{2 * k}"] for k in range(FOLDS)]) for r in best]
     lexicons = [lexicon_of(entries, toxic, clean, k) for k in range(FOLDS)]
     table = np.array([r["x"] for r in rows.mapInArrow(lambda it: _fold_features(it, lexicons), "x array<double>").collect()])
@@ -266,13 +269,14 @@ def _with_scores(docs: DataFrame, columns: list[str], model: Model) -> DataFrame
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row. Null and empty texts get the
     score of a text without any word; rows with null doc_id count as not held out;
-    repeated rows get one score each, all the same."""
+    repeated rows get one score each, all the same; an empty table gives no row."""
     at = _with_scores(docs, ["doc_id"], fit(docs, labels))
     return at.select("_doc.doc_id", (remainder(F.col("_doc.doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"),
                      (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns; null ids
+    and texts are judged like any other, repeated rows stay or go together."""
     at = _with_scores(docs, docs.columns, fit(docs, labels)).filter(F.col("_score") < THRESHOLD)
     return at.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

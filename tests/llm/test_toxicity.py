@@ -82,3 +82,52 @@ def test_isotonic_and_trees():
     knots, values = toxicity.fit_isotonic(raw, y)
     assert (np.diff(knots) > 0).all() and (np.diff(values) > 0).all()
     assert abs(np.interp(raw, knots, values).mean() - y.mean()) < 0.02 and area(y, raw) > 0.7
+
+
+def plain_features(lexicon, text):
+    """The features by plain counting, a word at a time."""
+    import re
+    words = (text or "").split()
+    if not words:
+        return [0.0] * len(toxicity.FEATURES)
+
+    def weigh(core):
+        return max([lexicon.get(k, 0.0) for k in [core] + [core[:n] + "~" for n in (4, 5, 6) if len(core) > n]]) if len(core) > 2 else 0.0
+    weights, hidden, seconds, odd = [], [], [], []
+    for w in words:
+        core = w.strip(toxicity.MARKS)
+        odd.append(not core.isalpha() and re.search(r"[a-z][@4301!5$7*._-]+[a-z]", w.lower()) is not None)
+        weights.append(weigh(core.lower()))
+        shown = "".join(dict(zip("@4301!5$7", "aaeoiisst")).get(c, c) for c in w.lower())
+        forms = (re.sub("[*._-]", "", shown).strip(toxicity.MARKS), re.sub(r"(.)\1+", r"\1", shown).strip(toxicity.MARKS))
+        hidden.append(max(map(weigh, forms)) if weights[-1] == 0 and (odd[-1] or re.search(r"(.)\1\1", core)) else 0.0)
+        seconds.append(core.lower() in toxicity.SECOND_PERSON)
+    both = [a + b for a, b in zip(weights, hidden)]
+    hit = [i for i, x in enumerate(both) if x]
+    n, size = len(words), max(sum(map(len, words)), 1)
+    letters = [sum(c.isalpha() for c in w) for w in words]
+    uppers = [sum(c.isupper() for c in w.strip(toxicity.MARKS)) for w in words]
+    return [len(hit), len(hit) / n, sum(both) / n, max(both), len({words[i] for i in hit}), sum(x > 0 for x in hidden),
+            sum(any(abs(i - j) <= 4 for j, s in enumerate(seconds) if s) for i in hit), sum(seconds) / n,
+            sum(u == k > 2 for u, k in zip(uppers, letters)) / n, sum(uppers) / size, sum(len(w) - k for w, k in zip(words, letters)) / size,
+            sum(w.count("!") + w.count("?") for w in words) / size, sum(c.isdigit() for w in words for c in w.strip(toxicity.MARKS)) / size,
+            sum(odd) / n, size / n, np.log1p(n)]
+
+
+def test_features_equal_plain_counting(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    model = toxicity.fit(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")))
+    table = toxicity.WordTable(model.lexicon)
+    texts = [None, "", "!!! ???", "YOU 1d1ot!!! you", "a.b.c d-e x" * 3, *[r["text"] for r in docs if len(r["text"] or "") < 3000]]
+    for text in texts:
+        assert table.features(text) == pytest.approx(plain_features(model.lexicon, text), abs=1e-9), text
+
+
+def test_a_hot_id_brings_one_text(spark):
+    """Repeated ids give the model one text each, whatever their number."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    hot = docs.join(labels, "doc_id", "left_semi").limit(1)
+    many = hot.crossJoin(spark.range(3000)).drop("id").unionByName(docs)
+    again = toxicity.fit(many, labels)
+    assert again.lexicon == model.lexicon and np.array_equal(again.knots[1], model.knots[1])

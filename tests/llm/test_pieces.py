@@ -12,29 +12,78 @@ ODD = [None, "", " ", "a", "  two  blanks ", "naïve café\n\ttab", "日本語 
 
 
 def best(model, word):
-    if not word:
-        return 0.0
-    ends = [best(model, word[:-k]) + model.score[word[-k:]][0] for k in range(1, len(word) + 1) if word[-k:] in model.score]
-    return max([*ends, best(model, word[:-1]) + model.fallback])
+    """Greatest sum of scores over all segmentations, prefix by prefix."""
+    top = [0.0]
+    for end in range(1, len(word) + 1):
+        ways = [top[begin] + model.score[word[begin:end]][0] for begin in range(end) if word[begin:end] in model.score]
+        top.append(max([*ways, top[end - 1] + model.fallback]))
+    return top[-1]
 
 
-def test_round_trip_and_best_score():
+def scored(model, ids, word):
+    """The score of ids that spell ``word``; bytes of a character count once."""
+    total, at = 0.0, 0
+    while ids:
+        if ids[0] in model.text:
+            piece = model.text[ids.pop(0)]
+            total += model.score[piece][0]
+        else:
+            piece = word[at]
+            assert bytes(model.of_byte[i] for i in ids[:len(piece.encode())]) == piece.encode()
+            del ids[:len(piece.encode())]
+            total += model.fallback
+        assert word.startswith(piece, at)
+        at += len(piece)
+    return total
+
+
+def test_round_trip():
+    model = P.Pieces(PATH)
+    ids = model.encode(ODD)
+    assert model.decode(ids) == [t or "" for t in ODD] and [model.decode([i])[0] for i in ids] == [t or "" for t in ODD]
+
+
+def test_every_word_has_the_best_score(spark):
     model = P.Pieces(PATH)
-    for text, ids in zip(ODD, model.encode(ODD)):
-        assert model.decode(ids) == (text or "")
-    words = [P.MARK + w for w in ("the", "then", "thereof", "unlikely", "qzxj", "éa")]
-    model.search(words)
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    words = {w for t in texts for w in t.split(" ")} | {"the", "then", "qzxj", "éa", "😀日本", "a\n\tb", ""}
+    found = model.search(list(words))
+    assert found.keys() == words and len(words) > 50_000
     for w in words:
-        ids = np.frombuffer(model.cache[w], "<i4").tolist()
-        if all(i in model.text for i in ids):
-            assert abs(sum(model.score[model.text[i]][0] for i in ids) - best(model, w)) < 1e-3
+        assert abs(scored(model, np.frombuffer(found[w], "<i4").tolist(), P.MARK + w) - best(model, P.MARK + w)) < 1e-3, w
+
+
+def test_frequent_words_stay_and_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(P, "HELD", 50)
+    model, asked = P.Pieces(PATH), []
+    search = model.search
+    monkeypatch.setattr(model, "search", lambda words: asked.extend(words) or search(words))
+    for i in range(100):
+        text = "the often met words " + " ".join(f"w{i}x{k}" for k in range(20))
+        assert model.decode(model.encode([text])) == [text]
+        assert len(model.young) <= 50 + 24 and len(model.old) <= 50 + 24
+    assert asked.count("often") == 1 and len(asked) == 2004
+
+
+def test_a_long_word_takes_time_in_proportion():
+    text = "abcdefghij" * 40_000
+    assert P.Pieces(PATH).decode(P.Pieces(PATH).encode([text])) == [text]
+
+
+def test_odd_tables(spark):
+    rows = spark.createDataFrame([(1, "a b", "x", 1), (1, "a b", "x", 1), (None, None, "y", 2)], "doc_id int, text string, ids string, n_ids int")
+    got = P.decode(P.encode(rows, PATH), PATH)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == [(0, ""), (1, "a b"), (1, "a b")]
+    assert P.digest(got).filter("doc_id IS NULL").first()["n_ids"] == 0
+    assert P.digest(P.decode(P.encode(rows.limit(0), PATH), PATH)).count() == 0
+    assert P.decode(P.encode(rows, PATH).selectExpr("doc_id", "cast(null AS binary) AS ids", "1 AS text"), PATH).count() == 3
 
 
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = P.encode(docs, PATH).collect()
-    assert len(got) == len(want) and all(P.pieces(PATH).decode(bytes(r["ids"])) == want[r["doc_id"]] for r in got)
+    assert len(got) == len(want) and all(P.pieces(PATH).decode([bytes(r["ids"])]) == [want[r["doc_id"]]] for r in got)
 
 
 def test_tables_decode_to_their_texts(spark):

@@ -16,7 +16,7 @@ LENGTH = 4096
 END = 2                   # id after each document
 DIMENSIONS, BITS = 4, 10  # of the curve
 BUCKETS = 256             # of a document's hashed vector
-CACHED = 300_000
+HELD = 300_000    # pieces of text in each of the two generations a task remembers
 MARKS = ".,;:!?*|#$%&-()"
 _PROJECTION = np.random.default_rng(4096).standard_normal((BUCKETS, DIMENSIONS))
 
@@ -42,19 +42,25 @@ class ChunkIds(dict):
         others = iter(range(256, 512))
         self.letters = [chr(b) if b in own else chr(next(others)) for b in range(256)]
         self.words: dict[str, list[int]] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def _word(self, word: str) -> list[int]:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > CACHED:
+            if len(self.words) > HELD:
                 self.words.clear()
             spelled = word if word.isascii() else "".join(self.letters[b] for b in word.encode())
             found = self.words[word] = [t.id for t in self.merges(spelled)]
         return found
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) > CACHED:
+        if len(self) > HELD:
+            self.old = dict(self)
             self.clear()
+        known = self.old.get(chunk)
+        if known is not None:
+            self[chunk] = known
+            return known
         text = chunk.decode("utf-8", "replace")
         word = text.rstrip(MARKS)
         lower = word.lower()

@@ -8,8 +8,11 @@ question never multiply: a pair of keys held by millions of questions is one row
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from surveyloom import fixed_values as V
@@ -380,57 +383,163 @@ def group_faces(questions: DataFrame, groups: DataFrame) -> DataFrame:
     return reps.join(faced, "representative").join(roots, "group_id").select(F.col("group_id").alias("group"), "root", "face")
 
 
-def merge_groups(questions: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Rows (texts, files, pairs) of a part of groups that one task merges by itself.
+REPLAY_ROWS = 200_000
+_REPLAY = "kind string, `group` bigint, root bigint, other bigint, similarity double, reason string"
+
+
+def potential_pairs(able: DataFrame, of_face: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b, similarity, reason, group_a, group_b): face pairs of two groups that share no
+    file. Groups only grow, so two groups can merge at some time only if such a pair
+    of theirs exists; a face belongs to one group."""
+    side = lambda s: of_face.select(F.col("face").alias(s), F.col("group").alias(f"group_{s}"))
+    faced = able.join(side("a"), "a").join(side("b"), "b").filter("group_a <> group_b")
+    shared = (faced.select("group_a", "group_b").distinct().join(held.withColumnRenamed("group", "group_a"), "group_a")
+              .join(held.withColumnRenamed("group", "group_b"), ["group_b", "source"], "left_semi").select("group_a", "group_b").distinct())
+    return faced.join(shared, ["group_a", "group_b"], "left_anti")
+
+
+def merged_part(roots: dict, texts: dict, held: dict, able: dict) -> tuple[list, dict]:
+    """Merges one part: always the pair of least roots (low, high) whose representatives can
+    merge and which share no file. roots: group → root; texts: group → text → (n,
+    length, q_no, idx, face); held: group → files; able: face → face → (similarity,
+    reason). Returns the merges (root_a, root_b, similarity, reason) and group → group
+    it is now in; ``roots`` keeps the groups that are left."""
+    shown = lambda g: max(texts[g].values(), key=lambda t: (t[0], t[1], -t[2], -t[3]))[4]
+    face = {g: shown(g) for g in roots}
+    at = {f: g for g, f in face.items()}
+    waiting, done, into = [], [], {g: g for g in roots}
+
+    def offer(g):
+        for f in able.get(face[g], ()):
+            h = at.get(f)
+            if h is not None:
+                low, high = sorted((g, h), key=roots.__getitem__)
+                heapq.heappush(waiting, (roots[low], roots[high], low, high, face[low], face[high]))
+    for g in roots:
+        offer(g)
+    while waiting:
+        root_a, root_b, low, high, fa, fb = heapq.heappop(waiting)
+        if roots.get(low) != root_a or roots.get(high) != root_b or face[low] != fa or face[high] != fb or held[low] & held[high]:
+            continue
+        done.append((root_a, root_b, *able[fa][fb]))
+        held[low] |= held.pop(high)
+        for text, t in texts.pop(high).items():
+            own = texts[low].get(text)
+            texts[low][text] = t if own is None else (own[0] + t[0], own[1], *min(own[2:], t[2:]))
+        into[high] = low
+        del roots[high], at[fb], at[fa]
+        face[low] = shown(low)
+        at[face[low]] = low
+        offer(low)
+    for g in into:
+        while into[g] != into[into[g]]:
+            into[g] = into[into[g]]
+    return done, into
+
+
+def _merged_part(rows: pd.DataFrame) -> pd.DataFrame:
+    of = {kind: part for kind, part in rows.groupby("kind")}
+    roots = dict(zip(of["group"]["group"].astype(int).tolist(), of["group"]["root"].astype(int).tolist()))
+    texts, held, able = {g: {} for g in roots}, {g: set() for g in roots}, {}
+    for r in of["text"].itertuples():
+        texts[int(r.group)][r.name] = (int(r.n), int(r.length), int(r.q_no), int(r.idx), int(r.a))
+    for r in of["file"].itertuples():
+        held[int(r.group)].add(r.name)
+    for r in of["pair"].itertuples():
+        able.setdefault(int(r.a), {})[int(r.b)] = able.setdefault(int(r.b), {})[int(r.a)] = (r.similarity, r.name)
+    first = dict(roots)
+    done, into = merged_part(roots, texts, held, able)
+    out = [("merge", a, None, b, similarity, reason) for a, b, similarity, reason in done]
+    out += [("move", g, roots[h], h, None, None) for g, h in into.items() if first[g] != roots[h] or g != h]
+    return pd.DataFrame(out, columns=["kind", "group", "root", "other", "similarity", "reason"]).astype({"root": "Int64", "other": "Int64"})
+
+
+def merge_groups(questions: DataFrame, groups: DataFrame, replay_rows: int = REPLAY_ROWS) -> tuple[DataFrame, DataFrame]:
     """Repeatedly merge the first mergeable pair of groups, by their representatives,
-    until none is left. The pairs that can ever merge are known beforehand, since a
-    representative is always one of the questions. Groups and pairs fall into
-    independent parts; every round takes the first pair of every part."""
+    until none is left: (groups, merges). A null or empty table gives no merge.
+
+    The pairs that can ever merge are known beforehand, since a representative is always
+    one of the questions. By them the groups fall into parts that never meet. A part
+    of at most ``replay_rows`` rows is merged to its end by one task, in one round
+    for all such parts however long their chains are. Only a larger part goes on by
+    its first pair; each such round its pairs are taken anew, less those whose groups
+    share a file by now, so it falls apart until its parts fit a task."""
     able = cut_lineage(mergeable_faces(faces(questions)))
-    rows = None
-    if able.limit(1).count() == 0:
-        return groups, able.select(F.col("a").alias("root_a"), F.col("b").alias("root_b"), "similarity", "reason")
     sign = F.coalesce("signature", F.lit(""))
-    every = faces(questions).select("role", "question_type", "question_text", "signature", "blanks", "face")
-    of_key = questions.select("normalized_key", "role", "question_type", "question_text", sign.alias("signature"), "blanks").distinct().join(
-        every, ["role", "question_type", "question_text", "signature", "blanks"]).select("normalized_key", "face").distinct()
+    looks = ["role", "question_type", "question_text", "signature", "blanks"]
+    every = faces(questions).select(*looks, "face")
     usable = able.select(F.explode(F.array("a", "b")).alias("face")).distinct()
-    touched_keys = of_key.join(usable, "face", "left_semi").select(F.col("normalized_key").alias("node")).distinct()
-    touched = groups.join(touched_keys, "node", "left_semi").select("group").distinct()
-    # only groups that hold such a question take part
-    small = cut_lineage(groups.join(touched, "group", "left_semi"))
-    inside = cut_lineage(questions.join(small.select(F.col("node").alias("normalized_key")), "normalized_key", "left_semi"))
-    links = (small.select(F.concat(F.lit("g"), F.col("group").cast("string")).alias("a"), F.col("node").alias("_k"))
-             .join(of_key.withColumnRenamed("normalized_key", "_k"), "_k").select("a", F.concat(F.lit("f"), F.col("face").cast("string")).alias("b")))
-    pairs = able.select(F.concat(F.lit("f"), F.col("a").cast("string")).alias("a"), F.concat(F.lit("f"), F.col("b").cast("string")).alias("b"))
-    parts = graph.connected_components(links.unionByName(pairs)).filter(F.col("node").startswith("f")).select(
-        F.substr("node", F.lit(2)).cast("bigint").alias("face"), F.col("component").alias("part"))
+    faced = questions.select("normalized_key", "role", "question_type", "question_text", sign.alias("signature"), "blanks", "q_no", "idx",
+                             "source_file").join(every, looks)
+    keys = faced.join(usable, "face", "left_semi").select(F.col("normalized_key").alias("node")).distinct()
+    touched = groups.join(keys, "node", "left_semi").select("group").distinct()
+    small = cut_lineage(groups.join(touched, "group", "left_semi"))  # only groups that hold such a question take part
+    faced = cut_lineage(faced.join(small.select(F.col("node").alias("normalized_key")), "normalized_key", "left_semi"))
+    merges, moves = [], []
     while True:
-        reps = cut_lineage(group_faces(inside, small))
-        held = group_sources(inside, small)
-        side = lambda s: reps.select(F.col("face").alias(s), F.col("group").alias(f"group_{s}"), F.col("root").alias(f"root_{s}"))
-        faced = able.join(side("a"), "a").join(side("b"), "b").filter("group_a <> group_b")
-        twins = reps.join(reps.select("face", F.col("group").alias("group_b"), F.col("root").alias("root_b")), "face").filter("group < group_b")
-        shared = (faced.select("group_a", "group_b").join(held.withColumnRenamed("group", "group_a"), "group_a")
-                  .join(held.withColumnRenamed("group", "group_b"), ["group_b", "source"], "left_semi").select("group_a", "group_b").distinct())
-        open_ = faced.join(shared, ["group_a", "group_b"], "left_anti").join(parts.withColumnRenamed("face", "a"), "a")
-        low, high = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
-        left_is_a = F.col("root_a") < F.col("root_b")
-        best = open_.groupBy("part").agg(F.min_by(F.struct(
-            F.when(left_is_a, F.col("group_a")).otherwise(F.col("group_b")).alias("keep"),
-            F.when(left_is_a, F.col("group_b")).otherwise(F.col("group_a")).alias("drop"),
-            low.alias("root_a"), high.alias("root_b"), "similarity", "reason"), F.struct(low, high)).alias("e")).select("e.*")
-        best = cut_lineage(best)
-        if best.limit(1).count() == 0:
+        placed = faced.join(small.select(F.col("node").alias("normalized_key"), "group", "root"), "normalized_key")
+        held = cut_lineage(placed.select("group", F.col("source_file").alias("source")).distinct())
+        texts = cut_lineage(placed.groupBy("group", "question_text").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.struct("q_no", "idx", "face")).alias("first")).select(
+                "group", "question_text", "n", F.char_length("question_text").alias("length"), "first.*"))
+        open_ = cut_lineage(potential_pairs(able, placed.select("face", "group").distinct(), held))
+        if open_.limit(1).count() == 0:
+            break
+        parts = cut_lineage(graph.connected_components(open_.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))).select(
+            F.col("node").alias("group"), F.col("component").alias("part")))
+        roots = small.groupBy("group").agg(F.min("root").alias("root"))
+        none = lambda kind: F.lit(None).cast(kind)
+        row = lambda kind, df, **c: df.join(parts, "group").select(
+            "part", F.lit(kind).alias("kind"), "group", *[c.get(k, none(t)).alias(k) for k, t in (
+                ("root", "bigint"), ("name", "string"), ("n", "bigint"), ("length", "int"), ("q_no", "bigint"), ("idx", "bigint"),
+                ("a", "bigint"), ("b", "bigint"), ("similarity", "double"))])
+        rows = row("group", roots, root=F.col("root")).unionByName(
+            row("text", texts, name=F.col("question_text"), n=F.col("n"), length=F.col("length"), q_no=F.col("q_no").cast("bigint"),
+                idx=F.col("idx").cast("bigint"), a=F.col("face").cast("bigint"))).unionByName(
+            row("file", held, name=F.col("source"))).unionByName(
+            row("pair", open_.withColumnRenamed("group_a", "group"), name=F.col("reason"), a=F.col("a").cast("bigint"),
+                b=F.col("b").cast("bigint"), similarity=F.col("similarity")))
+        rows = cut_lineage(rows)
+        fits = cut_lineage(rows.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).withColumn("fits", F.col("_n") <= replay_rows).drop("_n"))
+        ended = cut_lineage(rows.join(fits.filter("fits"), "part", "left_semi").groupBy("part").applyInPandas(_merged_part, _REPLAY))
+        merges.append(ended.filter("kind = 'merge'").select(
+            F.col("group").alias("root_a"), F.col("other").alias("root_b"), "similarity", "reason"))
+        moves.append(small.join(ended.filter("kind = 'move'").select("group", F.col("other").alias("_g"), F.col("root").alias("_r")), "group").select(
+            "node", "_g", "_r"))
+        large = cut_lineage(parts.join(fits.filter("NOT fits"), "part").select("group", "part"))
+        if large.limit(1).count() == 0:
             break
-        done = best.select("root_a", "root_b", "similarity", "reason")
-        rows = done if rows is None else rows.unionByName(done)
-        moved = best.select(F.col("drop").alias("group"), F.col("keep").alias("_to"), F.col("root_a").alias("_root"))
-        small = cut_lineage(small.join(moved, "group", "left").select(
-            "node", F.coalesce("_to", "group").alias("group"), F.coalesce("_root", "root").alias("root")))
-    if rows is None:
-        rows = best.select("root_a", "root_b", "similarity", "reason")
-    final = small.select("node", F.col("group").alias("_g"), F.col("root").alias("_r"))
-    return groups.join(final, "node", "left").select("node", F.coalesce("_g", "group").alias("group"), F.coalesce("_r", "root").alias("root")), rows
+        small, best = _first_merges(small.join(large.select("group"), "group", "left_semi"), large, texts, roots, open_)
+        merges.append(best.select("root_a", "root_b", "similarity", "reason"))
+        moves.append(small.select("node", F.col("group").alias("_g"), F.col("root").alias("_r")))
+        faced = cut_lineage(faced.join(small.select(F.col("node").alias("normalized_key")), "normalized_key", "left_semi"))
+    if not merges:
+        return groups, able.select(F.col("a").alias("root_a"), F.col("b").alias("root_b"), "similarity", "reason").limit(0)
+    # a node's last move counts
+    last = reduce(DataFrame.unionByName, [m.withColumn("_round", F.lit(k)) for k, m in enumerate(moves)]).groupBy("node").agg(
+        F.max_by(F.struct("_g", "_r"), "_round").alias("_m"))
+    final = groups.join(last, "node", "left").select("node", F.coalesce("_m._g", "group").alias("group"), F.coalesce("_m._r", "root").alias("root"))
+    return cut_lineage(final), reduce(DataFrame.unionByName, merges)
+
+
+def _first_merges(small: DataFrame, parts: DataFrame, texts: DataFrame, roots: DataFrame, open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first pair of every part, merged; parts without one come to rest."""
+    rank = F.struct((-F.col("n")).alias("c"), (-F.col("length")).alias("l"), "q_no", "idx")
+    reps = texts.groupBy("group").agg(F.min_by("face", rank).alias("face")).join(roots, "group")
+    side = lambda s: reps.select(F.col("group").alias(f"group_{s}"), F.col("face").alias(s), F.col("root").alias(f"root_{s}"))
+    actual = open_.join(side("a"), ["group_a", "a"]).join(side("b"), ["group_b", "b"]).join(parts.withColumnRenamed("group", "group_a"), "group_a")
+    rising = F.col("root_a") < F.col("root_b")
+    pick = lambda x, y, name: F.when(rising, F.col(x)).otherwise(F.col(y)).alias(name)
+    low, high = F.least("root_a", "root_b"), F.greatest("root_a", "root_b")
+    best = cut_lineage(actual.groupBy("part").agg(F.min_by(F.struct(
+        pick("group_a", "group_b", "keep"), pick("group_b", "group_a", "drop"), low.alias("root_a"), high.alias("root_b"), "similarity", "reason"),
+        F.struct(low, high)).alias("e")).select("part", "e.*"))
+    moved = best.select(F.col("drop").alias("group"), F.col("keep").alias("_to"), F.col("root_a").alias("_root"))
+    going = parts.join(best.select("part"), "part", "left_semi").select("group")
+    small = cut_lineage(small.join(going, "group", "left_semi").join(moved, "group", "left").select(
+        "node", F.coalesce("_to", "group").alias("group"), F.coalesce("_root", "root").alias("root")))
+    return small, best
 
 
 def reviewable_group_pairs(questions: DataFrame, labelled: DataFrame, groups: DataFrame) -> DataFrame:

@@ -97,6 +97,96 @@ def test_whole_matching(spark, seed):
     assert taken and found and rows.count() and offered
 
 
+def by_restarts(roots, texts, held, able):
+    """Group merging as it is told: look at all groups by root, merge the first pair that
+    may, begin again."""
+    groups = {r: ([dict(texts[g])], set(held[g])) for g, r in roots.items()}
+    done = []
+
+    def face(r):
+        total = {}
+        for part in groups[r][0]:
+            for text, (n, length, q, i, f) in part.items():
+                old = total.get(text, (0, length, q, i, f))
+                total[text] = (old[0] + n, length, *min(old[2:], (q, i, f)))
+        return max(total.values(), key=lambda t: (t[0], t[1], -t[2], -t[3]))[4]
+    while True:
+        order = sorted(groups)
+        shown = {r: face(r) for r in order}
+        hit = next(((a, b) for k, a in enumerate(order) for b in order[k + 1:]
+                    if not groups[a][1] & groups[b][1] and shown[b] in able.get(shown[a], ())), None)
+        if hit is None:
+            return done, {r: frozenset(f for part in parts for t in part.values() for f in t[4:]) for r, (parts, _) in groups.items()}
+        a, b = hit
+        done.append((a, b, *able[shown[a]][shown[b]]))
+        parts, files = groups.pop(b)
+        groups[a][0].extend(parts)
+        groups[a][1].update(files)
+
+
+def random_part(rng, n, files, chance):
+    roots = {g: r for g, r in zip(range(100, 100 + n), rng.sample(range(10 * n), n))}
+    texts = {g: {f"t{g}_{k}": (rng.randrange(1, 4), rng.randrange(5, 8), rng.randrange(50), 10 * g + k, 10 * g + k) for k in range(rng.randrange(1, 4))}
+             for g in roots}
+    held = {g: set(rng.sample(files, rng.randrange(1, 3))) for g in roots}
+    every = [t[4] for g in texts for t in texts[g].values()]
+    able = {}
+    for x in every:
+        for y in every:
+            if x < y and x // 10 != y // 10 and rng.random() < chance:
+                able.setdefault(x, {})[y] = able.setdefault(y, {})[x] = (round(rng.random(), 3), "r")
+    return roots, texts, held, able
+
+
+def test_merged_part_equals_restarts():
+    import copy
+    rng = random.Random(8)
+    merged = 0
+    for _ in range(150):
+        part = random_part(rng, rng.randrange(2, 25), [f"s{k}" for k in range(rng.choice([4, 12, 40]))], rng.choice([0.05, 0.2, 0.6]))
+        want, left = by_restarts(*copy.deepcopy(part))
+        done, into = M.merged_part(*part)
+        assert done == want and set(part[0].values()) == set(left)
+        merged += len(done)
+    assert merged > 300
+
+
+def test_a_chain_of_a_thousand_groups_is_one_round(spark, monkeypatch):
+    """Each group can merge with the next one only; all in one part, and the same when parts are too large for a task."""
+    n, rounds = 1000, []
+    chain = M.graph.connected_components
+    monkeypatch.setattr(M.graph, "connected_components", lambda e: rounds.append(1) or chain(e))
+    chars = [chr(0x4E00 + k) for k in range(3000)]
+    texts = ["".join(chars[2 * i:2 * i + 60]) for i in range(n)]
+    rows = [(i, f"f{i % 7}", "教师", "历史", i + 1, "填空题", t + "____") for i, t in enumerate(texts)]
+    questions = cut_lineage(Q.with_text_features(spark.createDataFrame(
+        rows, "idx bigint, source_file string, role string, subject string, q_no bigint, question_type string, question_text string"))
+        .selectExpr("*", "cast(null AS string) AS signature", "cast(null AS bigint) AS signature_size"))
+    groups = cut_lineage(M.start_groups(questions))
+    final, merges = M.merge_groups(questions, groups)
+    able = {}
+    for r in M.mergeable_faces(M.faces(questions)).collect():
+        able.setdefault(r.a, {})[r.b] = able.setdefault(r.b, {})[r.a] = (r.similarity, r.reason)
+    assert len(rounds) == 1 and sum(map(len, able.values())) >= 2 * (n - 1)
+    plain = ({i: i for i in range(n)}, {i: {r[6]: (1, len(r[6]), r[4], i, i)} for i, r in enumerate(rows)}, {i: {r[1]} for i, r in enumerate(rows)}, able)
+    want, left = by_restarts(*plain)
+    assert sorted(tuple(r) for r in merges.collect()) == sorted(want) and len(want) > 300
+    assert partition((r.node, r.group) for r in final.collect()) == partition((r.node, r.root) for r in final.collect())
+    assert {r.root for r in final.collect()} == set(left)
+
+
+@pytest.mark.parametrize("seed", [3, 11])
+def test_parts_too_large_for_a_task_merge_alike(spark, seed):
+    questions, _, _ = load(spark, seed)
+    groups = cut_lineage(M.start_groups(questions))
+    final, merges = M.merge_groups(questions, groups)
+    again, by_rounds = M.merge_groups(questions, groups, replay_rows=6)
+    assert sorted(tuple(r) for r in merges.collect()) == sorted(tuple(r) for r in by_rounds.collect()) and merges.count() > 1
+    assert {(r.node, r.root) for r in final.collect()} == {(r.node, r.root) for r in again.collect()}
+    none, no_rows = M.merge_groups(questions.limit(0), groups.limit(0))
+    assert none.count() == 0 and no_rows.count() == 0
+
+
 def test_ties_of_option_order_do_not_depend_on_input(spark):
     parts = [(1, "option", label, 1) for label in "cab"] + [(1, "option", "d", 2), (2, "option", "d", 2)] + [(2, "option", x, 1) for x in "bca"]
     schema = "idx bigint, component_type string, component_label string, option_order bigint"

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from surveyloom.llm.common import joined_to
+from surveyloom.operators.ordering import number_globally
 from surveyloom.session import cut_lineage
 
 BREAK = b"."
@@ -19,6 +20,8 @@ ROOM = 300_000       # grams in a task's trie before subtrees are spilled
 WORDS = 500_000      # distinct words a task numbers before it starts anew
 BLOCK = 2_000_000    # bytes of text that are counted at a time
 FILTER_BITS = 28     # log2 of the largest filter: 32 MB
+SPAN = 1 << 16       # neighbouring bits of a filter of pairs that are summed together
+PENDING = 8_000_000  # pairs a task holds before equal ones are added up
 _SHIFT = 40503       # sets the first word of a pair apart from the second
 SLICES = 64          # of a prefix's suffixes, so that a hot prefix spreads over tasks
 
@@ -100,10 +103,10 @@ class Filter:
 
     def __init__(self, bits: int, blocks: list[tuple[int, bytes]]):
         self.size = np.uint64(1 << bits)
-        held = np.zeros(max((1 << bits) // 8, 4096), np.uint8)
+        wide = len(blocks[0][1]) if blocks else 0
+        self.held = np.zeros(max((1 << bits) // 8, wide), np.uint8)
         for number, block in blocks:
-            held[number * 4096:(number + 1) * 4096] = np.frombuffer(block, np.uint8)
-        self.held = held
+            self.held[number * wide:(number + 1) * wide] = np.frombuffer(block, np.uint8)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         at = (hashes % self.size).astype(np.int64)
@@ -111,8 +114,8 @@ class Filter:
 
 
 class Counter:
-    """Counts the grams of one task. ``filters``: none for words; one, of words, for pairs;
-    two, of words and pairs, for three to ``longest`` words whose words and pairs pass."""
+    """Counts the grams of one task: words without ``filters``; else, with those of words
+    and pairs, the phrases of two to ``longest`` words whose words and pairs all pass."""
 
     def __init__(self, filters: list[Filter], longest: int):
         self.filters, self.longest = filters, longest
@@ -140,28 +143,32 @@ class Counter:
         if self.filters:
             self.known = np.concatenate((self.known, self.filters[0].has(hashes)))
 
-    def count(self, parts: list[np.ndarray]) -> None:
+    def _pairs(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The words end to end, breaks (0) between texts, and where a pair of words begins
+        that both pass the first filter."""
         gap = np.zeros(1, np.int64)
         a = np.concatenate([x for part in parts for x in (part, gap)])
-        if not self.filters:
-            n = np.bincount(a, minlength=len(self.names))
-            n[:len(self.alone)] += self.alone
-            self.alone = n
-            return
         self._learn()
         fits = self.known[a]
         fits[a == 0] = False
-        pair = fits[:-1] & fits[1:]
-        if len(self.filters) == 1:
-            keys, n = np.unique(a[:-1][pair] << np.int64(32) | a[1:][pair], return_counts=True)
-            for first, second, times in zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), n.tolist()):
-                self.trie.add((first, second), times)
+        return a, fits[:-1] & fits[1:]
+
+    def pair_hashes(self, a: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.hashes[a[at]] * np.uint64(_SHIFT) + self.hashes[a[at + 1]]
+
+    def count(self, parts: list[np.ndarray]) -> None:
+        if not self.filters:
+            n = np.bincount(np.concatenate(parts), minlength=len(self.names))
+            n[:len(self.alone)] += self.alone
+            self.alone = n
             return
+        a, pair = self._pairs(parts)
         at = np.flatnonzero(pair)
-        pair[at] = self.filters[1].has(self.hashes[a[at]] * np.uint64(_SHIFT) + self.hashes[a[at + 1]])
+        pair[at] = self.filters[1].has(self.pair_hashes(a, at))
         run = pair
-        for k in range(3, self.longest + 1):
-            run = run[:-1] & pair[k - 2:]
+        for k in range(2, self.longest + 1):
+            if k > 2:
+                run = run[:-1] & pair[k - 2:]
             at = np.flatnonzero(run)
             if len(at):
                 grams, n = np.unique(np.stack([a[at + j] for j in range(k)], 1), axis=0, return_counts=True)
@@ -218,6 +225,65 @@ def _counted(batches: Iterator[pa.RecordBatch], filters: list[Filter], longest:
     yield from counter.runs(0)
 
 
+def _bucketed(batches: Iterator[pa.RecordBatch], words: Filter, bits: int, least: int) -> Iterator[pa.RecordBatch]:
+    """(span, offsets, counts): how often the pairs of passing words fell on each bit, up to
+    ``least`` times, in the order of the bits."""
+    counter, kind, mask = Counter([words], 2), np.uint8 if least < 256 else np.uint32, np.uint64((1 << bits) - 1)
+    keys, counts, pending = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def added():
+        new, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *pending]), return_counts=True)
+        pending.clear()
+        every = np.concatenate((keys, new))
+        order = np.argsort(every, kind="stable")
+        firsts = np.flatnonzero(np.diff(every[order], prepend=np.uint64(1 << 63)))
+        if not len(firsts):
+            return keys, counts
+        return every[order][firsts], np.minimum(np.add.reduceat(np.concatenate((counts, n))[order], firsts), least)
+    for lot in _blocks(batches):
+        a, pair = counter._pairs([counter.number(lang, data) for lang, data in lot])
+        pending.append(counter.pair_hashes(a, np.flatnonzero(pair)) & mask)
+        if len(counter.names) > WORDS:
+            counter.begin()
+        if sum(map(len, pending)) > PENDING:
+            keys, counts = added()
+    keys, counts = added()
+    spans = (keys >> np.uint64(16)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(spans, prepend=-1)).tolist()
+    offsets, counts = (keys & np.uint64(SPAN - 1)).astype("<u2"), counts.astype(kind)
+    for begin in range(0, len(cuts), 200):
+        some = list(zip(cuts[begin:begin + 200], [*cuts[begin + 1:begin + 201], *[len(keys)][:len(cuts) - begin <= 200]]))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(spans[[x for x, _ in some]], pa.int64()), pa.array([offsets[x:y].tobytes() for x, y in some], pa.binary()),
+            pa.array([counts[x:y].tobytes() for x, y in some], pa.binary())], ["span", "offsets", "counts"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(span, bits): the bits of a span that were met ``least`` times in all. Counts stop
+    there, so a byte or four are enough for each."""
+    kind, sums = np.uint8 if least < 256 else np.uint32, {}
+    for batch in batches:
+        for span, offsets, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            if span not in sums:
+                sums[span] = np.zeros(SPAN, kind)
+            at = np.frombuffer(offsets, "<u2")
+            sums[span][at] = np.minimum(sums[span][at].astype(np.int64) + np.frombuffer(counts, kind), least)
+    full = [(span, np.packbits(n >= least, bitorder="little").tobytes()) for span, n in sums.items() if (n >= least).any()]
+    if full:
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in full], pa.int64()), pa.array([f[1] for f in full], pa.binary())], ["span", "bits"])
+
+
+def _pair_filter(docs: DataFrame, by_word: tuple, n_words: int, min_count: int) -> tuple[int, list[tuple[int, bytes]]]:
+    """The filter of pairs: a bit is set if the pairs that fall on it are met ``min_count``
+    times together. Its size follows the number of words, so that few rare pairs share a
+    bit, up to 2^28 bits (32 MB); beyond that it lets more of them through."""
+    bits = min(FILTER_BITS, max(16, (16 * n_words // min_count).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(by_word)
+    met = docs.mapInArrow(lambda it: _bucketed(it, Filter(*shared.value), bits, min_count), "span bigint, offsets binary, counts binary")
+    full = met.repartition("span").mapInArrow(lambda it: _summed(it, min_count), "span bigint, bits binary")
+    return bits, [(r["span"], bytes(r["bits"])) for r in full.collect()]
+
+
 def _merged(docs: DataFrame, filters: list, longest: int, room: int) -> DataFrame:
     """(lang, gram, n): the runs of all tasks, merged per prefix partition."""
     shared = [docs.sparkSession.sparkContext.broadcast(f) for f in filters]
@@ -226,12 +292,11 @@ def _merged(docs: DataFrame, filters: list, longest: int, room: int) -> DataFram
     return dealt.repartition("lang", "prefix", "slice").groupBy("lang", "prefix", "slice", "gram").agg(F.sum("n").alias("n")).select("lang", "gram", "n")
 
 
-def _filter(often: DataFrame) -> tuple[int, list[tuple[int, bytes]]]:
-    """Bits of the often-met words or pairs; 32 bits each, 2^28 (32 MB) at most. A full
-    filter lets more through, which costs time and changes no count."""
+def _word_filter(often: DataFrame) -> tuple[int, list[tuple[int, bytes]]]:
+    """Bits of the often-met words; 32 bits each, 2^28 (32 MB) at most. A full filter lets
+    more through, which costs time and changes no count."""
     bits = min(FILTER_BITS, max(15, (32 * often.count()).bit_length()))
-    hashed = lambda k: F.crc32(F.concat_ws("\0", "lang", F.get(F.split("gram", " "), k)).cast("binary"))
-    key = F.when(F.instr("gram", " ") > 0, hashed(0) * _SHIFT + hashed(1)).otherwise(hashed(0)) % (1 << bits) + 1
+    key = F.crc32(F.concat_ws("\0", "lang", "gram").cast("binary")) % (1 << bits) + 1
     blocks = often.select(key.alias("key")).groupBy(F.bitmap_bucket_number("key").alias("number")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("key")).alias("block"))
     return bits, [(r["number"] - 1, bytes(r["block"])) for r in blocks.collect()]
@@ -239,15 +304,15 @@ def _filter(often: DataFrame) -> tuple[int, list[tuple[int, bytes]]]:
 
 def frequent_grams(docs: DataFrame, min_count: int = 100, longest: int = 5, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
     """((lang, gram, n) of all phrases of 1 to ``longest`` words met ``min_count`` times,
-    (lang, n) of all words). A phrase is only counted if its words, and then its pairs,
-    are met that often; all counts that are given are exact."""
+    (lang, n) of all words). A phrase is only counted if its words, and the bits of its
+    pairs, are met that often; all counts that are given are exact."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     words = cut_lineage(_merged(rows, [], 1, room))
     often = F.col("n") >= min_count
-    by_word = _filter(words.filter(often))
-    pairs = cut_lineage(_merged(rows, [by_word], 2, room).filter(often))
-    longer = cut_lineage(_merged(rows, [by_word, _filter(pairs)], longest, room).filter(often)) if longest > 2 else pairs.limit(0)
-    return words.filter(often).unionByName(pairs).unionByName(longer), words.groupBy("lang").agg(F.sum("n").alias("n"))
+    by_word = _word_filter(words.filter(often))
+    by_pair = _pair_filter(rows, by_word, words.agg(F.sum("n")).first()[0] or 0, min_count)
+    phrases = cut_lineage(_merged(rows, [by_word, by_pair], longest, room).filter(often))
+    return words.filter(often).unionByName(phrases), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def mine(docs: DataFrame, min_count: int = 100, longest: int = 5, top: int = 2000, room: int = ROOM) -> DataFrame:
@@ -260,10 +325,10 @@ def mine(docs: DataFrame, min_count: int = 100, longest: int = 5, top: int = 200
     columns are not read, an empty table gives no row. Equal scores go by count, then by
     the phrase's bytes.
 
-    Three passes over the texts count words, pairs and longer phrases, each in a trie per
-    task; the passes after the first skip what bit filters of fixed greatest size rule
-    out. A prefix's grams are spread over slices, and the ranking goes through slices
-    first, so no language or prefix lands in one task."""
+    Three passes over the texts: words are counted; pairs of often-met words are summed on
+    the bits of a filter; phrases whose words and pairs pass are counted exactly, in a
+    trie per task. Filters have a fixed greatest size and only ever spare work. A prefix's grams are spread over slices, and ranks come from one range sort of
+    all languages, so no language or prefix lands in one task."""
     grams, totals = frequent_grams(docs, min_count, longest, room)
     words = F.split("gram", " ")
     phrases = grams.select("lang", F.col("gram").alias("phrase"), F.col("n").alias("a"), words.alias("w")).filter(F.size("w") > 1)
@@ -281,8 +346,8 @@ def mine(docs: DataFrame, min_count: int = 100, longest: int = 5, top: int = 200
     whole = lambda c: f"cast({c} as decimal(19,0))"
     score = F.expr(f"(1000 * {whole('a')} * {whole('n')}) div ({whole('l')} * {whole('r')})")
     weakest = with_n.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
-    best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    rows = weakest.select("lang", "phrase", "a", "n", "cut.l", "cut.r", "cut.score").withColumn("_slice", F.pmod(F.xxhash64("phrase"), F.lit(SLICES)))
-    in_slices = rows.withColumn("_rank", F.row_number().over(W.partitionBy("lang", "_slice").orderBy(*best))).filter(F.col("_rank") <= top)
-    ranked = in_slices.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*best)).cast("bigint")).filter(F.col("rank") <= top)
+    rows = weakest.select("lang", "phrase", "a", "n", "cut.l", "cut.r", "cut.score")
+    placed = cut_lineage(number_globally(rows, [F.asc("lang"), F.desc("score"), F.desc("a"), F.asc("phrase")], "_place"))
+    firsts = cut_lineage(placed.groupBy("lang").agg(F.min("_place").alias("_first")))
+    ranked = joined_to(placed, firsts, "lang").withColumn("rank", F.col("_place") - F.col("_first") + 1).filter(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

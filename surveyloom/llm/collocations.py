@@ -20,8 +20,8 @@ ROOM = 300_000       # grams in a task's trie before subtrees are spilled
 WORDS = 500_000      # distinct words a task numbers before it starts anew
 BLOCK = 2_000_000    # bytes of text that are counted at a time
 FILTER_BITS = 28     # log2 of the largest filter: 32 MB
-SPAN = 1 << 16       # neighbouring bits of a filter of pairs that are summed together
-PENDING = 8_000_000  # pairs a task holds before equal ones are added up
+SPAN = 1 << 16       # neighbouring bits of a filter that are summed together
+PENDING = 8_000_000  # grams a task holds before equal ones are added up
 _SHIFT = 40503       # sets the first word of a pair apart from the second
 SLICES = 64          # of a prefix's suffixes, so that a hot prefix spreads over tasks
 
@@ -114,8 +114,8 @@ class Filter:
 
 
 class Counter:
-    """Counts the grams of one task: words without ``filters``; else, with those of words
-    and pairs, the phrases of two to ``longest`` words whose words and pairs all pass."""
+    """Counts the grams of one task: words without ``filters``; else, with those of words,
+    pairs and so on, the phrases of two to ``longest`` words whose parts all pass."""
 
     def __init__(self, filters: list[Filter], longest: int):
         self.filters, self.longest = filters, longest
@@ -143,18 +143,31 @@ class Counter:
         if self.filters:
             self.known = np.concatenate((self.known, self.filters[0].has(hashes)))
 
-    def _pairs(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The words end to end, breaks (0) between texts, and where a pair of words begins
-        that both pass the first filter."""
+    def places(self, parts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The words end to end, breaks (0) between texts, and per filter where a word, a
+        pair … begins that passes it and all before."""
         gap = np.zeros(1, np.int64)
         a = np.concatenate([x for part in parts for x in (part, gap)])
         self._learn()
         fits = self.known[a]
         fits[a == 0] = False
-        return a, fits[:-1] & fits[1:]
-
-    def pair_hashes(self, a: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return self.hashes[a[at]] * np.uint64(_SHIFT) + self.hashes[a[at + 1]]
+        runs = [fits]
+        for k, passing in enumerate(self.filters[1:], 2):
+            run, at = self.longer(runs[-1])
+            run[at] = passing.has(self.gram_hashes(a, at, k))
+            runs.append(run)
+        return a, runs
+
+    def longer(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where a gram of one word more begins whose two halves begin at ``run``."""
+        run = run[:-1] & run[1:]
+        return run, np.flatnonzero(run)
+
+    def gram_hashes(self, a: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+        h = self.hashes[a[at]]
+        for j in range(1, k):
+            h = h * np.uint64(_SHIFT) + self.hashes[a[at + j]]
+        return h
 
     def count(self, parts: list[np.ndarray]) -> None:
         if not self.filters:
@@ -162,13 +175,9 @@ class Counter:
             n[:len(self.alone)] += self.alone
             self.alone = n
             return
-        a, pair = self._pairs(parts)
-        at = np.flatnonzero(pair)
-        pair[at] = self.filters[1].has(self.pair_hashes(a, at))
-        run = pair
+        a, runs = self.places(parts)
         for k in range(2, self.longest + 1):
-            if k > 2:
-                run = run[:-1] & pair[k - 2:]
+            run = runs[k - 1] if k <= len(runs) else self.longer(run)[0]
             at = np.flatnonzero(run)
             if len(at):
                 grams, n = np.unique(np.stack([a[at + j] for j in range(k)], 1), axis=0, return_counts=True)
@@ -225,10 +234,11 @@ def _counted(batches: Iterator[pa.RecordBatch], filters: list[Filter], longest:
     yield from counter.runs(0)
 
 
-def _bucketed(batches: Iterator[pa.RecordBatch], words: Filter, bits: int, least: int) -> Iterator[pa.RecordBatch]:
-    """(span, offsets, counts): how often the pairs of passing words fell on each bit, up to
-    ``least`` times, in the order of the bits."""
-    counter, kind, mask = Counter([words], 2), np.uint8 if least < 256 else np.uint32, np.uint64((1 << bits) - 1)
+def _bucketed(batches: Iterator[pa.RecordBatch], filters: list[Filter], bits: int, least: int) -> Iterator[pa.RecordBatch]:
+    """(span, offsets, counts): how often the grams of one word more than the filters have,
+    and whose parts pass them, fell on each bit, up to ``least`` times, in the order of
+    the bits."""
+    counter, kind, mask = Counter(filters, 2), np.uint8 if least < 256 else np.uint32, np.uint64((1 << bits) - 1)
     keys, counts, pending = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
 
     def added():
@@ -241,8 +251,8 @@ def _bucketed(batches: Iterator[pa.RecordBatch], words: Filter, bits: int, least
             return keys, counts
         return every[order][firsts], np.minimum(np.add.reduceat(np.concatenate((counts, n))[order], firsts), least)
     for lot in _blocks(batches):
-        a, pair = counter._pairs([counter.number(lang, data) for lang, data in lot])
-        pending.append(counter.pair_hashes(a, np.flatnonzero(pair)) & mask)
+        a, runs = counter.places([counter.number(lang, data) for lang, data in lot])
+        pending.append(counter.gram_hashes(a, counter.longer(runs[-1])[1], len(filters) + 1) & mask)
         if len(counter.names) > WORDS:
             counter.begin()
         if sum(map(len, pending)) > PENDING:
@@ -273,13 +283,14 @@ def _summed(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in full], pa.int64()), pa.array([f[1] for f in full], pa.binary())], ["span", "bits"])
 
 
-def _pair_filter(docs: DataFrame, by_word: tuple, n_words: int, min_count: int) -> tuple[int, list[tuple[int, bytes]]]:
-    """The filter of pairs: a bit is set if the pairs that fall on it are met ``min_count``
-    times together. Its size follows the number of words, so that few rare pairs share a
-    bit, up to 2^28 bits (32 MB); beyond that it lets more of them through."""
+def _gram_filter(docs: DataFrame, filters: list[tuple], n_words: int, min_count: int) -> tuple[int, list[tuple[int, bytes]]]:
+    """The filter of grams of one word more: a bit is set if the grams that fall on it are
+    met ``min_count`` times together. Its size follows the number of words, so that few
+    rare grams share a bit, up to 2^28 bits (32 MB); beyond that it lets more through."""
     bits = min(FILTER_BITS, max(16, (16 * n_words // min_count).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(by_word)
-    met = docs.mapInArrow(lambda it: _bucketed(it, Filter(*shared.value), bits, min_count), "span bigint, offsets binary, counts binary")
+    shared = [docs.sparkSession.sparkContext.broadcast(f) for f in filters]
+    met = docs.mapInArrow(lambda it: _bucketed(it, [Filter(*s.value) for s in shared], bits, min_count),
+                          "span bigint, offsets binary, counts binary")
     full = met.repartition("span").mapInArrow(lambda it: _summed(it, min_count), "span bigint, bits binary")
     return bits, [(r["span"], bytes(r["bits"])) for r in full.collect()]
 
@@ -305,13 +316,15 @@ def _word_filter(often: DataFrame) -> tuple[int, list[tuple[int, bytes]]]:
 def frequent_grams(docs: DataFrame, min_count: int = 100, longest: int = 5, room: int = ROOM) -> tuple[DataFrame, DataFrame]:
     """((lang, gram, n) of all phrases of 1 to ``longest`` words met ``min_count`` times,
     (lang, n) of all words). A phrase is only counted if its words, and the bits of its
-    pairs, are met that often; all counts that are given are exact."""
+    pairs and triples, are met that often; all counts that are given are exact."""
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     words = cut_lineage(_merged(rows, [], 1, room))
     often = F.col("n") >= min_count
-    by_word = _word_filter(words.filter(often))
-    by_pair = _pair_filter(rows, by_word, words.agg(F.sum("n")).first()[0] or 0, min_count)
-    phrases = cut_lineage(_merged(rows, [by_word, by_pair], longest, room).filter(often))
+    n_words = words.agg(F.sum("n")).first()[0] or 0
+    filters = [_word_filter(words.filter(often))]
+    while len(filters) < min(longest, 3):
+        filters.append(_gram_filter(rows, filters, n_words, min_count))
+    phrases = cut_lineage(_merged(rows, filters, longest, room).filter(often))
     return words.filter(often).unionByName(phrases), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
@@ -325,9 +338,10 @@ def mine(docs: DataFrame, min_count: int = 100, longest: int = 5, top: int = 200
     columns are not read, an empty table gives no row. Equal scores go by count, then by
     the phrase's bytes.
 
-    Three passes over the texts: words are counted; pairs of often-met words are summed on
-    the bits of a filter; phrases whose words and pairs pass are counted exactly, in a
-    trie per task. Filters have a fixed greatest size and only ever spare work. A prefix's grams are spread over slices, and ranks come from one range sort of
+    Four passes over the texts: words are counted; pairs of often-met words, then triples
+    of such pairs, are summed on the bits of a filter; phrases whose parts all pass are
+    counted exactly, in a trie per task. Filters have a fixed greatest size and only ever
+    spare work. A prefix's grams are spread over slices, and ranks come from one range sort of
     all languages, so no language or prefix lands in one task."""
     grams, totals = frequent_grams(docs, min_count, longest, room)
     words = F.split("gram", " ")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from os.path import commonprefix
 
 import numpy as np
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
 STAND_IN = "\ud800"  # for a mark in the text: half a surrogate pair, which no UTF-8 text has
-HELD = 300_000  # words in each of the two generations a task remembers
-LOT = 2000      # rows whose words are sorted and searched together
+HELD = 100_000  # words in each of the two generations a task remembers
+LOT = 1000      # rows whose words are sorted and searched together
 
 
 class Pieces:
@@ -35,12 +35,6 @@ class Pieces:
                       if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))}
         self.text = {i: p for p, (_, i) in self.score.items()}
         self.fallback = min(s for s, _ in self.score.values()) - 1
-        self.trie: list = [{}, None, None]  # children by character, score and id of the piece that ends here
-        for piece, (score, i) in self.score.items():
-            node = self.trie
-            for c in piece:
-                node = node[0].setdefault(c, [{}, None, None])
-            node[1:] = score, i
         spelled = [
             self.text[i].replace(MARK, " ").encode() if i in self.text else bytes([self.of_byte[i]]) if i in self.of_byte else b"" for i in n]
         self.sizes = np.array([len(x) for x in spelled])
@@ -49,6 +43,17 @@ class Pieces:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @cached_property
+    def trie(self) -> list:
+        """Children by character, score and id of the piece that ends here; encoding needs it."""
+        root: list = [{}, None, None]
+        for piece, (score, i) in self.score.items():
+            node = root
+            for c in piece:
+                node = node[0].setdefault(c, [{}, None, None])
+            node[1:] = score, i
+        return root
+
     def _raw(self, c: str) -> list[int]:
         return [self.bytes[b] for b in (MARK if c == STAND_IN else c).encode()]
 

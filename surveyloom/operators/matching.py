@@ -20,7 +20,7 @@ from surveyloom.functions import text
 from surveyloom.operators import graph, questions as Q
 from surveyloom.operators.ordering import number_globally
 from surveyloom.operators.similarity import (
-    char_set_candidates, cosines, gram_candidates, gram_counts, gram_prefixes, norm_profiles, similar_pairs,
+    char_set_candidates, cosines, gram_candidates, gram_counts, gram_prefixes, norms_of, similar_pairs,
 )
 from surveyloom.session import cut_lineage
 
@@ -342,7 +342,7 @@ def face_scores(pairs: DataFrame, all_faces: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("face")).distinct()
         units = all_faces.join(wanted, "face", "left_semi").select(F.col("face").alias("unit"), F.lit("").alias("block"), F.col(column).alias("text"))
         grams = cut_lineage(gram_counts(units.filter(F.char_length("text") >= 2)))
-        norms = norm_profiles(grams).select("unit", "norm2")
+        norms = norms_of(grams)
         scored = cosines(pairs.select(F.col("a").alias("unit_a"), F.col("b").alias("unit_b")), grams, norms)
         result = result.join(scored.select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b"), F.col("similarity").alias(name)), ["a", "b"], "left")
     side = lambda s: all_faces.select(F.col("face").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in (
@@ -565,7 +565,7 @@ def reviewable_group_pairs(questions: DataFrame, labelled: DataFrame, groups: Da
     tags = cut_lineage(rare.select(F.col("idx").alias("unit"), "tag").unionByName(bare))
     units = lambda c: shown.select(F.col("face").alias("unit"), block_of().alias("block"), F.col(c).alias("text"))
     grams = cut_lineage(gram_counts(units("comparison").filter(F.char_length("text") >= 2)))
-    by_gram = gram_candidates(units("comparison"), gram_prefixes(grams, V.GROUP_REVIEW_SIMILARITY), None, tags)
+    by_gram = gram_candidates(units("comparison"), gram_prefixes(grams, V.GROUP_REVIEW_SIMILARITY), V.GROUP_REVIEW_SIMILARITY, None, tags)
     by_char = char_set_candidates(units("topic"), V.GROUP_REVIEW_TOPIC_JACCARD, tags)
     pairs = cut_lineage(by_gram.unionByName(by_char).select(F.col("unit_a").alias("a"), F.col("unit_b").alias("b")).distinct())
     keys = ["idx_a", "idx_b"]

@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from surveyloom.queries import (  # noqa: F401
-        answer_ingest, charts, crosstabs, matching, metrics, question_forms, recoding, scoring, statistics,
+        answer_ingest, charts, crosstabs, matching, metrics, question_forms, recoding, resolution, scoring, statistics,
     )

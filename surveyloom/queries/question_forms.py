@@ -242,13 +242,13 @@ def component_order(spark, sf):
         {"text_entry": entry, "entry_required": required})
 
 
-def dependency_lines(spark, sf):
+def dependency_lines(spark, sf, keep=()):
     li = B.table(spark, sf, "lineitem")
     line = F.concat(F.lit("关联题目："), F.when(F.col("l_returnflag") == "R", F.lit("前")).otherwise(F.concat(F.lit("第"), F.col("l_linenumber").cast("string"))),
                     F.lit("题 选项"), F.col("l_suppkey").cast("string"), F.lit("、选项 "), F.col("l_linenumber").cast("string"), F.lit("、选项 "), F.col("l_linenumber").cast("string"),
                     F.when(F.col("l_returnflag") == "A", F.lit(" 当且仅当")).otherwise(""), F.when(F.col("l_linestatus") == "F", F.lit(" 需要作答")).otherwise(""))
     other = F.concat(F.lit("填写说明："), F.col("l_partkey").cast("string"))
-    return li.select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "N", other).otherwise(line).alias("text"))
+    return li.select("l_orderkey", "l_linenumber", *keep, F.when(F.col("l_returnflag") == "N", other).otherwise(line).alias("text"))
 
 
 @query("dependency_table", """SELECT l_orderkey, l_linenumber, '关联题目：' || CASE WHEN l_returnflag = 'R' THEN '前' ELSE '第' || l_linenumber END || '题 选项' || l_suppkey || '、选项 '

@@ -15,7 +15,7 @@ from surveyloom import queries as registry  # noqa: E402
 registry.load_all()
 SF = "/root/testdata/sf0.001"
 # built and compared with a pairwise check in test_matching
-ITERATIVE = {"auto_merge_groups", "auto_merge_pairs", "review_candidates", "reviewer_merges", "group_level_merges", "group_level_review"}
+ITERATIVE = {"group_level_review"}
 
 
 @pytest.fixture(scope="module")

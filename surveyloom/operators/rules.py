@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from surveyloom.functions.text import blank_to_null
+from surveyloom.session import cut_lineage
 
 SCOPE_FIELDS = ["school", "region", "role", "subject", "grade", "semester"]
 
@@ -45,22 +45,26 @@ def parse_report_rules(rules: DataFrame, json_fields=("filter_scope_json", "writ
 
 
 def apply_scopes(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Rows with every rule whose scope they meet, in one pass over the rows.
-    The rule table is a small hand-written list, read once as a scalar subquery;
-    each row keeps the rules it meets by an array filter, without any join."""
-    listed = rules.select(F.struct("report_rule_id", "scope").alias("r")).agg(F.collect_list("r").alias("_rules")).scalar()
-    meets = lambda r: _meets(r["scope"], rows.columns)
-    return rows.withColumn("_rules", listed).withColumn("_rule", F.explode(F.filter("_rules", meets))).select(
-        F.col("_rule.report_rule_id").alias("report_rule_id"), *rows.columns)
+    """Rows with every rule whose scope they meet, by an index from (field, value) to rules.
 
-
-def _meets(scope: Column, columns) -> Column:
-    condition = F.lit(True)
-    for f in SCOPE_FIELDS:
-        if f in columns:
-            value = F.coalesce(F.col(f).cast("string"), F.lit(""))
-            condition = condition & (scope[f].isNull() | F.coalesce(F.array_contains(scope[f], value), F.lit(False)))
-        # a field the rows do not have counts as blank, as an absent value does
-        else:
-            condition = condition & scope[f].isNull()
-    return condition
+    Rows of equal scope values meet the same rules, so only the distinct combinations of
+    them look into the index: a combination offers its six values, each finds the rules
+    that allow it, and a rule is met when all fields it names are. A rule that names
+    none stands under a mark that every combination offers. No row ever holds the
+    rules, and their number may grow with the data. A field the rows do not have counts
+    as blank, as an absent value does; so does NULL."""
+    at = [F.coalesce(F.col(f).cast("string"), F.lit("")) if f in rows.columns else F.lit("") for f in SCOPE_FIELDS]
+    keyed = rows.withColumn("_scope", F.array(*at))
+    combinations = cut_lineage(keyed.select("_scope").distinct().withColumn("_of", F.monotonically_increasing_id()))
+    named = rules.select(F.monotonically_increasing_id().alias("_rule"), "report_rule_id", "scope")
+    limits = F.filter(F.array(*[F.struct(F.lit(i).alias("field"), F.col("scope")[f].alias("values")) for i, f in enumerate(SCOPE_FIELDS)]),
+                      lambda x: x["values"].isNotNull())
+    free = F.array(F.struct(F.lit(-1).alias("field"), F.array(F.lit("")).alias("values")))
+    listed = cut_lineage(named.select("_rule", "report_rule_id", F.when(F.size(limits) > 0, limits).otherwise(free).alias("limits")))
+    index = listed.select("_rule", F.size("limits").alias("_all"), F.explode("limits").alias("limit")).select(
+        "_rule", "_all", "limit.field", F.explode(F.array_distinct("limit.values")).alias("value"))
+    offered = combinations.select("_of", F.posexplode(F.concat("_scope", F.array(F.lit("")))).alias("place", "value")).select(
+        "_of", F.when(F.col("place") == len(SCOPE_FIELDS), -1).otherwise(F.col("place")).alias("field"), "value")
+    met = offered.join(index, ["field", "value"]).groupBy("_of", "_rule", "_all").agg(F.count(F.lit(1)).alias("_met")).filter("_met = _all")
+    rules_of = cut_lineage(met.join(listed.select("_rule", "report_rule_id"), "_rule").join(combinations, "_of").select("_scope", "report_rule_id"))
+    return keyed.join(rules_of, "_scope").select("report_rule_id", *rows.columns)

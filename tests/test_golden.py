@@ -303,3 +303,25 @@ def test_all_white_space_is_trimmed(spark):
 def test_compaction_is_the_same_for_plain_and_other_texts(spark):
     got = one(spark, *[text.compact_text(F.lit(v)) for v in (" a\t b\n", "ＡＢ　c", "", "①")], text.compact_text(F.lit(None).cast("string")))
     assert got == ("a b", "AB c", "", "1", "")
+
+
+def test_ten_thousand_rules_meet_as_by_plain_looks(spark):
+    import random
+
+    from surveyloom.operators.rules import SCOPE_FIELDS, apply_scopes
+    rng = random.Random(6)
+    value = lambda f: rng.choice(["", *(f"{f}{k}" for k in range(8))])
+    facts = [(i, *(rng.choice([None, value(f)]) if f == "grade" else value(f) for f in SCOPE_FIELDS)) for i in range(300)]
+    facts += [facts[0]] * 50
+    scopes = [{f: [value(f) for _ in range(rng.randrange(1, 4))] for f in rng.sample(SCOPE_FIELDS, rng.choice([0, 1, 2, 3, 6] if k % 50 == 0 else [3, 4, 6]))}
+              for k in range(10_000)]
+    names = ", ".join(f"{f} string" for f in SCOPE_FIELDS)
+    rules = spark.createDataFrame([(f"r{k}", tuple(s.get(f) for f in SCOPE_FIELDS)) for k, s in enumerate(scopes)],
+                                  "report_rule_id string, scope struct<" + ", ".join(f"{f}: array<string>" for f in SCOPE_FIELDS) + ">")
+    got = apply_scopes(spark.createDataFrame(facts, f"fact bigint, {names}"), rules)
+    want = sorted((f"r{k}", r[0]) for r in facts for k, s in enumerate(scopes)
+                  if all((r[1 + i] or "") in s[f] for i, f in enumerate(SCOPE_FIELDS) if f in s))
+    assert sorted((r["report_rule_id"], r["fact"]) for r in got.collect()) == want and len(want) > 10_000
+    without = apply_scopes(spark.createDataFrame([(1, "x")], "fact bigint, note string"), rules)
+    assert {r["report_rule_id"] for r in without.collect()} == {f"r{k}" for k, s in enumerate(scopes) if all("" in v for v in s.values())}
+    assert apply_scopes(spark.createDataFrame(facts[:0], f"fact bigint, {names}"), rules).count() == 0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from surveyloom.operators import answers
 from surveyloom.queries import query
 from surveyloom.queries import bindings as B
+from surveyloom.session import cut_lineage
 from surveyloom.sources import cells as C
 from surveyloom.sources.local import small_table
 
@@ -98,6 +99,12 @@ def clean(spark, sf):
     return C.clean_cells(cells(spark, sf))
 
 
+def stored(spark, sf):
+    """The clean cells as a table: the sheets' headers, titles and rows are all read from it,
+    and none of the reads makes the cells anew."""
+    return cut_lineage(clean(spark, sf))
+
+
 FILE_SQL = "'[课程监测][' || r_name || '学科课程实施情况表（学生）][2024下][F' || r_regionkey || '].xlsx'"
 PEOPLE_SQL = f"""files AS (SELECT r_regionkey, r_name, {FILE_SQL} AS source_file FROM region),
 places AS (SELECT * FROM nation JOIN files ON n_regionkey = r_regionkey),
@@ -144,7 +151,7 @@ ROWS_SQL = f"""{PEOPLE_SQL}, answer_rows AS (
 SELECT source_file, question_no, question_no AS source_sheet, source_row_index, value AS field_value, user_id, school,
        region, grade, field_id, dimension_id, status FROM answer_rows""")
 def split_to_facts(spark, sf):
-    rows = answers.split_rows(clean(spark, sf))
+    rows = answers.split_rows(stored(spark, sf))
     return rows.select(
         "source_file", "question_no", "source_sheet", "source_row_index", C.cell("字段取值").alias("field_value"),
         C.cell("用户维度").alias("user_id"), C.cell("学校维度").alias("school"), C.cell("区域维度").alias("region"),
@@ -188,7 +195,7 @@ def mapping(spark, sf):
 
 
 def facts(spark, sf):
-    raw = clean(spark, sf)
+    raw = stored(spark, sf)
     titles, _ = answers.parse_titles(raw.select("source_file").distinct())
     return answers.build_facts(answers.split_rows(raw), titles, mapping(spark, sf), answers.components_of(raw))
 
@@ -253,14 +260,14 @@ def unmatched_checks(spark, sf):
 
 @query("component_build", f"""WITH {PEOPLE_SQL}, {COMPONENTS_SQL} SELECT * EXCLUDE (r_name, r_regionkey) FROM components""")
 def component_build(spark, sf):
-    return answers.components_of(clean(spark, sf)).drop("ord")
+    return answers.components_of(stored(spark, sf)).drop("ord")
 
 
 @query("component_lookup", FACTS_SQL + """
 SELECT source_file, question_no, source_row_index, cid AS answer_component_id, ctype AS answer_component_type,
        clabel AS answer_component_label FROM facts""")
 def component_lookup(spark, sf):
-    raw = clean(spark, sf)
+    raw = stored(spark, sf)
     rows = answers.split_rows(raw).withColumns({
         "row_field_id": C.cell("字段id"), "row_dimension_id": C.cell("维度id")})
     found = answers.match_components(rows, answers.components_of(raw))
@@ -290,7 +297,7 @@ def question_table(spark, sf):
 SELECT 'warning' AS severity, 'title_metadata_conflict' AS issue, source_file, 'semester' AS field,
        '2024下' AS filename_value, '2024上' AS front_page_value, false AS blocking FROM files WHERE r_regionkey >= 2""")
 def title_conflicts(spark, sf):
-    raw = clean(spark, sf)
+    raw = stored(spark, sf)
     titles, _ = answers.parse_titles(raw.select("source_file").distinct())
     page = lambda k: F.coalesce(F.try_element_at("front_page", F.lit(k)), F.lit(""))
     pages = C.front_page_maps(raw).select(

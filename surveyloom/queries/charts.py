@@ -140,7 +140,7 @@ def quality_rollup(spark, sf):
     from surveyloom.operators.questions import missing_components
     from surveyloom.queries.question_forms import document_questions
     facts = answer_ingest.facts(spark, sf)
-    raw = answer_ingest.clean(spark, sf)
+    raw = answer_ingest.stored(spark, sf)
     _, title_checks = A.parse_titles(raw.select("source_file").distinct())
     _, indicator_issues = indicators.parse_rules(B.rules(spark))
     _, report_issues = rule_ops.parse_report_rules(report_rules(spark))

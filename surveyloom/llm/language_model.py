@@ -23,8 +23,8 @@ KNOWN = 50_000          # frequent words whose counts travel with the model (a f
 HIDDEN = 24
 WINDOW = 32             # steps of truncated backpropagation, and of scoring before the state is carried on
 STREAMS, MOST_STREAMS, PASSES, RATE = 48, 256, 2, 0.02
-SHARE = 1_000_000       # training tokens that make one more task worth while; less of them in all are passed up to three times
-PARTS = 8               # the training rows of every task are dealt to so many parts
+SHARE = 1_000_000       # training tokens that make one more task worth while
+PARTS = 8               # the training rows are dealt to so many parts, by a hash of the row
 ROUNDS = ((0,), (1,), (2, 3), (4, 5), (6, 7))  # parts read between two averages of the tasks' networks; every part once
 FLUSH = 300_000
 
@@ -296,27 +296,20 @@ def train(network: Network, texts: list[np.ndarray], passes: int = PASSES) -> li
 
 
 def _symbols(batches: Iterator[pa.RecordBatch], words: Vocabulary) -> Iterator[pa.RecordBatch]:
-    row = 0
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array((np.arange(batch.num_rows) + row) % PARTS, pa.int32()), pa.array([np.array(
-            [words.symbol(w) for w in tokens_of(t.as_py())], "<u2").tobytes() for t in batch.column(0)], pa.binary())], ["part", "symbols"])
-        row += batch.num_rows
+        yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array([np.array(
+            [words.symbol(w) for w in tokens_of(t.as_py())], "<u2").tobytes() for t in batch.column("text")], pa.binary())], ["hash", "symbols"])
 
 
-def _fitted(batches: Iterator[pa.RecordBatch], counts: np.ndarray, state: bytes | None, updates: int, passes: int,
+def _fitted(batches: Iterator[pa.RecordBatch], counts: np.ndarray, state: bytes | None, updates: int,
             begin: float, end: float, share: float) -> Iterator[pa.RecordBatch]:
-    """The state behind this task's rows, weighed by their tokens. One pass holds a chunk of tokens at a time."""
+    """The state behind this task's rows, weighed by their tokens; a chunk of tokens is held at a time."""
     network = Network(counts)
     network.p = {k: v.astype(np.float32) for k, v in network.p.items()}
     fitting = Fitting(network, state, updates)
     streams = int(min(max(share // (1000 * WINDOW), STREAMS), MOST_STREAMS))
-    texts = (np.frombuffer(s, "<u2") for b in batches for s in b.column("symbols").to_pylist())
-    if passes > 1:  # fewer than SHARE tokens in all
-        texts = sorted(texts, key=lambda t: (zlib.crc32(t.tobytes()), t.tobytes()))
-    tokens = 0
-    for turn in range(passes):
-        of = lambda k: begin + (end - begin) * k / passes
-        tokens += _passed(fitting, texts, streams, of(turn), of(turn + 1), share)[0]
+    texts = (np.frombuffer(s.as_py(), "<u2") for b in batches for s in b.column("symbols"))
+    tokens = _passed(fitting, texts, streams, begin, end, share)[0]
     if tokens:
         yield _states(tokens, fitting.updates, fitting.state())
 
@@ -327,35 +320,43 @@ def _states(tokens: int, updates: int, state: bytes) -> pa.RecordBatch:
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = sorted((r["tokens"], r["updates"], r["state"]) for b in batches for r in b.to_pylist())
-    if rows:
-        total = sum(r[0] for r in rows)
-        mean = sum(r[0] / total * np.frombuffer(r[2], "<f4").astype(float) for r in rows)
-        yield _states(total, max(r[1] for r in rows), mean.astype("<f4").tobytes())
+    """The mean of the states by their tokens, added up one by one in the order they are sorted in."""
+    total, updates, mean = 0, 0, 0.0
+    for batch in batches:
+        for tokens, n, state in zip(*(batch.column(k) for k in range(3))):
+            total, updates = total + tokens.as_py(), max(updates, n.as_py())
+            mean = mean + tokens.as_py() * np.frombuffer(state.as_py(), "<f4").astype(float)
+    if total:
+        yield _states(total, updates, (mean / total).astype("<f4").tobytes())
 
 
 def fit(docs: DataFrame, words: Vocabulary) -> Network:
-    """The network, trained on every token of all training rows.
-
-    Each task fits its own rows from the common state; the tasks' states (about 1 MB
-    each) are averaged by their tokens, first in groups and then over the groups,
-    and the next round goes on from there. The tasks grow with the input; none gets
-    rows by a key, so copies and repeated ids stay where they are stored."""
-    training = docs.filter(remainder(F.col("doc_id"), 7) != 2).select(F.col("text").cast("binary").alias("text"))
-    symbols = cut_lineage(training.mapInArrow(lambda it: _symbols(it, words), "part int, symbols binary"))
+    """The network, trained once on every token of all training rows, by one rule at every size.
+
+    Rows go to parts and tasks by a hash of id and text, and a task reads its rows in the
+    order of that hash, so neither the order nor the files of the input matter. Each
+    task fits its own rows from the common state; the tasks' states (about 1 MB each)
+    are averaged by their tokens, first in groups and then over the groups, and the
+    next round goes on from there. The tasks grow with the input. Copies of a text with
+    ids of their own spread over tasks; only rows equal in both share one."""
+    training = docs.filter(remainder(F.col("doc_id"), 7) != 2).select(
+        F.xxhash64("doc_id", "text").alias("hash"), F.col("text").cast("binary").alias("text"))
+    symbols = cut_lineage(training.mapInArrow(lambda it: _symbols(it, words), "hash bigint, symbols binary"))
     counts, form = words.symbol_counts, "tokens bigint, updates bigint, state binary"
     tasks = max(1, words.total // SHARE)
-    passes = min(3, -(-SHARE // max(1, words.total)))
     state, updates, done, read = None, 0, 0, 0
-    for parts in ROUNDS if tasks > 1 else (range(PARTS),):
+    for parts in ROUNDS:
         begin, end = done / PARTS, (done + len(parts)) / PARTS
-        rows = symbols.filter(F.col("part").isin(list(parts))).coalesce(tasks)
-        share = words.total * len(parts) / PARTS / min(tasks, rows.rdd.getNumPartitions() or 1)
-        task = partial(_fitted, counts=counts, state=state, updates=updates, passes=passes, begin=begin, end=end, share=share)
+        rows = symbols.filter(F.pmod("hash", F.lit(PARTS)).isin(list(parts))).withColumn("_task", F.xxhash64("hash"))
+        rows = rows.repartition(tasks, "_task").sortWithinPartitions("hash", "symbols").select("symbols")
+        share = words.total * len(parts) / PARTS / tasks
+        task = partial(_fitted, counts=counts, state=state, updates=updates, begin=begin, end=end, share=share)
+        order = ["tokens", F.crc32("state"), "state"]
         states = rows.mapInArrow(task, form)
         if tasks > 1:
-            states = states.repartition(int(np.ceil(np.sqrt(tasks)))).mapInArrow(_averaged, form)
-        found = states.repartition(1).mapInArrow(_averaged, form).collect()  # one row, or none
+            groups = int(np.ceil(np.sqrt(tasks)))
+            states = states.repartition(groups, F.crc32("state")).sortWithinPartitions(*order).mapInArrow(_averaged, form)
+        found = states.repartition(1).sortWithinPartitions(*order).mapInArrow(_averaged, form).collect()  # one row, or none
         if found:
             state, updates = bytes(found[0]["state"]), found[0]["updates"]
             read += found[0]["tokens"]
@@ -363,7 +364,7 @@ def fit(docs: DataFrame, words: Vocabulary) -> Network:
     network = Network(counts)
     network.p = {k: v.astype(np.float32) for k, v in network.p.items()}
     network = Fitting(network, state).network
-    network.read = read  # tokens it learned from, over all passes
+    network.read = read  # tokens it learned from
     return network
 
 

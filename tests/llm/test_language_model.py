@@ -122,3 +122,12 @@ def test_chunks_hold_every_token_once():
     network.gradients = lambda x, y, f, h: seen.append(y.size) or known(x, y, f, h)
     lm.train(network, texts, passes=1)
     assert sum(seen) == sum(map(len, texts))
+
+
+def test_the_model_does_not_depend_on_files_or_order(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARE", 12_000)  # several tasks
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    words = lm.vocabulary(lm.corpus_counts(docs))
+    assert words.total // lm.SHARE >= 3
+    one, other = lm.fit(docs, words), lm.fit(docs.orderBy(docs.text.desc()).repartition(7), words)
+    assert one.read == other.read == words.total and all(np.array_equal(one.p[k], other.p[k]) for k in one.p)

@@ -204,6 +204,19 @@ def subject_from_title(title: Column, noise: Sequence[str] = V.TITLE_NOISE) -> C
     return F.when(subject != "", subject).when(school_only, F.lit("学校")).otherwise(title)
 
 
+def heading_parts(heading: Column, name: Column) -> Column:
+    """(subject, role) of a form's first line; a blank line is read as the form's ``name``,
+    which also stands for a subject that nothing is left of. Phrases are taken out in
+    their order, then role words and brackets, then a closing ``学科``."""
+    own = compact_text(heading)
+    shown = F.when(own != "", own).otherwise(name)
+    role = role_from_title(shown, V.HEADING_ROLES)
+    left = strip(replace_all(shown, [(p, "") for p in (*V.HEADING_PHRASES, *V.HEADING_TOKENS)]))
+    left = strip(F.regexp_replace(left, "学科$", ""))
+    subject = canonical_subject(compact_text(F.when(left != "", left).otherwise(name)))
+    return F.struct(subject.alias("subject"), F.when((subject == "学校") & (role == ""), "学校").otherwise(role).alias("role"))
+
+
 def canonical_subject(c: Column) -> Column:
     case = c
     for alias, subject in V.SUBJECT_ALIASES.items():

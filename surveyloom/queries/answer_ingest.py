@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from surveyloom.functions import text
 from surveyloom.operators import answers
 from surveyloom.queries import query
 from surveyloom.queries import bindings as B
@@ -318,6 +319,28 @@ def title_parts(spark, sf):
     return good.unionByName(bad)
 
 
+#: Subject word of a form by market segment; others stand for themselves.
+FORM_SUBJECTS = {"AUTOMOBILE": "生物", "BUILDING": "数学", "FURNITURE": "体育与健康", "MACHINERY": "学校"}
+_SUBJECT_SQL = "CASE c_mktsegment " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FORM_SUBJECTS.items()) + " ELSE c_mktsegment END"
+
+
+@query("heading_subjects", f"""WITH h AS (SELECT c_custkey, c_name, n_regionkey AS r, {_SUBJECT_SQL} AS s FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT c_custkey, CASE WHEN r = 4 OR s = '学校' THEN c_name WHEN s = '生物' THEN '生物学' ELSE s END AS subject,
+  CASE r WHEN 0 THEN '学生' WHEN 1 THEN '教师' WHEN 2 THEN '教研组' WHEN 3 THEN CASE WHEN s = '学校' THEN '学校' ELSE '' END ELSE '' END AS role FROM h""")
+def heading_subjects(spark, sf):
+    """Customers as forms whose first line names subject and role in the wording of their region; one region's are blank."""
+    segment = F.col("c_mktsegment")
+    subject = segment
+    for k, v in FORM_SUBJECTS.items():
+        subject = F.when(segment == k, F.lit(v)).otherwise(subject)
+    wordings = ["高中{}学科课程实施与教材使用情况表（学生）", " {}教师课程实施与教材使用情况表", "{}教研组课程实施与教材使用情况表", "{}学科课程实施情况表 ", " 　"]
+    heading = F.lit(None).cast("string")
+    for region, words in enumerate(wordings):
+        heading = F.when(F.col("n_regionkey") == region, F.replace(F.lit(words), F.lit("{}"), subject)).otherwise(heading)
+    forms = B.table(spark, sf, "customer").join(B.table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return forms.select("c_custkey", text.heading_parts(heading, F.col("c_name")).alias("_h")).select("c_custkey", "_h.*")
+
+
 @query("two_source_full_join", """
 SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.lang, d.n_chars, l.quality AS quality_label,
        CASE WHEN d.doc_id IS NOT NULL THEN d.n_chars % 2 END AS quality_text, l.toxic,

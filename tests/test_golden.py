@@ -325,3 +325,13 @@ def test_ten_thousand_rules_meet_as_by_plain_looks(spark):
     without = apply_scopes(spark.createDataFrame([(1, "x")], "fact bigint, note string"), rules)
     assert {r["report_rule_id"] for r in without.collect()} == {f"r{k}" for k, s in enumerate(scopes) if all("" in v for v in s.values())}
     assert apply_scopes(spark.createDataFrame(facts[:0], f"fact bigint, {names}"), rules).count() == 0
+
+
+def test_headings_name_subject_and_role(spark):
+    from surveyloom.functions import text
+    lines = [("数学学科课程实施与教材使用情况表（学生）", "数学", "学生"), ("体育与健康学科课程实施与教材使用情况表（学生）", "体育与健康", "学生"),
+             ("高中生物教师课程实施与教材使用情况表", "生物学", "教师"), ("学校", "form", "学校"), (" ", "form", ""), (None, "form", ""),
+             ("历史学科", "历史", ""), ("语文教研组教师", "语文", "教师")]
+    got = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(lines)], "i int, t string").select(
+        "i", text.heading_parts(F.col("t"), F.lit("form")).alias("h")).orderBy("i").collect()
+    assert [(r["h"]["subject"], r["h"]["role"]) for r in got] == [x[1:] for x in lines]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
@@ -23,16 +23,28 @@ IMPLIED = {"li": (("li",), ("ul", "ol")), "dt": (("dt", "dd"), ("dl",)), "dd": (
            "tr": (("tr", "td", "th", "caption"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
            "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",)),
            "thead": (("caption",), ("table",)), "option": (("option",), ("select",)), "body": (("head",), ())}
-_HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+APART = frozenset("option optgroup button".split())  # inline, but never run together with what is beside them
+MOST_COLUMNS, MOST_ROWS = 1000, 65534  # of a cell's span, as HTML limits them
+_GONE = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _COMMENT_END = re.compile("--!?>")
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "parts", "hidden", "start")
+    """hidden: gone with all it holds. unseen, pre: of its own text, handed down. closed: a
+    details element that shows its first summary only."""
 
-    def __init__(self, name: str, hidden: bool = False, start: int = 1):
-        self.name, self.parts, self.hidden, self.start = name, [], hidden, start
+    __slots__ = ("name", "parts", "hidden", "start", "unseen", "pre", "closed", "columns", "rows")
+
+    def __init__(self, name: str, hidden: bool = False, start: int = 1, unseen: bool = False, pre: bool = False, closed: bool = False,
+                 columns: int = 1, rows: int = 1):
+        self.name, self.parts, self.hidden, self.start, self.unseen, self.pre = name, [], hidden, start, unseen, pre
+        self.closed, self.columns, self.rows = closed, columns, rows
+
+
+def _number(text: str | None, pattern: str, other: int) -> int:
+    return int(text) if re.fullmatch(pattern, text or "") else other
 
 
 class TreeBuilder(HTMLParser):
@@ -53,11 +65,17 @@ class TreeBuilder(HTMLParser):
         closes, stops = IMPLIED.get(tag, ((), ()))
         if closes:
             self._close(closes, stops)
-        start = given.get("start") or ""
-        hidden = tag in UNSEEN or "hidden" in given or bool(_HIDDEN.search(given.get("style") or "")) or (
+        style, over = given.get("style") or "", self.open[-1]
+        hidden = tag in UNSEEN or "hidden" in given or bool(_GONE.search(style)) or (tag == "dialog" and "open" not in given) or (
             tag == "input" and (given.get("type") or "").lower() == "hidden")
-        node = Node(tag, hidden, int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1)
-        self.open[-1].parts.append(node)
+        if over.closed and (tag != "summary" or any(not isinstance(p, str) and p.name == "summary" for p in over.parts)):
+            hidden = True
+        said = _VISIBILITY.findall(style)
+        node = Node(tag, hidden, _number(given.get("start"), "-?[0-9]{1,9}", 1), said[-1].lower() != "visible" if said else over.unseen,
+                    over.pre or tag == "pre", tag == "details" and "open" not in given,
+                    min(max(_number(given.get("colspan"), "[0-9]{1,9}", 1), 1), MOST_COLUMNS),
+                    min(_number(given.get("rowspan"), "[0-9]{1,9}", 1), MOST_ROWS))
+        over.parts.append(node)
         if tag not in VOID:
             self.places[tag].append(len(self.open))
             self.open.append(node)
@@ -94,7 +112,8 @@ class TreeBuilder(HTMLParser):
         return found.end() if found else len(self.rawdata)
 
     def handle_data(self, data):
-        self.open[-1].parts.append(data)
+        if not (self.open[-1].unseen or self.open[-1].closed):
+            self.open[-1].parts.append(data)
 
 
 def _width(text: str) -> int:
@@ -119,7 +138,7 @@ def _lines(node: Node, out: list[str]) -> Generator:
     """Adds the node's lines to ``out``; an empty line separates spaced blocks."""
     base = len(out)
     run: list[str] = []
-    pre = node.name == "pre"
+    pre = node.pre
 
     def flush():
         text = "".join(run)
@@ -162,6 +181,8 @@ def _lines(node: Node, out: list[str]) -> Generator:
                 del out[mark:]
             elif part.name in SPACED:
                 out.append("")
+        elif part.name in APART:
+            walks.append(iter([" ", *part.parts, " "]))
         else:
             walks.append(iter(part.parts))
     flush()
@@ -170,8 +191,11 @@ def _lines(node: Node, out: list[str]) -> Generator:
 
 
 def _table(node: Node) -> Generator:
-    """Rows of cells under one another, columns as wide as their widest cell."""
+    """Rows of cells under one another. A cell begins where its column does, below whatever
+    cell of an earlier row spans it; a column begins behind the widest cell that ends
+    before it."""
     out, rows = [], []
+    above: list[tuple[int, int, int]] = []  # (first column, end, rows to come) of cells that reach into the next row
     walks = [iter(node.parts)]
     while walks:
         x = next(walks[-1], None)
@@ -184,30 +208,55 @@ def _table(node: Node) -> Generator:
             continue
         elif x.name == "tr":
             loose = " ".join(_BLANKS.sub(" ", c).strip(" ") for c in x.parts if isinstance(c, str) and c.strip())
-            row = [loose] if loose else []
+            row, at, taken = [(0, 1, loose)] if loose else [], 1 if loose else 0, iter(above)
+            below = [(a, e, n - 1) for a, e, n in above if n > 1]
+            barrier = next(taken, None)
             for c in x.parts:
-                if not isinstance(c, str) and not c.hidden:
-                    cell: list[str] = []
-                    yield _lines(_wrapped(c), cell)
-                    row.append(" ".join(t.strip() for t in cell if t))
+                if isinstance(c, str) or c.hidden:
+                    continue
+                cell: list[str] = []
+                yield _lines(_wrapped(c), cell)
+                while barrier and barrier[0] <= at:
+                    at, barrier = max(at, barrier[1]), next(taken, None)
+                row.append((at, at + c.columns, " ".join(t.strip() for t in cell if t)))
+                if c.rows != 1:
+                    below.append((at, at + c.columns, c.rows - 1 if c.rows else MOST_ROWS))
+                at += c.columns
             rows.append(row)
+            above = sorted(below)
         elif x.name in ("thead", "tbody", "tfoot"):
             walks.append(iter(x.parts))
+            above = []
         else:
             lines: list[str] = []
             yield _lines(_wrapped(x), lines)
             out.extend(lines)
-    widths: list[int] = []
+    starts = sorted({a for row in rows for a, _, _ in row})
+    cells: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for row in rows:
+        for a, e, text in row:
+            cells[a].append((bisect_left(starts, e), _width(text)))
+    place = [0] * (len(starts) + 1)
+    for k, a in enumerate(starts):
+        for then, wide in cells[a]:
+            place[then] = max(place[then], place[k] + wide + 2)
+        place[k + 1] = max(place[k + 1], place[k])
+    of = dict(zip(starts, place))
     for row in rows:
-        for k, cell in enumerate(row):
-            widths[k:k + 1] = [max(_width(cell), widths[k] if k < len(widths) else 0)]
-    return out + [x for row in rows if (x := "  ".join(c + " " * (widths[k] - _width(c)) for k, c in enumerate(row)).rstrip())]
+        line, wide = [], 0
+        for a, _, text in row:
+            line.append(" " * (of[a] - wide) + text)
+            wide = max(of[a], wide) + _width(text)
+        shown = "".join(line).rstrip()
+        if shown:
+            out.append(shown)
+    return out
 
 
 def _wrapped(part: Node) -> Node:
     if part.name in ("td", "th", "caption"):
         return part
-    box = Node("div")
+    box = Node("div", pre=part.pre)
     box.parts.append(part)
     return box
 

@@ -1,5 +1,8 @@
 """Rendered pages against written-out results."""
 
+import random
+import re
+
 import pytest
 
 from surveyloom.llm import html_text as H
@@ -18,6 +21,54 @@ def test_layout(html, want):
     assert H.visible_text(html) == want
 
 
+@pytest.mark.parametrize("html,want", [
+    ("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>", "ab    c\n1  2  3"),
+    ("<table><tr><td rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f</table>", "ab  c\n    d\ne   f"),
+    ("<table><tr><td colspan=2>a long one<td>c<tr><td>1<td>2<td>3</table>", "a long one  c\n1  2        3"),
+    ("<table><tr><td rowspan=0>x<td>y<tr><td>z<tr><td>w</table>", "x  y\n   z\n   w"),
+    ("<table><tr><td colspan=x rowspan=-1>a<td>b</table>", "a  b"),
+    ("<pre><div>a\n   b</div></pre>", "a\n   b"), ("<pre>x <b>y\n  z</b></pre>", "x y\n  z"),
+    ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</div>d", "b\nd"),
+    ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+    ("<details>no<summary>s</summary>no<p>no<summary>no</summary></details><details open><summary>t</summary>u</details>", "s\nt\nu"),
+    ("<select><option>a<option>b</select><button>c</button><button>d</button>", "a b c d"),
+    ("<table>" + "<tr><td colspan=1000>a<td colspan=1000>b" * 3 + "</table>", "a  b\na  b\na  b"),
+])
+def test_spans_visibility_and_spacing(html, want):
+    assert H.visible_text(html) == want
+
+
+def cells_of(rows):
+    """Text of every grid place, by walking the grid place by place."""
+    grid = {}
+    for y, row in enumerate(rows):
+        x = 0
+        for text, columns, down in row:
+            while (y, x) in grid:
+                x += 1
+            for k in range(columns):
+                for d in range(down):
+                    grid.setdefault((y + d, x + k), (y, x, text))
+            x += columns
+    return grid
+
+
+def test_columns_are_aligned_on_random_tables():
+    rng = random.Random(3)
+    for _ in range(300):
+        rows = [[("x" * rng.randrange(1, 6), rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 2])) for _ in range(rng.randrange(1, 5))]
+                for _ in range(rng.randrange(1, 6))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={c} rowspan={d}>{t}" for t, c, d in row) for row in rows) + "</table>"
+        lines = H.visible_text(html).split("\n")
+        begins = {}  # column → the place where its cells begin
+        for y, row in enumerate(rows):
+            own = sorted(x for (a, b), (ty, tx, _) in cells_of(rows).items() if (ty, tx) == (a, b) and a == y for x in [b])
+            at = [m.start() for m in re.finditer("x+", lines[y])]
+            assert len(at) == len(row) == len(own)
+            for x, place in zip(own, at):
+                assert begins.setdefault(x, place) == place, html
+
+
 def test_deep_and_long_pages():
     assert H.visible_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
     assert H.visible_text("<p>word</p>" * 20000).count("word") == 20000

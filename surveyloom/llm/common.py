@@ -48,7 +48,8 @@ def joined_to(rows: DataFrame, side: DataFrame, key: str) -> DataFrame:
 def in_block_pairs(rows: DataFrame, keys: list[str], spread: str, block_rows: int) -> DataFrame:
     """Deal the rows of every group to pairs of blocks (_x <= _y) of about
     ``block_rows`` rows, so that any two rows of a group meet in exactly one pair
-    and no task holds a whole hot group. ``_block`` is a row's own block."""
+    and no task holds a whole hot group. ``_block`` is a row's own block. Rows with a null
+    key are in no group and fall into one block."""
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > block_rows)
     blocks = F.coalesce(F.ceil(F.col("_n") / block_rows), F.lit(1)).cast("int")
     dealt = (

@@ -145,7 +145,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows
     without label or id, link with nothing (a null id has a null component and is not
-    kept). Rows that share an id are one node."""
+    kept). Rows that share an id are one node and get a row each; other columns are not
+    read, an empty table gives no row."""
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     raw = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("string").alias("label"), raw.alias("x"))

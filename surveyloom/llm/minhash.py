@@ -193,8 +193,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     pair of a bucket is decided or known to be joined, without listing the pairs.
 
     Texts without words, null texts and rows without doc_id link with nothing (a null
-    id has a null component and is not kept). Rows that share a doc_id are one node.
-    Bands need 0.8 or more to find nearly all pairs."""
+    id has a null component and is not kept). Rows that share a doc_id are one node and
+    get a row each; other columns are not read, an empty table gives no row. Bands need
+    0.8 or more to find nearly all pairs."""
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     signed = cut_lineage(source.mapInArrow(
         lambda it: _signed(it, shingle_words), "doc_id bigint, n_shingles bigint, digest binary, sign binary"))
@@ -242,6 +243,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
 
 
 def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its group, with all columns."""
+    """The rows of ``docs`` whose document is the least of its group, with all columns.
+
+    A text without words is a group of its own and stays. Rows without doc_id cannot be
+    told apart by it and go; all rows of a kept doc_id stay, repeated ones too. An empty
+    table stays empty."""
     kept = cut_lineage(near_duplicates(docs, shingle_words, percent).filter("kept").select("doc_id").distinct())
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)

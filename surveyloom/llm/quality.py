@@ -136,6 +136,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns. Null ids are judged
+    like any other, null and empty texts go with the base rules, repeated rows stay or go
+    together; an empty table stays empty."""
     at = _judged(docs, docs.columns).filter("kept")
     return at.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

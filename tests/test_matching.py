@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from surveyloom.operators import graph, matching as M, questions as Q
+from surveyloom.operators import graph, matching as M, questions as Q, similarity
 from surveyloom.session import cut_lineage
 
 OPENINGS = ["学校是否按照国家课程方案的要求安排课程并且落实日常管理制度以及质量监测与反馈改进机制的具体做法",
@@ -284,3 +284,20 @@ def test_reviewer_merges_follow_row_order(spark):
     assert {r.row_no: r.status for r in audit.collect()} == expected
     moved = [(r.node, r.group) for r in groups.collect()]
     assert partition(moved) == partition((n, g) for n, g in group.items() if n in dict(moved))
+
+
+def test_sides_that_grow_are_never_broadcast(spark, capsys):
+    """Stored n-grams are coded far smaller than their rows: their files must not pass for
+    a small join side that the driver builds as a whole."""
+    texts = [(i, "教师|单选题", opening + "甲乙丙丁戊己庚辛"[i % 8]) for i, opening in enumerate(OPENINGS * 40)]
+    units = spark.createDataFrame(texts, "unit bigint, block string, text string")
+    grams = cut_lineage(similarity.gram_counts(units))
+    pairs = cut_lineage(similarity.gram_candidates(units, similarity.gram_prefixes(grams, 0.9), 0.9, None))
+    capsys.readouterr()
+    similarity.gram_candidates(units, similarity.gram_prefixes(grams, 0.9), 0.9, None).explain()
+    similarity.cosines(pairs, grams, similarity.norms_of(grams)).explain()
+    counts = cut_lineage(units.select(F.col("unit").alias("idx"), F.lit("option").alias("component_type"), F.col("text").alias("label_key"),
+                                      F.lit(1).cast("bigint").alias("n")))
+    Q.multiset_deltas(pairs.select(F.col("unit_a").alias("idx_a"), F.col("unit_b").alias("idx_b")), counts).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

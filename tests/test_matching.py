@@ -301,3 +301,20 @@ def test_sides_that_grow_are_never_broadcast(spark, capsys):
     Q.multiset_deltas(pairs.select(F.col("unit_a").alias("idx_a"), F.col("unit_b").alias("idx_b")), counts).explain()
     plan = capsys.readouterr().out
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_labels_are_ranked_in_one_pass_and_compared_by_digest(spark, capsys):
+    rows = [(1, "option", "是", 1), (1, "option", "否", 2), (1, "option", "否", 3), (1, "option", "", 4),
+            (2, "option", "否", 1), (2, "option", "是", 1), (2, "option", "也许", 2), (3, "option", "是", 1), (3, "option", "否", 2), (3, "option", "否", 3)]
+    labelled = Q.with_labels(spark.createDataFrame(rows, "idx bigint, component_type string, component_label string, option_order bigint"))
+    hashed = Q.hashed_labels(labelled)
+    assert {len(r.label_key) for r in hashed.collect()} == {32}
+    capsys.readouterr()
+    Q.signatures(labelled).explain()
+    assert "Join" not in capsys.readouterr().out
+    for form in (labelled, hashed):
+        signs = {r.idx: (r.signature, r.signature_size) for r in Q.signatures(form).collect()}
+        assert signs[1] == signs[3] != signs[2] and signs[1][1] == 3
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "idx_a bigint, idx_b bigint")
+    found = [Q.delta_texts(Q.multiset_deltas(pairs, Q.label_counts(form)), form).collect() for form in (labelled, hashed)]
+    assert found[0] == found[1] and [tuple(r) for r in found[0]] == [(1, 2, "选项: 否", "选项: 也许")]

@@ -318,3 +318,25 @@ def test_labels_are_ranked_in_one_pass_and_compared_by_digest(spark, capsys):
     pairs = spark.createDataFrame([(1, 2), (1, 3)], "idx_a bigint, idx_b bigint")
     found = [Q.delta_texts(Q.multiset_deltas(pairs, Q.label_counts(form)), form).collect() for form in (labelled, hashed)]
     assert found[0] == found[1] and [tuple(r) for r in found[0]] == [(1, 2, "选项: 否", "选项: 也许")]
+
+
+def test_merging_broadcasts_no_side_that_grows(spark, capsys, monkeypatch):
+    """Every round of merging joins groups, files and edges with each other: a broadcast of each
+    of them, in each round, is a table built whole in the driver."""
+    questions, _, _ = load(spark, 3)
+    plans = []
+
+    def kept(df):
+        capsys.readouterr()
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return cut_lineage(df)
+    for module in (graph, M):
+        monkeypatch.setattr(module, "cut_lineage", kept)
+    nodes = M.start_groups(questions)
+    near = kept(M.similar_keys(questions, 0.88))
+    groups, merge, _ = M.merge_similar(questions, near, nodes)
+    M.merge_groups(questions, kept(groups))
+    kept(M.start_marks(questions, nodes, merge))
+    assert merge.rounds > 0 and any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "BroadcastExchange" in p]

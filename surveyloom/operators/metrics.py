@@ -18,8 +18,10 @@ from surveyloom import fixed_values as V
 from surveyloom.functions import ids
 from surveyloom.functions.text import blank_to_null, first_filled
 from surveyloom.functions.values import answer_value, is_selected, parse_number
+from surveyloom.session import cut_lineage
 
 GROUP = ["role", "subject", "norm_id", "school"]
+FACT_COLUMNS = [*GROUP, "user_id", "question_type", "answer_component_label", "field_value", "raw_value", "dimension_name", "dimension_title"]
 METRIC_COLUMNS = [
     "metric_id", "metric_type", "scope_key_json", "role", "subject", "norm_id", "indicator_id",
     "category", "series", "stack", "count", "denominator", "percent", "mean", "sd", "n",
@@ -154,7 +156,9 @@ def as_metrics(rows: DataFrame, metric_type: str) -> DataFrame:
 
 def metrics_summary(facts: DataFrame, indicators: DataFrame | None = None) -> DataFrame:
     """All metric branches in one table. ``(metric_id, role, subject)`` is the
-    key: the id alone leaves out role and subject."""
+    key: the id alone leaves out role and subject. The facts are stored once in the
+    columns that the branches read, so whatever makes them runs once, not per branch."""
+    facts = cut_lineage(facts.select(*FACT_COLUMNS))
     parts = [
         as_metrics(response_count(facts), "response_count"),
         as_metrics(option_summary(facts), "option_summary"),

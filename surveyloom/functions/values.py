@@ -16,7 +16,7 @@ def parse_number(c: Column) -> Column:
     """Plain decimal numbers as DOUBLE, anything else NULL."""
     text = F.trim(c)
     value = text.try_cast("double")
-    return F.when(text.rlike(NUMBER) & ~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    return F.when(text.rlike(NUMBER) & (F.abs(value) < float("inf")), value)  # NaN is above infinity
 
 
 def answer_value(field_value: Column, raw_value: Column) -> Column:
@@ -60,7 +60,14 @@ def leading_score(c: Column) -> Column:
 
 def split_blanks(c: Column, n: int) -> list[Column]:
     """The first ``n`` numbers of a multi-blank answer."""
-    parts = F.split(c, r"\|\r\n|\|\n|\|")
+    return blank_numbers(blank_parts(c), n)
+
+
+def blank_parts(c: Column) -> Column:
+    return F.split(c, r"\|\r\n|\|\n|\|")
+
+
+def blank_numbers(parts: Column, n: int) -> list[Column]:
     return [parse_number(F.try_element_at(parts, F.lit(i + 1))) for i in range(n)]
 
 
@@ -74,12 +81,19 @@ def chosen_count(c: Column, none_label: str, other_word: str = "其他", separat
 
 def sleep_hours(wake_h: Column, wake_m: Column, bed_h: Column, bed_m: Column) -> Column:
     """Hours slept from wake and bed time on a twelve or 24 hour clock."""
+    return plausible_sleep(hours_between(wake_h, wake_m, bed_h, bed_m))
+
+
+def hours_between(wake_h: Column, wake_m: Column, bed_h: Column, bed_m: Column) -> Column:
     bed = F.when(bed_h.between(8, 11), bed_h + 12).when(bed_h == 12, F.lit(0.0)).otherwise(bed_h)
     wake_minutes = wake_h * 60 + wake_m
     minutes = F.when(bed > 17, wake_minutes + (24 - bed) * 60 - bed_m).when(
         bed < 8, wake_minutes - (bed * 60 + bed_m)
     )
-    hours = F.round(minutes / 60, 2)
+    return F.round(minutes / 60, 2)
+
+
+def plausible_sleep(hours: Column) -> Column:
     return F.when((hours > 2) & (hours < 15), hours)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surveyloom.functions.text import blank_to_null
-from surveyloom.functions.values import option_labels
+from surveyloom.functions.values import blank_numbers, blank_parts, hours_between, option_labels, plausible_sleep
 
 
 def merge_options(df: DataFrame, column: str, table: DataFrame, target: str) -> DataFrame:
@@ -51,6 +51,17 @@ def skip_logic(df: DataFrame, rules: Sequence[tuple[str, Sequence[str], str, str
     return df.withColumns(dependents)
 
 
+def sleep_durations(df: DataFrame, answer: Column, target: str) -> DataFrame:
+    """Adds the hours slept by an answer ``wake hour|minute|bed hour|minute``. Parts, numbers
+    and hours are a projection each: the formula names a number up to a hundred times,
+    and in one expression each of them would split and parse the answer again."""
+    blanks = ["_wake_h", "_wake_m", "_bed_h", "_bed_m"]
+    cut = df.withColumn("_parts", blank_parts(answer))
+    parsed = cut.withColumns(dict(zip(blanks, blank_numbers(F.col("_parts"), 4))))
+    slept = parsed.withColumn("_hours", hours_between(*[F.col(b) for b in blanks]))
+    return slept.withColumn(target, plausible_sleep(F.col("_hours"))).drop("_parts", *blanks, "_hours")
+
+
 def value_labels(index: DataFrame) -> DataFrame:
     """Label dictionary (item, label, code) of the single choice items in an item
     index (item, options, reverse). A reversed item is labelled n..1."""

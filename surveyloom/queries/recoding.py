@@ -128,8 +128,7 @@ def sleep_duration(spark, sf):
     li = B.table(spark, sf, "lineitem")
     text = F.concat_ws("|", (F.col("l_linenumber") + 3).cast("string"), F.col("l_quantity").cast("int").cast("string"),
                        (F.col("l_suppkey") % 24).cast("string"), (F.col("l_partkey") % 60).cast("string"))
-    parts = V.split_blanks(text, 4)
-    return li.select("l_orderkey", "l_linenumber", V.sleep_hours(*parts).alias("hours"))
+    return R.sleep_durations(li, text, "hours").select("l_orderkey", "l_linenumber", "hours")
 
 
 @query("bounded_numeric", """SELECT event_id, CASE WHEN value <= 24 THEN value END AS hours FROM events""")

@@ -108,7 +108,10 @@ def char_set(c: Column) -> Column:
 
 
 def char_jaccard(a: Column, b: Column) -> Column:
-    left, right = char_set(a), char_set(b)
+    return set_jaccard(char_set(a), char_set(b))
+
+
+def set_jaccard(left: Column, right: Column) -> Column:
     both = F.size(F.array_intersect(left, right))
     either = F.size(left) + F.size(right) - both
     empty = (F.size(left) == 0) | (F.size(right) == 0)

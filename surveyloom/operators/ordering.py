@@ -32,13 +32,12 @@ def running_sum(df: DataFrame, keys: Sequence[str], position: str, value: Column
     )
 
 
-def number_globally(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+def number_globally(df: DataFrame, order: Sequence[Column], name: str, keep: Sequence[str] | None = None) -> DataFrame:
     """Dense numbers 1, 2, … in global order. The rows are range-sorted and
     frozen by a checkpoint; only the row count per range passes through one
-    task, never the rows."""
-    frozen = cut_lineage(
-        df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id())
-    ).withColumn("_range", F.shiftright("_slot", 33))
+    task, never the rows. With ``keep`` only those columns are frozen."""
+    ordered = df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id())
+    frozen = cut_lineage(ordered.select(*keep, "_slot") if keep else ordered).withColumn("_range", F.shiftright("_slot", 33))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         frozen.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
@@ -53,6 +52,21 @@ def number_globally(df: DataFrame, order: Sequence[Column], name: str) -> DataFr
     )
 
 
+def sum_before(df: DataFrame, order: Sequence[Column], value: str, name: str) -> DataFrame:
+    """The sum of ``value`` over all rows before a row in global order: the number of the
+    first part of a thing that has ``value`` parts. Range-sorted and frozen as above; a
+    range adds up its own rows, only its total passes through one task."""
+    frozen = cut_lineage(
+        df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id())
+    ).withColumn("_range", F.shiftright("_slot", 33))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = frozen.groupBy("_range").agg(F.sum(value).alias("_sum")).withColumn(
+        "_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    inside = W.partitionBy("_range").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    return frozen.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(starts, "_range").withColumn(
+        name, F.col("_start") + F.col("_inside")).drop("_slot", "_range", "_start", "_inside")
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """The row of every group that comes first, as an aggregate with map-side
     combine instead of a window over the whole group."""

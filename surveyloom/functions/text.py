@@ -103,6 +103,20 @@ def char_grams(c: Column, low: int = 2, high: int = 4) -> Column:
     return F.flatten(F.transform(bound, lambda chars: F.concat(*[grams(chars, n) for n in range(low, high + 1)])))
 
 
+def gram_statistics(c: Column) -> Column:
+    """(grams, total, most, norm2) of the character n-grams of one text: distinct ones, all,
+    the highest count and the sum of squared counts. Equal grams stand together in the
+    sorted list of the text; a gram's count is the distance between two ends of runs, so
+    nothing of a text ever leaves its row."""
+    bound = F.array(F.array_sort(char_grams(c)))
+    ends = lambda grams: F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: ~F.get(grams, i).eqNullSafe(F.get(grams, i - 1)))
+    counts = lambda last: F.transform(last, lambda e, k: (e - F.coalesce(F.get(last, k - 1), F.lit(0))).cast("bigint"))
+    found = F.transform(F.filter(bound, lambda grams: F.size(grams) > 0), lambda grams: F.get(F.transform(F.array(ends(grams)), counts), F.lit(0)))
+    return F.get(F.transform(found, lambda n: F.struct(
+        F.size(n).cast("bigint").alias("grams"), F.aggregate(n, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("total"),
+        F.array_max(n).alias("most"), F.aggregate(n, F.lit(0).cast("bigint"), lambda s, x: s + x * x).alias("norm2"))), F.lit(0))
+
+
 def char_set(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, ""), lambda ch: ch != ""))
 

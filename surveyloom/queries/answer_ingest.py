@@ -195,8 +195,9 @@ def mapping(spark, sf):
     return region.select(F.col("r_name").alias("subject"), F.explode(_listed(fixed)).alias("_fixed")).select("subject", "_fixed.*")
 
 
-def facts(spark, sf):
-    raw = stored(spark, sf)
+def facts(spark, sf, raw=None):
+    """``raw``: the ``stored`` cells, where the caller reads them too."""
+    raw = stored(spark, sf) if raw is None else raw
     titles, _ = answers.parse_titles(raw.select("source_file").distinct())
     return answers.build_facts(answers.split_rows(raw), titles, mapping(spark, sf), answers.components_of(raw))
 
@@ -298,7 +299,10 @@ def question_table(spark, sf):
 SELECT 'warning' AS severity, 'title_metadata_conflict' AS issue, source_file, 'semester' AS field,
        '2024下' AS filename_value, '2024上' AS front_page_value, false AS blocking FROM files WHERE r_regionkey >= 2""")
 def title_conflicts(spark, sf):
-    raw = stored(spark, sf)
+    return conflicts_of(stored(spark, sf))
+
+
+def conflicts_of(raw):
     titles, _ = answers.parse_titles(raw.select("source_file").distinct())
     page = lambda k: F.coalesce(F.try_element_at("front_page", F.lit(k)), F.lit(""))
     pages = C.front_page_maps(raw).select(

@@ -139,8 +139,8 @@ FROM q GROUP BY stage, check_type""")
 def quality_rollup(spark, sf):
     from surveyloom.operators.questions import missing_components
     from surveyloom.queries.question_forms import document_questions
-    facts = answer_ingest.facts(spark, sf)
     raw = answer_ingest.stored(spark, sf)
+    facts = answer_ingest.facts(spark, sf, raw)
     _, title_checks = A.parse_titles(raw.select("source_file").distinct())
     _, indicator_issues = indicators.parse_rules(B.rules(spark))
     _, report_issues = rule_ops.parse_report_rules(report_rules(spark))
@@ -150,7 +150,7 @@ def quality_rollup(spark, sf):
     parts = [
         shape(A.unmatched_checks(facts), "normalize", "check_type", "source_row_index"),
         shape(title_checks, "titles", "check_type", "key"),
-        shape(answer_ingest.title_conflicts(spark, sf), "titles", "issue", "source_file"),
+        shape(answer_ingest.conflicts_of(raw), "titles", "issue", "source_file"),
         shape(indicator_issues, "rules", "check_type", "key"), shape(report_issues, "rules", "check_type", "key"),
         shape(charts, "charts", "check_type", "rule_id"),
         shape(missing_components(document_questions(spark, sf)), "questions", "issue", "q_no"),
